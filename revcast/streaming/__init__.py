@@ -1,0 +1 @@
+"""revcast.streaming"""
