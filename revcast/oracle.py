@@ -46,3 +46,48 @@ PROFIT_CTE = f"""profit AS (
 
 def with_sales(*ctes: str) -> str:
     return "WITH " + ",\n".join((SALES_CTE,) + ctes) + "\n"
+
+
+def _kc(keys) -> str:
+    return "".join(f"{k}, " for k in keys)
+
+
+PERIOD_LABEL_SQL = {
+    "ME": "CAST(last_day(date) AS TIMESTAMP)",
+    "W": "CAST(CAST(date_trunc('week', date) AS DATE) + 6 AS TIMESTAMP)",
+    "D": "CAST(CAST(date AS DATE) AS TIMESTAMP)",
+}
+
+
+def series_ctes(keys=(), freq: str = "ME", source: str = "sales", name: str = "series") -> list[str]:
+    """CTEs building the gap-free periodic series ``name`` from ``source``."""
+    keys = list(keys)
+    kc = _kc(keys)
+    where = " AND ".join(["date IS NOT NULL"] + [f"{k} IS NOT NULL" for k in keys])
+    group = "GROUP BY " + ", ".join(keys + ["ds"])
+    agg = (
+        f"{name}_agg AS (SELECT {kc}{PERIOD_LABEL_SQL[freq]} AS ds, {mdec('sales_revenue')} AS d, "
+        f"SUM(units_sold) AS u, AVG(discount) AS disc FROM {source} WHERE {where} {group})"
+    )
+    bgroup = ("GROUP BY " + ", ".join(keys)) if keys else ""
+    bnd = f"{name}_bnd AS (SELECT {kc}MIN(ds) AS lo, MAX(ds) AS hi FROM {name}_agg {bgroup})"
+    if freq == "ME":
+        gen = "generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH)"
+        lab = "CAST(last_day(g) AS TIMESTAMP)"
+    elif freq == "W":
+        gen, lab = "generate_series(lo, hi, INTERVAL 7 DAY)", "CAST(g AS TIMESTAMP)"
+    else:
+        gen, lab = "generate_series(lo, hi, INTERVAL 1 DAY)", "CAST(g AS TIMESTAMP)"
+    sp0 = f"{name}_sp0 AS (SELECT {kc}unnest({gen}) AS g FROM {name}_bnd)"
+    sp = f"{name}_sp AS (SELECT {kc}{lab} AS ds FROM {name}_sp0)"
+    using = ", ".join(keys + ["ds"])
+    ser = (
+        f"{name} AS (SELECT {''.join(f's.{k}, ' for k in keys)}s.ds, COALESCE({cents('a.d')}, 0.0) AS sales_revenue, "
+        f"CAST(COALESCE(a.u, 0) AS DOUBLE) AS units_sold, ROUND(a.disc, 8) AS discount "
+        f"FROM {name}_sp s LEFT JOIN {name}_agg a USING ({using}))"
+    )
+    return [agg, bnd, sp0, sp, ser]
+
+
+def partition(keys) -> str:
+    return ("PARTITION BY " + ", ".join(keys) + " ") if keys else ""
