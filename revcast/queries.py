@@ -285,3 +285,4 @@ _ = MARGIN_CASE  # re-exported for query modules that extend this file
 # Query families registered in their own modules (they import ``query``).
 from revcast import queries_ingest as _ingest  # noqa: E402,F401
 from revcast import queries_series as _series  # noqa: E402,F401
+from revcast import queries_more as _more  # noqa: E402,F401
