@@ -2,10 +2,12 @@
 
 All are hash aggregations (partial aggregate per task, then one shuffle of
 the partial results), so a hot group key costs no more than any other.
-Totals that a share is divided by come from a scalar subquery over the
-already grouped frame; Spark reuses that frame's exchange for the subquery,
-so the raw data is aggregated once and no single-partition window is
-needed.  Money sums are exact (see ``revcast.functions.money``).
+Where a result needs both per-group values and a total (shares, YoY), the
+transactions are aggregated once to the group level, that small result is
+checkpointed (``session.materialize``) and the total is a scalar subquery
+over it - one scan of the data, no join to a one-row frame and no
+single-partition window over transactions.  Money sums are exact (see
+``revcast.functions.money``).
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from revcast import columns as C
 from revcast.functions.money import cents, money_sum, money_sum_decimal
+from revcast.session import materialize
 
 _DEC = "__revenue_dec"
 
@@ -68,12 +71,21 @@ def category_summary(df: DataFrame, category_col: str = C.CATEGORY) -> DataFrame
 
 
 def contribution(df: DataFrame, group_col: str) -> DataFrame:
-    """Revenue per group, its share of the total (%) and the grand total."""
-    g = _grouped_revenue(df, group_col)
+    """Revenue per group, its share of the total (%) and the grand total.
+
+    The total covers every row (a null group counts towards it but is not
+    listed), as the shares of a report are of total revenue.
+    """
+    g = materialize(df.groupBy(group_col).agg(money_sum_decimal(C.REVENUE).alias(_DEC)))
+    return contribution_from(g, group_col)
+
+
+def contribution_from(g: DataFrame, group_col: str) -> DataFrame:
+    """``contribution`` from a frame of exact per-group sums (``__revenue_dec``)."""
     total_dec = g.agg(F.sum(_DEC)).scalar()
-    total = F.round(total_dec, 2).cast("double")
-    revenue = cents(F.col(_DEC))
-    return g.select(
+    total = F.coalesce(F.round(total_dec, 2).cast("double"), F.lit(0.0))
+    revenue = cents(F.coalesce(F.col(_DEC), F.lit(0)))
+    return g.filter(F.col(group_col).isNotNull()).select(
         group_col,
         revenue.alias(C.REVENUE),
         F.when(total > 0, revenue / total * 100).otherwise(F.lit(0.0)).alias("pct"),
@@ -119,7 +131,7 @@ def yoy_growth(df: DataFrame, date_col: str = C.DATE) -> DataFrame:
     (label ``N/A``) when the data hold a single year.  The latest year may be
     partial; it is compared as is.
     """
-    yearly = (
+    yearly = materialize(
         df.filter(F.col(date_col).isNotNull())
         .groupBy(F.year(date_col).alias(C.YEAR))
         .agg(money_sum_decimal(C.REVENUE).alias(_DEC))
@@ -161,7 +173,11 @@ def report_kpis(df: DataFrame) -> DataFrame:
     ]
     if has_profit:
         aggs.append(money_sum_decimal(C.PROFIT).alias("__profit_dec"))
-    base = df.agg(*aggs)
+    return report_kpis_from(df.agg(*aggs), has_profit)
+
+
+def report_kpis_from(base: DataFrame, has_profit: bool) -> DataFrame:
+    """``report_kpis`` from one row of exact sums (revenue, units, rows, profit)."""
     revenue = F.coalesce(F.round(F.col(_DEC), 2).cast("double"), F.lit(0.0))
     if has_profit:
         profit = F.coalesce(F.round(F.col("__profit_dec"), 2).cast("double"), F.lit(0.0))
@@ -194,7 +210,12 @@ def top_products(df: DataFrame, n: int = 5, product_col: str = C.PRODUCT) -> Dat
     its own top ``n`` and only those rows reach the final merge.  Ties on
     revenue are broken by product name so the result is deterministic.
     """
-    g = _grouped_revenue(df, product_col)
+    return top_products_from(_grouped_revenue(df, product_col), n, product_col)
+
+
+def top_products_from(g: DataFrame, n: int = 5, product_col: str = C.PRODUCT) -> DataFrame:
+    """``top_products`` from exact per-product sums (``__revenue_dec``)."""
+    g = g.filter(F.col(product_col).isNotNull())
     top = (
         g.select(product_col, cents(F.col(_DEC)).alias(C.REVENUE))
         .orderBy(F.col(C.REVENUE).desc(), F.col(product_col).asc())

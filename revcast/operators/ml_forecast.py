@@ -53,7 +53,7 @@ from revcast.operators.features import (
 )
 from revcast.operators.series import error_metrics, keyed, unkeyed, with_time_index
 from revcast.operators.trend_season import overfit_table
-from revcast.session import checkpoint_dir
+from revcast.session import materialize
 
 MODEL_NAMES = {
     "rf": "Random Forest Regressor",
@@ -132,8 +132,7 @@ def _complete(design: DataFrame, k: list[str]) -> DataFrame:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df)
 
 
 def _assembler(features: list[str]) -> VectorAssembler:
@@ -163,7 +162,7 @@ def train_regression_model(
     freq = normalise_freq(freq)
     pooled = bool(keys)
     prepared, k = keyed(_prepared(series, keys, value), keys)
-    prepared = _checkpointed(_eligible(prepared, k))
+    prepared = _checkpointed(_eligible(_checkpointed(prepared), k))
     asm = _assembler(DETRENDED_FEATURES)
 
     # 1-3: trend on the training part, model on the training rows, holdout metrics.
@@ -268,7 +267,7 @@ def lag_regression_backtest(series: DataFrame, keys: Sequence[str] = (), value:
     """Linear regression on raw lags, rolling stats, month and year: per split
     predictions (no detrending), for the overfit report."""
     prepared, k = keyed(_prepared(series, keys, value), keys)
-    prepared = _eligible(prepared, k)
+    prepared = _eligible(_checkpointed(prepared), k)
     feats = regression_features(prepared.withColumn("label", F.col("y")), k, value="label")
     clean = _checkpointed(_complete(feats.withColumn("scale", F.lit(1.0)), k))
     asm = _assembler(RAW_FEATURES)
@@ -282,7 +281,7 @@ def detrended_backtest(
 ) -> DataFrame:
     """Tree model on detrended features: per split predictions on the original scale."""
     prepared, k = keyed(_prepared(series, keys, value), keys)
-    prepared = _eligible(prepared, k)
+    prepared = _eligible(_checkpointed(prepared), k)
     clean = _checkpointed(_complete(_design(prepared, k, train_only=True, pooled=bool(keys)), k))
     asm = _assembler(DETRENDED_FEATURES)
     fitted = make_estimator(model).fit(asm.transform(clean.filter(F.col("split") == "train")))

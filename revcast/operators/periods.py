@@ -2,10 +2,11 @@
 
 Plan: one hash aggregation of the transactions by ``(keys, period)`` (partial
 aggregation per task, so hot keys only add rows to an already-combined
-partial), then a per-series calendar spine from the first to the last period
-(``sequence`` + ``explode``) left-joined to the aggregate.  Everything after
-the first aggregation works on series-sized data (series x periods), never
-on transactions.  Empty periods get revenue 0 and units 0 and a null mean
+partial), then gap filling on the aggregate: each period row looks at the
+next present period of its series (``lead``) and emits the empty periods in
+between (``sequence`` + ``explode``).  The transactions are scanned once;
+everything after the first aggregation works on series-sized data (series x
+periods).  Empty periods get revenue 0 and units 0 and a null mean
 discount, like a pandas resample.
 """
 
@@ -13,12 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcast import columns as C
 from revcast.functions.money import money_sum_decimal
-from revcast.functions.periods import normalise_freq, period_end, period_spine
+from revcast.functions.periods import normalise_freq, period_end, periods_between, step_periods
 
 _DEC = "__revenue_dec"
 
@@ -49,9 +50,7 @@ def resample(
     keys = list(keys)
     agg = aggregate_periods(df, freq, keys, date_col)
     if fill_gaps:
-        bounds = agg.groupBy(*keys).agg(F.min(C.DS).alias("__lo"), F.max(C.DS).alias("__hi"))
-        spine = bounds.select(*keys, F.explode(period_spine("__lo", "__hi", freq)).alias(C.DS))
-        agg = spine.join(agg, on=[*keys, C.DS], how="left")
+        agg = fill_gaps_after(agg, keys, freq)
     return agg.select(
         *keys,
         C.DS,
@@ -61,6 +60,22 @@ def resample(
     )
 
 
+def fill_gaps_after(agg: DataFrame, keys: Sequence[str], freq: str) -> DataFrame:
+    """Add the missing periods of each series (measures null) between its
+    first and last present period."""
+    w = Window.partitionBy(*keys).orderBy(C.DS) if keys else Window.orderBy(C.DS)
+    nxt = F.lead(C.DS).over(w)
+    gap = F.when(nxt.isNull(), F.lit(0)).otherwise(periods_between(C.DS, nxt, freq) - 1)
+    exploded = agg.withColumn("__gap", gap).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__gap"))))
+    filler = F.col("__k") > 0
+    measures = [c for c in agg.columns if c not in (*keys, C.DS)]
+    return exploded.select(
+        *keys,
+        step_periods(C.DS, F.col("__k"), freq).alias(C.DS),
+        *[F.when(filler, F.lit(None)).otherwise(F.col(m)).alias(m) for m in measures],
+    )
+
+
 def sales_trend(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Monthly revenue (the trend line)."""
     return resample(df, "ME", keys).select(*keys, C.DS, C.REVENUE)

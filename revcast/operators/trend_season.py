@@ -16,6 +16,8 @@ is not identified; such a series gets a null slope and null forecasts.
 
 All frames here are series-sized (series x periods); coefficient tables are
 joined back on the series keys, and AQE broadcasts them while they are small.
+The series a fit reads several times is checkpointed first
+(``session.materialize``), so the sales aggregation behind it runs once.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from revcast import columns as C
 from revcast.functions.periods import normalise_freq, step_periods
 from revcast.operators.features import holdout_split
 from revcast.operators.series import error_metrics, keyed, unkeyed, with_time_index
+from revcast.session import materialize
 
 MONTH_EFFECT = "month_effect"
 
@@ -64,6 +67,7 @@ def detrend(
 ) -> DataFrame:
     """Series with ``t``, ``trend`` and ``detrended`` = value - trend, using the
     trend fitted by ``linear_trend`` (on the training part by default)."""
+    series = materialize(series)
     df, k = keyed(series, keys)
     coef, _ = keyed(linear_trend(series, keys, value, holdout), keys)
     joined = df.join(coef.drop("n_fit"), on=k)
@@ -113,7 +117,7 @@ def _fit(prepared: DataFrame, k: list[str]) -> DataFrame:
 def trend_season_fit(series: DataFrame, keys: Sequence[str] = (), value: str = C.REVENUE) -> DataFrame:
     """Fit on every row of each series; one row per (series, month)."""
     prepared, k = keyed(_prepared(series, keys, value), keys)
-    return unkeyed(_fit(prepared, k))
+    return unkeyed(_fit(materialize(prepared), k))
 
 
 def _predict(frame: DataFrame, fit: DataFrame, k: list[str]) -> DataFrame:
@@ -159,6 +163,7 @@ def trend_season_forecast(
     """Fitted values for the history plus ``horizon`` future periods:
     ``(keys..., ds, yhat, yhat_lower, yhat_upper, is_future)``."""
     prepared, k = keyed(_prepared(series, keys, value), keys)
+    prepared = materialize(prepared)
     fit = _fit(prepared, k)
     history = prepared.select(*k, C.DS, F.lit(False).alias("is_future"))
     future = future_calendar(prepared, horizon, k, freq).select(*k, C.DS, F.lit(True).alias("is_future"))
@@ -169,7 +174,7 @@ def trend_season_forecast(
 def trend_season_backtest(series: DataFrame, keys: Sequence[str] = (), value: str = C.REVENUE) -> DataFrame:
     """Fit on the training part, predict every row; rows carry ``split``."""
     prepared, k = keyed(_prepared(series, keys, value), keys)
-    split = holdout_split(prepared, k).select(*k, C.DS, "y", "split")
+    split = materialize(holdout_split(prepared, k).select(*k, C.DS, "y", "split"))
     fit = _fit(split.filter(F.col("split") == "train").select(*k, C.DS, "y"), k)
     return unkeyed(_predict(split, fit, k))
 

@@ -7,8 +7,11 @@ Sections by report type:
 * ``regional``  - summary KPIs and region contribution;
 * ``products``  - summary KPIs, category contribution and top products.
 
-Each section is an independent aggregation (all small results) combined
-with ``unionByName``.  Rendering the facts as HTML is left to the caller.
+The transactions are aggregated once, to one row per (region, category,
+product) with exact revenue/profit sums, units and row counts; that frame is
+checkpointed and every section is derived from it (sums of sums are exact),
+so a report is one scan and one shuffle of the data however many sections it
+has.  Rendering the facts as HTML is left to the caller.
 """
 
 from __future__ import annotations
@@ -17,15 +20,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcast import columns as C
-from revcast.operators.aggregates import contribution, report_kpis, top_products
+from revcast.functions.money import money_sum_decimal
+from revcast.operators.aggregates import contribution_from, report_kpis_from, top_products_from
+from revcast.session import materialize
 
 REPORT_TYPES = ("executive", "regional", "products")
 SUMMARY_ITEMS = ["total_revenue", "total_profit", "margin_pct", "total_units", "avg_order_value"]
 REPORT_SCHEMA = "section string, rank int, item string, value double, pct double"
 
 
-def _summary(df: DataFrame) -> DataFrame:
-    k = report_kpis(df)
+_DEC = "__revenue_dec"
+
+
+def _pre_aggregate(df: DataFrame) -> tuple[DataFrame, bool]:
+    has_profit = C.PROFIT in df.columns
+    aggs = [
+        money_sum_decimal(C.REVENUE).alias(_DEC),
+        F.coalesce(F.sum(C.UNITS), F.lit(0.0)).alias("__units"),
+        F.count(F.lit(1)).alias("__rows"),
+    ]
+    if has_profit:
+        aggs.append(money_sum_decimal(C.PROFIT).alias("__profit_dec"))
+    return materialize(df.groupBy(C.REGION, C.CATEGORY, C.PRODUCT).agg(*aggs)), has_profit
+
+
+def _summary(pre: DataFrame, has_profit: bool) -> DataFrame:
+    sums = [
+        F.sum(_DEC).alias(_DEC),
+        F.coalesce(F.sum("__units"), F.lit(0.0)).alias("__units"),
+        F.coalesce(F.sum("__rows"), F.lit(0)).cast("bigint").alias("row_count"),
+    ]
+    if has_profit:
+        sums.append(F.sum("__profit_dec").alias("__profit_dec"))
+    k = report_kpis_from(pre.agg(*sums), has_profit)
     rows = [
         F.struct(
             F.lit(i + 1).alias("rank"), F.lit(name).alias("item"), F.col(name).cast("double").alias("value")
@@ -37,10 +64,10 @@ def _summary(df: DataFrame) -> DataFrame:
     )
 
 
-def _shares(df: DataFrame, col: str, section: str) -> DataFrame:
+def _shares(pre: DataFrame, col: str, section: str) -> DataFrame:
     """Revenue and share per value, ranked by revenue (one row per listed
     region or category - the report lists them all)."""
-    c = contribution(df, col)
+    c = contribution_from(pre.groupBy(col).agg(F.sum(_DEC).alias(_DEC)), col)
     rank = F.row_number().over(Window.orderBy(F.col(C.REVENUE).desc(), F.col(col).asc()))
     return c.select(
         F.lit(section).alias("section"),
@@ -51,8 +78,8 @@ def _shares(df: DataFrame, col: str, section: str) -> DataFrame:
     )
 
 
-def _top(df: DataFrame, n: int) -> DataFrame:
-    t = top_products(df, n)
+def _top(pre: DataFrame, n: int) -> DataFrame:
+    t = top_products_from(pre.groupBy(C.PRODUCT).agg(F.sum(_DEC).alias(_DEC)), n)
     return t.select(
         F.lit("top_products").alias("section"),
         F.col("rank").cast("int").alias("rank"),
@@ -65,12 +92,13 @@ def _top(df: DataFrame, n: int) -> DataFrame:
 def report(df: DataFrame, report_type: str = "executive", top_n: int = 5) -> DataFrame:
     if report_type not in REPORT_TYPES:
         raise ValueError(f"report_type must be one of {REPORT_TYPES}")
-    parts = [_summary(df)]
+    pre, has_profit = _pre_aggregate(df)
+    parts = [_summary(pre, has_profit)]
     if report_type in ("executive", "regional"):
-        parts.append(_shares(df, C.REGION, "region"))
+        parts.append(_shares(pre, C.REGION, "region"))
     if report_type in ("executive", "products"):
-        parts.append(_shares(df, C.CATEGORY, "category"))
-        parts.append(_top(df, top_n))
+        parts.append(_shares(pre, C.CATEGORY, "category"))
+        parts.append(_top(pre, top_n))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

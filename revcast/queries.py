@@ -155,12 +155,12 @@ FROM sales WHERE product_category IS NOT NULL GROUP BY product_category""",
 
 def _contribution_sql(col: str) -> str:
     return with_sales(
-        f"g AS (SELECT {col}, {mdec('sales_revenue')} AS d FROM sales WHERE {col} IS NOT NULL GROUP BY {col})",
+        f"g AS (SELECT {col}, {mdec('sales_revenue')} AS d FROM sales GROUP BY {col})",
         f"t AS (SELECT {cents('SUM(d)')} AS total FROM g)",
     ) + f"""SELECT {col}, {cents('d')} AS sales_revenue,
        CASE WHEN t.total > 0 THEN {cents('d')} / t.total * 100 ELSE 0.0 END AS pct,
        t.total AS total_revenue
-FROM g, t"""
+FROM g, t WHERE {col} IS NOT NULL"""
 
 
 @query("category_share")

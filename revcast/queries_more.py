@@ -39,12 +39,12 @@ summary AS (
 
 
 def _share_sql(col: str, section: str) -> str:
-    return f"""{section}_g AS (SELECT {col} AS item, {mdec('sales_revenue')} AS d FROM profit
-       WHERE {col} IS NOT NULL GROUP BY {col}),
+    return f"""{section}_g AS (SELECT {col} AS item, {mdec('sales_revenue')} AS d FROM profit GROUP BY {col}),
 {section}_t AS (SELECT {cents('SUM(d)')} AS total FROM {section}_g),
 {section} AS (SELECT '{section}' AS section,
        CAST(ROW_NUMBER() OVER (ORDER BY {cents('d')} DESC, item ASC) AS INTEGER) AS rank, item, {cents('d')} AS value,
-       CASE WHEN total > 0 THEN {cents('d')} / total * 100 ELSE 0.0 END AS pct FROM {section}_g, {section}_t)"""
+       CASE WHEN total > 0 THEN {cents('d')} / total * 100 ELSE 0.0 END AS pct
+       FROM {section}_g, {section}_t WHERE item IS NOT NULL)"""
 
 
 _TOP_SQL = f"""tp_g AS (SELECT product, {msum('sales_revenue')} AS value FROM profit WHERE product IS NOT NULL

@@ -57,6 +57,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def materialize(df):
+    """Write a small, reused intermediate to the shared checkpoint folder.
+
+    For series- or group-sized frames that several branches of a plan read:
+    they are computed once, the lineage back to the transaction scan is cut,
+    and a lost executor re-reads the checkpoint instead of rescanning.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh, uniquely named folder under the checkpoint directory."""
     base = checkpoint_dir(spark)

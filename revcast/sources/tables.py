@@ -13,13 +13,17 @@ canonical sales schema::
     sales_revenue    l_extendedprice * (1 - l_discount)
 
 Join plan.  nation (25 rows) and region (5 rows) have a fixed size, so they
-are broadcast into customer explicitly.  customer, orders, part and lineitem
-all grow with the data: their joins are left to Catalyst and AQE, which
-broadcast a side only when its measured size is under
-``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merge join on the
-key (with AQE splitting skewed partitions).  Only the needed columns are
-read, and filters on ``date`` are pushed through the joins into the orders
-scan.
+are always broadcast.  customer, orders and part grow with the data: each is
+broadcast only after its row count (read from parquet footers, cached per
+path) is checked to be under ``BROADCAST_ROW_LIMIT``; above the limit no hint
+is given and Spark shuffles both sides on the join key (sort-merge join, AQE
+splitting skewed partitions).  The join order keeps lineitem as the streamed
+side: orders are joined to customer regions first (an orders-sized join),
+then lineitem to orders on the order key and to part on the part key.
+Spark's basic statistics multiply input sizes for joins, which would
+otherwise make the pruned lineitem look like the smaller side and get it
+broadcast.  Only the needed columns are read, and filters on ``date`` are
+pushed through the joins into the orders scan.
 """
 
 from __future__ import annotations
@@ -35,11 +39,37 @@ TABLES = (
 ).split()
 
 
+# A broadcast side is held in memory by every executor: 2M rows of the few
+# narrow key/label columns used here stay well under ~100 MB.
+BROADCAST_ROW_LIMIT = 2_000_000
+_ROW_COUNTS: dict[str, int] = {}
+
+
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*cols) if cols else df
 
 
+def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Row count of a parquet table (answered from footers; cached per path)."""
+    path = table_path(sf_dir, name)
+    if path not in _ROW_COUNTS:
+        _ROW_COUNTS[path] = spark.read.parquet(path).count()
+    return _ROW_COUNTS[path]
+
+
+def broadcast_if_small(
+    df: DataFrame, spark: SparkSession, sf_dir: str, name: str, limit: int = BROADCAST_ROW_LIMIT
+) -> DataFrame:
+    """Broadcast hint for a side derived from table ``name`` (at most as many
+    rows as the table) when the table has at most ``limit`` rows."""
+    return F.broadcast(df) if table_rows(spark, sf_dir, name) <= limit else df
+
+
 def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c_custkey, r_name): customer joined to its region name."""
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
@@ -48,9 +78,8 @@ def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_nationkey", "r_name"
     )
     customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
-    return customer.join(F.broadcast(geo), customer.c_nationkey == geo.n_nationkey).select(
-        "c_custkey", "r_name"
-    )
+    cust = customer.join(F.broadcast(geo), customer.c_nationkey == geo.n_nationkey).select("c_custkey", "r_name")
+    return broadcast_if_small(cust, spark, sf_dir, "customer")
 
 
 def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +94,8 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     order_region = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
         "o_orderkey", "o_orderdate", "r_name"
     )
+    order_region = broadcast_if_small(order_region, spark, sf_dir, "orders")
+    part = broadcast_if_small(part, spark, sf_dir, "part")
     joined = lineitem.join(order_region, lineitem.l_orderkey == order_region.o_orderkey).join(
         part, lineitem.l_partkey == part.p_partkey
     )
