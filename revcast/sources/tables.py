@@ -49,8 +49,22 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    df = spark.read.parquet(table_path(sf_dir, name))
+    """Read a parquet table, selecting ``cols`` (pruned in the scan).
+
+    The schema inferred on the first read of a path is reused afterwards, so
+    building a plan does not re-read parquet footers every time.
+    """
+    path = table_path(sf_dir, name)
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+    else:
+        df = spark.read.schema(schema).parquet(path)
     return df.select(*cols) if cols else df
 
 
@@ -58,7 +72,7 @@ def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
     """Row count of a parquet table (answered from footers; cached per path)."""
     path = table_path(sf_dir, name)
     if path not in _ROW_COUNTS:
-        _ROW_COUNTS[path] = spark.read.parquet(path).count()
+        _ROW_COUNTS[path] = read_table(spark, sf_dir, name).count()
     return _ROW_COUNTS[path]
 
 
