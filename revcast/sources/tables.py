@@ -77,10 +77,12 @@ def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
 
 
 def broadcast_if_small(
-    df: DataFrame, spark: SparkSession, sf_dir: str, name: str, limit: int = BROADCAST_ROW_LIMIT
+    df: DataFrame, spark: SparkSession, sf_dir: str, name: str, limit: int | None = None
 ) -> DataFrame:
     """Broadcast hint for a side derived from table ``name`` (at most as many
-    rows as the table) when the table has at most ``limit`` rows."""
+    rows as the table) when the table has at most ``limit`` rows
+    (default ``BROADCAST_ROW_LIMIT``)."""
+    limit = BROADCAST_ROW_LIMIT if limit is None else limit
     return F.broadcast(df) if table_rows(spark, sf_dir, name) <= limit else df
 
 

@@ -1 +1,10 @@
-"""revcast.streaming"""
+"""Streaming.
+
+The modelled sales dashboard has no streaming sources, watermarks, windows
+over event time or state: it works on a loaded table.  Nothing is built
+here, on purpose - every operator in this library is a batch DataFrame
+transformation.  The aggregation operators are plain ``groupBy`` / ``agg``
+expressions, so they can be applied unchanged inside
+``writeStream.foreachBatch`` if a caller wants to refresh results per
+micro-batch.
+"""
