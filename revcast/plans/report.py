@@ -16,7 +16,7 @@ has.  Rendering the facts as HTML is left to the caller.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revcast import columns as C
@@ -65,13 +65,16 @@ def _summary(pre: DataFrame, has_profit: bool) -> DataFrame:
 
 
 def _shares(pre: DataFrame, col: str, section: str) -> DataFrame:
-    """Revenue and share per value, ranked by revenue (one row per listed
-    region or category - the report lists them all)."""
+    """Revenue and share per value (one row per region or category).
+
+    Listing sections are not ranked (``rank`` 0): numbering every value would
+    need a single-partition window over all of them; order by ``value`` when
+    presenting.
+    """
     c = contribution_from(pre.groupBy(col).agg(F.sum(_DEC).alias(_DEC)), col)
-    rank = F.row_number().over(Window.orderBy(F.col(C.REVENUE).desc(), F.col(col).asc()))
     return c.select(
         F.lit(section).alias("section"),
-        rank.cast("int").alias("rank"),
+        F.lit(0).alias("rank"),
         F.col(col).alias("item"),
         F.col(C.REVENUE).alias("value"),
         F.col("pct"),

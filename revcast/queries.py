@@ -35,6 +35,18 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calculate_profit(sales_view(spark, sf_dir))
 
 
+def monthly(spark: SparkSession, sf_dir: str, keys, freq: str = "ME") -> DataFrame:
+    """Gap-free periodic series of the sales rows per ``keys``."""
+    from revcast.operators.periods import resample
+
+    return resample(sales(spark, sf_dir), freq, keys)
+
+
+def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """Round the named double columns for presentation and comparison."""
+    return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
+
+
 # ---------------------------------------------------------------------------
 # Sales view and profit
 # ---------------------------------------------------------------------------

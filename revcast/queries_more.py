@@ -15,8 +15,7 @@ from revcast.operators.sampling import explorer_page, price_volume_sample
 from revcast.oracle import PROFIT_CTE, cents, mdec, msum, oracle, with_sales
 from revcast.plans import forecast as FC
 from revcast.plans.report import report
-from revcast.queries import query, sales
-from revcast.queries_series import monthly, rounded
+from revcast.queries import monthly, query, rounded, sales
 from revcast.session import work_dir
 from revcast.sources import files
 from revcast.sources.tables import sales_view
@@ -41,8 +40,7 @@ summary AS (
 def _share_sql(col: str, section: str) -> str:
     return f"""{section}_g AS (SELECT {col} AS item, {mdec('sales_revenue')} AS d FROM profit GROUP BY {col}),
 {section}_t AS (SELECT {cents('SUM(d)')} AS total FROM {section}_g),
-{section} AS (SELECT '{section}' AS section,
-       CAST(ROW_NUMBER() OVER (ORDER BY {cents('d')} DESC, item ASC) AS INTEGER) AS rank, item, {cents('d')} AS value,
+{section} AS (SELECT '{section}' AS section, CAST(0 AS INTEGER) AS rank, item, {cents('d')} AS value,
        CASE WHEN total > 0 THEN {cents('d')} / total * 100 ELSE 0.0 END AS pct
        FROM {section}_g, {section}_t WHERE item IS NOT NULL)"""
 

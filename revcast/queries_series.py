@@ -10,16 +10,7 @@ from revcast.operators import features as FT
 from revcast.operators import periods as P
 from revcast.operators import trend_season as TS
 from revcast.oracle import oracle, partition, series_ctes, with_sales
-from revcast.queries import query, sales
-
-
-def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
-    """Round the named double columns for presentation and comparison."""
-    return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
-
-
-def monthly(spark, sf_dir, keys, freq="ME") -> DataFrame:
-    return P.resample(sales(spark, sf_dir), freq, keys)
+from revcast.queries import monthly, query, rounded, sales
 
 
 def _k(keys) -> str:
