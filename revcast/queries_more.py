@@ -243,6 +243,12 @@ def q_forecast_gbt(spark, sf_dir):
     return ML.train_regression_model(monthly(spark, sf_dir, []), 6, "gbt", []).forecast
 
 
+@query("forecast_rf_weekly")
+def q_forecast_rf_weekly(spark, sf_dir):
+    """Random forest on the weekly series, 4 weeks ahead (history + 4 rows)."""
+    return ML.train_regression_model(monthly(spark, sf_dir, [], freq="W"), 4, "rf", [], freq="W").forecast
+
+
 @query("backtest_lr")
 def q_backtest_lr(spark, sf_dir):
     return ML.ml_overfit_report(monthly(spark, sf_dir, []), [], models=("lr",))

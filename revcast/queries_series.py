@@ -268,10 +268,14 @@ oracle(
 HORIZON = 6
 
 
-def _future_sql(keys, h, source="series") -> str:
+def _future_sql(keys, h, source="series", freq="ME") -> str:
     g = ("GROUP BY " + ", ".join(keys)) if keys else ""
-    return f"""fut AS (SELECT {_k(keys)}CAST(step AS INTEGER) AS step,
-       CAST(last_day(CAST(last AS DATE) + to_months(CAST(step AS INTEGER))) AS TIMESTAMP) AS ds
+    if freq == "ME":
+        nxt = "CAST(last_day(CAST(last AS DATE) + to_months(CAST(step AS INTEGER))) AS TIMESTAMP)"
+    else:
+        days = 7 if freq == "W" else 1
+        nxt = f"CAST(CAST(last AS DATE) + to_days(CAST({days} * step AS INTEGER)) AS TIMESTAMP)"
+    return f"""fut AS (SELECT {_k(keys)}CAST(step AS INTEGER) AS step, {nxt} AS ds
 FROM (SELECT {_k(keys)}MAX(ds) AS last FROM {source} {g}), (SELECT unnest(range(1, {h} + 1)) AS step))"""
 
 
@@ -283,13 +287,13 @@ def q_future_calendar(spark, sf_dir):
 oracle("future_calendar", with_sales(*series_ctes(TS_KEYS), _future_sql(TS_KEYS, 12)) + "SELECT * FROM fut")
 
 
-def _forecast_sql(keys, h) -> list[str]:
+def _forecast_sql(keys, h, freq="ME") -> list[str]:
     kc = _k(keys)
     return [
-        *series_ctes(keys),
+        *series_ctes(keys, freq),
         _y_cte(keys),
         *_fit_sql(keys, "ys"),
-        _future_sql(keys, h),
+        _future_sql(keys, h, freq=freq),
         f"""frame AS (SELECT {kc}ds, FALSE AS is_future FROM series
                   UNION ALL SELECT {kc}ds, TRUE AS is_future FROM fut)""",
         "fc AS (" + _predict_sql(keys, "frame", "ffit") + ")",
@@ -309,6 +313,24 @@ oracle(
 )
 
 
+WEEKLY_HORIZON = 4
+
+
+@query("trend_season_forecast_weekly")
+def q_trend_season_forecast_weekly(spark, sf_dir):
+    """Weekly series, 4 weeks ahead (the horizon steps follow the frequency)."""
+    series = monthly(spark, sf_dir, [], freq="W")
+    return rounded(TS.trend_season_forecast(series, WEEKLY_HORIZON, [], freq="W"), PRED_DIGITS)
+
+
+oracle(
+    "trend_season_forecast_weekly",
+    with_sales(*_forecast_sql([], WEEKLY_HORIZON, "W"))
+    + """SELECT ds, ROUND(yhat, 2) AS yhat, ROUND(yhat_lower, 2) AS yhat_lower,
+       ROUND(yhat_upper, 2) AS yhat_upper, is_future FROM fc""",
+)
+
+
 @query("forecast_overlay")
 def q_forecast_overlay(spark, sf_dir):
     series = monthly(spark, sf_dir, TS_KEYS)

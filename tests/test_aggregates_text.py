@@ -126,3 +126,23 @@ def test_text_functions(spark):
     assert first[0]["text"] == "Revenue hit <b style='color:#00CC96;'>$1,234.5M</b> today"
     assert parsed[1] is None and parsed[2] == []
     assert TX.title_case("product_category") == "Product Category"
+
+
+def test_dashboard_plan_widgets(spark):
+    from revcast.plans.dashboard import apply_filters, dashboard, prepare
+
+    rows = [
+        ("2023-01-05", "Laptop", "Electronics", "North", 2, 1000.0, 0.1, 1800.0),
+        ("2023-02-10", "Case", "Accessories", "East", 5, 20.0, 0.0, 100.0),
+        ("2024-03-15", "Watch", "Wearables", "West", 1, 300.0, 0.0, 300.0),
+    ]
+    cols = ["order_date", "product_name", "category", "region", "quantity", "unit_price", "discount", "revenue"]
+    df = prepare(spark.createDataFrame(rows, cols))
+    assert C.YEAR in df.columns and C.PROFIT in df.columns
+    filtered = apply_filters(df, "2023-01-01", "2023-12-31", {C.REGION: ["North", "East"]})
+    widgets = dashboard(filtered, drilldown="Electronics")
+    assert widgets["kpis"].first()["total_revenue"] == 1900.0
+    assert widgets["yoy"].first()["yoy_label"].startswith("N/A")
+    assert widgets["explorer"].count() == 2
+    assert {r[C.PRODUCT] for r in widgets["drilldown"].collect()} == {"Laptop"}
+    assert widgets["trend"].count() == 2
