@@ -85,14 +85,15 @@ def filter_date_range(
 
 
 def distinct_values(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """Sorted distinct non-null values per column, as ``(column, value)``."""
-    parts = [
-        df.select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")).where(F.col(c).isNotNull()).distinct()
-        for c in cols
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    """Sorted distinct non-null values per column, as ``(column_name, value)``.
+
+    One scan: every row emits a (column, value) pair per column, and a single
+    ``distinct`` (deduplicated per task before its shuffle) keeps each once.
+    """
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols]
+    )
+    out = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
     return out.orderBy("column_name", "value")
 
 
