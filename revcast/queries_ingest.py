@@ -234,3 +234,7 @@ def q_csv_latin1(spark, sf_dir):
     """Write ISO-8859-1 CSV, then read with the UTF-8-then-latin-1 fallback."""
     path = files.write_csv(raw_text_frame(spark, sf_dir), work_dir(spark, "sales-latin1"), encoding="ISO-8859-1")
     return clean_data(files.load_sales(spark, path, fmt="csv", schema=None))
+
+
+# Same rows as ``clean_sales`` after the CSV round trip.
+oracle("csv_latin1", with_sales(PROFIT_CTE) + "SELECT * FROM profit")

@@ -16,6 +16,7 @@ from revcast.oracle import PROFIT_CTE, cents, mdec, msum, oracle, with_sales
 from revcast.plans import forecast as FC
 from revcast.plans.report import report
 from revcast.queries import monthly, query, rounded, sales
+from revcast.queries_series import _forecast_sql as _series_forecast_sql
 from revcast.session import work_dir
 from revcast.sources import files
 from revcast.sources.tables import sales_view
@@ -206,6 +207,25 @@ def q_parse_insights(spark, sf_dir):
     return parsed.select(C.REGION, C.YEAR, "pos", "insight.icon", "insight.text")
 
 
+oracle(
+    "parse_insights",
+    with_sales(
+        PROFIT_CTE,
+        _RESPONSES_SQL,
+        """parsed AS (SELECT region, year,
+       from_json(stripped, '[{"icon": "VARCHAR", "text": "VARCHAR"}]') AS arr FROM stripped)""",
+        """items AS (SELECT region, year, list_filter(list_transform(arr[1:4], lambda x: {
+           'icon': COALESCE(x.icon, '💡'),
+           'text': regexp_replace(COALESCE(x.text, ''), '^\\s+|\\s+$', '', 'g')}), lambda x: x.text <> '') AS arr
+       FROM parsed)""",
+        """ex AS (SELECT region, year, arr, unnest(range(0, len(arr))) AS pos FROM items)""",
+    )
+    + """SELECT region, year, CAST(pos AS INTEGER) AS pos, arr[pos + 1].icon AS icon,
+       regexp_replace(arr[pos + 1].text, '\\$[\\d,]+(?:\\.\\d+)?[KMB]?', '<b style=''color:#00CC96;''>\\0</b>', 'g') AS text
+FROM ex""",
+)
+
+
 @query("formatted_summary")
 def q_formatted_summary(spark, sf_dir):
     df = sales(spark, sf_dir)
@@ -221,6 +241,30 @@ def q_formatted_summary(spark, sf_dir):
     )
 
 
+oracle(
+    "formatted_summary",
+    with_sales(
+        f"""k AS (SELECT {msum('sales_revenue')} AS total_revenue, CAST(COALESCE(SUM(units_sold), 0) AS DOUBLE) AS u,
+       ROUND(AVG(discount) * 100, 6) AS disc, COUNT(*) AS n, MAX(date) AS last FROM sales)""",
+        f"""y AS (SELECT CAST(year(date) AS INTEGER) AS year, {mdec('sales_revenue')} AS d FROM sales
+       WHERE date IS NOT NULL GROUP BY 1)""",
+        f"""yy AS (SELECT COUNT(*) AS n_years,
+       COALESCE({cents('SUM(CASE WHEN year = (SELECT MAX(year) FROM y) THEN d END)')}, 0.0) AS latest,
+       COALESCE({cents('SUM(CASE WHEN year = (SELECT MAX(year) FROM y) - 1 THEN d END)')}, 0.0) AS prev FROM y)""",
+        """yl AS (SELECT CASE WHEN n_years <= 1 THEN 'N/A (Multi-year data required)'
+       ELSE printf('%+.1f%% YoY', CASE WHEN prev > 0 THEN (latest - prev) / prev * 100 ELSE 0.0 END) END AS yoy_label
+       FROM yy)""",
+    )
+    + """SELECT '$' || format('{:,.2f}', total_revenue) AS total_revenue,
+       format('{:,}', CAST(u AS BIGINT)) AS units_sold,
+       '$' || format('{:,.2f}', CASE WHEN n > 0 THEN ROUND(total_revenue / n, 2) ELSE 0.0 END) AS avg_order_value,
+       printf('%.1f%%', disc) AS avg_discount,
+       (SELECT yoy_label FROM yl) AS yoy_label,
+       strftime(last, '%B %Y') AS last_month
+FROM k""",
+)
+
+
 # ---------------------------------------------------------------------------
 # Spark ML forecasting (rows-only checks; see tests for properties)
 # ---------------------------------------------------------------------------
@@ -267,7 +311,18 @@ def q_forecast_csv(spark, sf_dir):
     """Trend-season forecast (the dashboard default), future rows exported as CSV and read back."""
     result = FC.forecast(monthly(spark, sf_dir, ML_KEYS), "trend_season", 6, ML_KEYS)
     path = result.write_csv(work_dir(spark, "forecast"))
-    return files.load_sales(spark, path, fmt="csv", encoding="UTF-8")
+    schema = "region string, forecasted_month timestamp_ntz, predicted_sales double, lower_bound double, upper_bound double"
+    back = files.load_sales(spark, path, fmt="csv", schema=schema, encoding="UTF-8")
+    return rounded(back, {"predicted_sales": 2, "lower_bound": 2, "upper_bound": 2})
+
+
+oracle(
+    "forecast_csv",
+    with_sales(*_series_forecast_sql(ML_KEYS, 6))
+    + """SELECT region, ds AS forecasted_month, ROUND(yhat, 2) AS predicted_sales, ROUND(yhat_lower, 2) AS lower_bound,
+       ROUND(yhat_upper, 2) AS upper_bound
+FROM fc WHERE is_future AND region IN (SELECT region FROM series GROUP BY region HAVING COUNT(*) >= 15)""",
+)
 
 
 _ = rounded

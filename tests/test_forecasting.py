@@ -130,3 +130,26 @@ def test_single_series_regression_and_overfit_report(spark):
     lr = report.iloc[0]
     assert lr["train_r2"] > 0.5  # clean seasonal series is well explained
     assert lr["overfit_gap"] == pytest.approx(round(lr["train_r2"] - lr["test_r2"], 4), abs=1e-4)
+
+
+def test_lag_regression_matches_least_squares(spark):
+    y = _seasonal(36, 7)
+    series = _monthly(spark, y)
+    pred = ML.lag_regression_backtest(series, [C.REGION]).orderBy(C.DS).toPandas()
+    # Brute-force reference: build the same features in pandas and solve OLS.
+    ds = pd.date_range("2021-01-31", periods=36, freq="ME")
+    f = pd.DataFrame({"y": y, "month": ds.month, "year": ds.year})
+    for k in (1, 2, 3, 12):
+        f[f"lag_{k}"] = f["y"].shift(k)
+    f["roll_mean"] = f["y"].shift(1).rolling(3).mean()
+    f["roll_std"] = f["y"].shift(1).rolling(3).std()
+    f = f.dropna().reset_index(drop=True)
+    cols = ["lag_1", "lag_2", "lag_3", "lag_12", "roll_mean", "roll_std", "month", "year"]
+    n_test = max(1, min(6, int(len(f) * 0.2)))
+    train = f.iloc[:-n_test]
+    X = np.column_stack([np.ones(len(train))] + [train[c].to_numpy(float) for c in cols])
+    beta, *_ = np.linalg.lstsq(X, train["y"].to_numpy(), rcond=None)
+    Xall = np.column_stack([np.ones(len(f))] + [f[c].to_numpy(float) for c in cols])
+    assert len(pred) == len(f)
+    assert (pred["split"] == "test").sum() == n_test
+    np.testing.assert_allclose(pred["yhat"].to_numpy(), Xall @ beta, rtol=1e-6, atol=1e-3)
