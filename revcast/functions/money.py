@@ -2,10 +2,13 @@
 
 Double sums depend on the order rows are added, so the same query can give
 different last digits on different partitionings.  Money sums are therefore
-taken over a decimal cast of each row (6 decimals, exact for prices with
-cents times discount fractions), rounded to cents and returned as double.
-Spark keeps decimals below 10^18 unscaled in a long, so the sum stays on the
-fast path; larger totals widen automatically instead of overflowing.
+exact: each row is rounded to whole micro-units (``rint(x * 1e6)``, exact for
+prices in cents times discount fractions), summed as a decimal, and rounded
+to cents once at the end.  The per-row step is double arithmetic plus a long
+(no ``BigDecimal`` per row); the long is widened to ``decimal(20,0)`` so the
+sum is a compact decimal that keeps the long fast path while it fits and
+widens instead of overflowing for very large totals.  A single row must stay
+below about 9.2e12 in absolute value (ANSI mode raises on overflow).
 """
 
 from __future__ import annotations
@@ -13,13 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ROW_DECIMAL = "decimal(24,6)"
+MICROS = 1_000_000
 
 
 def exact(col: Column | str) -> Column:
-    """Per-row decimal value of a money column (null stays null)."""
+    """Per-row money value in whole micro-units, as ``decimal(20,0)`` (null stays null)."""
     c = F.col(col) if isinstance(col, str) else col
-    return c.cast(ROW_DECIMAL)
+    return F.rint(c * float(MICROS)).cast("bigint").cast("decimal(20,0)")
 
 
 def money_sum(col: Column | str) -> Column:
@@ -27,12 +30,12 @@ def money_sum(col: Column | str) -> Column:
 
     An empty or all-null group gives 0.0 (pandas semantics), not null.
     """
-    return F.coalesce(F.round(F.sum(exact(col)), 2).cast("double"), F.lit(0.0))
+    return F.coalesce(F.round(money_sum_decimal(col), 2).cast("double"), F.lit(0.0))
 
 
 def money_sum_decimal(col: Column | str) -> Column:
-    """Exact decimal sum, for callers that keep aggregating."""
-    return F.sum(exact(col))
+    """Exact decimal sum in currency units, for callers that keep aggregating."""
+    return F.sum(exact(col)) / F.lit(MICROS)
 
 
 def cents(col: Column | str) -> Column:
