@@ -65,12 +65,6 @@ def periods_between(start: Column | str, end: Column | str, freq: str) -> Column
     return ((F.year(e) - F.year(s)) * 12 + F.month(e) - F.month(s)).cast("int")
 
 
-def period_spine(start: Column | str, end: Column | str, freq: str) -> Column:
-    """``array<timestamp_ntz>`` of every label from ``start`` to ``end``."""
-    n = periods_between(start, end, freq)
-    return F.transform(F.sequence(F.lit(0), n), lambda i: step_periods(start, i, freq))
-
-
 def day_index(ts: Column | str, origin: Column | str) -> Column:
     """Whole days from ``origin`` to ``ts`` (the trend regressor)."""
     return F.datediff(F.to_date(_as_col(ts)), F.to_date(_as_col(origin)))

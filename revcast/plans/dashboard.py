@@ -14,7 +14,6 @@ from collections.abc import Mapping
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from revcast import columns as C
 from revcast.operators import aggregates as A
 from revcast.operators import filters as FL
 from revcast.operators.allocation import region_country_allocation
@@ -62,4 +61,4 @@ def dashboard(df: DataFrame, drilldown: str | None = None, persist: bool = True)
     return out
 
 
-__all__ = ["prepare", "apply_filters", "dashboard", "C"]
+__all__ = ["prepare", "apply_filters", "dashboard"]

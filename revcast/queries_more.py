@@ -325,4 +325,3 @@ FROM fc WHERE is_future AND region IN (SELECT region FROM series GROUP BY region
 )
 
 
-_ = rounded

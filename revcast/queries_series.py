@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from revcast import columns as C
 from revcast.operators import features as FT
 from revcast.operators import periods as P
