@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcast import columns as C
@@ -81,36 +81,43 @@ def detrend(
 # Trend + month effects
 # ---------------------------------------------------------------------------
 def _fit(prepared: DataFrame, k: list[str]) -> DataFrame:
-    """Fit table (k..., month 1..12, month_effect, slope, origin, resid_std, n_obs)."""
+    """Fit table (k..., month 1..12, month_effect, slope, origin, resid_std, n_obs).
+
+    One exchange by series key; everything after it runs on that
+    partitioning: (series, month) windows and aggregates are clustered by
+    it already, so means, slope, residual spread and the 12-month table need
+    no further shuffle.
+    """
+    series = Window.partitionBy(*k)
+    by_month = Window.partitionBy(*k, C.MONTH)
     df = with_time_index(prepared, k).withColumn(C.MONTH, F.month(C.DS))
-    month_stats = df.groupBy(*k, C.MONTH).agg(F.avg("t").alias("tbar"), F.avg("y").alias("ybar"))
-    centred = df.join(month_stats, on=[*k, C.MONTH])
-    slope = centred.groupBy(*k).agg(
-        F.try_divide(
-            F.sum((F.col("t") - F.col("tbar")) * (F.col("y") - F.col("ybar"))),
-            F.sum((F.col("t") - F.col("tbar")) * (F.col("t") - F.col("tbar"))),
-        ).alias("slope"),
+    df = df.withColumn("tbar", F.avg("t").over(by_month)).withColumn("ybar", F.avg("y").over(by_month))
+    dt = F.col("t") - F.col("tbar")
+    dy = F.col("y") - F.col("ybar")
+    df = df.withColumn("slope", F.try_divide(F.sum(dt * dy).over(series), F.sum(dt * dt).over(series)))
+    df = df.withColumn(MONTH_EFFECT, F.col("ybar") - F.col("slope") * F.col("tbar"))
+    resid = F.col("y") - (F.col(MONTH_EFFECT) + F.col("slope") * F.col("t"))
+    df = df.withColumn("__rstd", F.stddev_pop(resid).over(series))
+    per_month = df.groupBy(*k, C.MONTH).agg(
+        F.first(MONTH_EFFECT).alias(MONTH_EFFECT),
+        F.first("slope").alias("slope"),
+        F.first("__rstd").alias("__rstd"),
         F.min("origin").alias("origin"),
-        F.count(F.lit(1)).alias("n_obs"),
+        F.count(F.lit(1)).alias("__n"),
     )
-    effects = month_stats.join(slope, on=k).withColumn(
-        MONTH_EFFECT, F.col("ybar") - F.col("slope") * F.col("tbar")
-    )
-    resid = (
-        df.join(effects.select(*k, C.MONTH, MONTH_EFFECT, "slope"), on=[*k, C.MONTH])
-        .withColumn("r", F.col("y") - (F.col(MONTH_EFFECT) + F.col("slope") * F.col("t")))
-        .groupBy(*k)
-        .agg(F.stddev_pop("r").alias("__std"), F.count(F.lit(1)).alias("__n"))
-        .select(*k, F.when(F.col("__n") > 1, F.col("__std")).otherwise(F.lit(1.0)).alias("resid_std"))
-    )
-    baseline = effects.groupBy(*k).agg(F.min_by(MONTH_EFFECT, C.MONTH).alias("__base"))
-    months = slope.select(*k, "slope", "origin", "n_obs", F.explode(F.sequence(F.lit(1), F.lit(12))).alias(C.MONTH))
-    table = (
-        months.join(effects.select(*k, C.MONTH, MONTH_EFFECT), on=[*k, C.MONTH], how="left")
-        .join(baseline, on=k)
-        .join(resid, on=k)
-        .withColumn(MONTH_EFFECT, F.coalesce(F.col(MONTH_EFFECT), F.col("__base")))
+    per_series = per_month.groupBy(*k).agg(
+        F.map_from_entries(F.collect_list(F.struct(C.MONTH, MONTH_EFFECT))).alias("__effects"),
+        F.min_by(MONTH_EFFECT, C.MONTH).alias("__base"),
+        F.first("slope").alias("slope"),
+        F.first("__rstd").alias("__rstd"),
+        F.min("origin").alias("origin"),
+        F.sum("__n").alias("n_obs"),
     )
+    resid_std = F.when(F.col("n_obs") > 1, F.col("__rstd")).otherwise(F.lit(1.0))
+    table = per_series.select(
+        *k, "slope", "origin", "n_obs", "__effects", "__base", resid_std.alias("resid_std"),
+        F.explode(F.sequence(F.lit(1), F.lit(12))).alias(C.MONTH),
+    ).withColumn(MONTH_EFFECT, F.coalesce(F.try_element_at("__effects", F.col(C.MONTH)), F.col("__base")))
     return table.select(*k, C.MONTH, MONTH_EFFECT, "slope", "origin", "resid_std", "n_obs")
 
 
