@@ -18,10 +18,12 @@ Scale-out design.  One model is fitted over all series at once (pooled);
 with series keys the detrended target and its lags are divided by the
 series' detrended std so series of different size share one model; with no
 keys (one series) nothing is scaled, which is exactly the single-series
-setup.  Only series-sized frames (series x periods) are involved; the
-complete-feature table is checkpointed to the shared checkpoint folder so
-the many passes of model fitting do not recompute the sales aggregation and
-an executor loss does not replay it.  The recursive forecast keeps the last
+setup.  Only series-sized frames (series x periods) are involved.  The
+input series is checkpointed to the shared checkpoint folder first, so the
+passes of fitting, scoring and forecasting never recompute the sales
+aggregation and an executor loss does not replay it; the feature tables are
+short derivations of that checkpoint (windows over series-sized data) and
+are recomputed where read rather than written again.  The recursive forecast keeps the last
 12 detrended values of each series in an ``array<double>``; each step is a
 narrow projection (array lookups, ``model.transform``, ``concat``) over one
 row per series, so ``h`` steps add no shuffle.
@@ -168,7 +170,7 @@ def train_regression_model(
     asm = _assembler(DETRENDED_FEATURES)
 
     # 1-3: trend on the training part, model on the training rows, holdout metrics.
-    clean = _checkpointed(_complete(_design(prepared, k, train_only=True, pooled=pooled), k))
+    clean = _complete(_design(prepared, k, train_only=True, pooled=pooled), k)
     train = asm.transform(clean.filter(F.col("split") == "train"))
     fitted = make_estimator(model).fit(train)
     test = fitted.transform(asm.transform(clean.filter(F.col("split") == "test")))
@@ -176,7 +178,7 @@ def train_regression_model(
     metrics = error_metrics(test, k, "y", "yhat").withColumn("model", F.lit(MODEL_NAMES[model]))
 
     # 4: refit on everything; residual spread in original units.
-    design_full = _checkpointed(_design(prepared, k, train_only=False, pooled=pooled))
+    design_full = _design(prepared, k, train_only=False, pooled=pooled)
     clean_full = _complete(design_full, k)
     full_model = make_estimator(model).fit(asm.transform(clean_full))
     resid = (
