@@ -7,15 +7,17 @@ within-month slope (Frisch-Waugh-Lovell)::
     k   = sum (t - tbar_m)(y - ybar_m) / sum (t - tbar_m)^2
     a_m = ybar_m - k * tbar_m            yhat = a_m + k * t
 
-so a fit is two aggregations per series instead of a solver, and any number
-of series fit in the same two jobs.  A month absent from the fitted rows
+so a fit needs no solver: per-month means and the pooled slope are window
+aggregates over the rows of each series, computed after one exchange by the
+series key, and any number of series fit in the same job.  A month absent from the fitted rows
 takes the effect of the lowest fitted month (what an all-zero dummy column
 gives).  The interval is yhat +- 1.96 x the population std of the in-sample
 residuals (1.0 with a single row).  When every month is seen once the slope
 is not identified; such a series gets a null slope and null forecasts.
 
-All frames here are series-sized (series x periods); coefficient tables are
-joined back on the series keys, and AQE broadcasts them while they are small.
+All frames here are series-sized (series x periods); fit tables (12 rows per
+series) are joined back on the series keys and month, and AQE broadcasts them
+while they are small.
 The series a fit reads several times is checkpointed first
 (``session.materialize``), so the sales aggregation behind it runs once.
 """
