@@ -46,3 +46,24 @@ def test_unidentified_slope_gives_null_forecast(spark):
     df = spark.createDataFrame(rows, "region string, ds timestamp_ntz, sales_revenue double")
     fc = TS.trend_season_forecast(df, 2, [C.REGION]).collect()
     assert all(r["yhat"] is None for r in fc)
+
+
+def test_money_sum_matches_decimal_arithmetic(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    amounts = st.lists(st.integers(min_value=-10**9, max_value=10**9), min_size=1, max_size=40)
+
+    @settings(max_examples=15, deadline=None)
+    @given(amounts, st.integers(min_value=1, max_value=6))
+    def check(cents, parts):
+        # amounts with 4 decimals, like price x (1 - discount)
+        values = [c / 10000 for c in cents]
+        df = spark.createDataFrame([(v,) for v in values], "sales_revenue double").repartition(parts)
+        got = df.agg(A.money_sum("sales_revenue")).first()[0]
+        want = sum(Decimal(c) / Decimal(10000) for c in cents).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)
+        assert got == float(want)
+
+    check()
