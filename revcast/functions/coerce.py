@@ -30,6 +30,11 @@ NUMERIC_TYPES = (
 )
 
 
+def qcol(name: str) -> Column:
+    """Column by its exact name (dots or spaces in raw file headers are not paths)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def is_numeric_type(dtype: T.DataType) -> bool:
     return isinstance(dtype, NUMERIC_TYPES)
 
@@ -45,13 +50,13 @@ def field_type(df: DataFrame, name: str) -> T.DataType:
 def to_double(df: DataFrame, name: str, default: Column | float | None = 0.0) -> Column:
     """Column ``name`` as double; unparseable text and NaN become ``default``."""
     dtype = field_type(df, name)
-    c = F.col(name)
+    c = qcol(name)
     if is_numeric_type(dtype):
         value = c.cast("double")
     elif isinstance(dtype, T.BooleanType):
         value = c.cast("int").cast("double")
     else:
-        value = F.expr(f"try_cast(`{name}` AS double)")
+        value = F.expr("try_cast(`" + name.replace("`", "``") + "` AS double)")
     value = F.nanvl(value, F.lit(None).cast("double"))
     if default is None:
         return value
@@ -67,7 +72,7 @@ def to_timestamp_utc(df: DataFrame, name: str, formats: list[str] | None = None)
     with an offset is normalised to UTC; junk becomes null.
     """
     dtype = field_type(df, name)
-    c = F.col(name)
+    c = qcol(name)
     if isinstance(dtype, T.TimestampNTZType):
         return c
     if isinstance(dtype, (T.TimestampType, T.DateType)):
@@ -80,4 +85,4 @@ def to_timestamp_utc(df: DataFrame, name: str, formats: list[str] | None = None)
 
 def to_label(df: DataFrame, name: str, default: str) -> Column:
     """Column ``name`` as string; null -> ``default``."""
-    return F.coalesce(F.col(name).cast("string"), F.lit(default))
+    return F.coalesce(qcol(name).cast("string"), F.lit(default))

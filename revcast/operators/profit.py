@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revcast import columns as C
+from revcast.functions.coerce import qcol
 
 BROADCAST_LIMIT = 100_000
 
@@ -47,12 +48,12 @@ def lookup_with_default(
 ) -> DataFrame:
     """Left equi-lookup of ``key`` in ``table``; misses and null keys get ``default``."""
     if isinstance(table, Mapping):
-        value = F.try_element_at(map_literal(table), F.col(key))
+        value = F.try_element_at(map_literal(table), qcol(key))
         return df.withColumn(out, F.coalesce(value.cast("double"), F.lit(float(default))))
     dim = table.select(F.col(table_key).alias("__lk"), F.col(table_value).alias("__lv")).dropDuplicates(["__lk"])
     if dim.count() <= broadcast_limit:
         dim = F.broadcast(dim)
-    joined = df.join(dim, df[key] == dim["__lk"], "left")
+    joined = df.join(dim, qcol(key) == dim["__lk"], "left")
     return joined.withColumn(out, F.coalesce(F.col("__lv").cast("double"), F.lit(float(default)))).drop(
         "__lk", "__lv"
     )

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revcast import columns as C
-from revcast.functions.coerce import is_numeric_type, is_temporal_type, to_double, to_label, to_timestamp_utc
+from revcast.functions.coerce import is_numeric_type, is_temporal_type, qcol, to_double, to_label, to_timestamp_utc
 from revcast.operators.profit import calculate_profit
 
 CANONICAL_ORDER = C.SALES_COLUMNS
@@ -170,7 +170,7 @@ def map_and_clean(df: DataFrame, date_col: str, sales_col: str, margins=None) ->
         used |= {src} if src else set()
         labels[out_name] = to_label(df, src, default) if src else F.lit(default)
 
-    extras = [F.col(c) for c in cols if c not in used]
+    extras = [qcol(c) for c in cols if c not in used]
     mapped = df.select(
         date,
         labels[C.CATEGORY].alias(C.CATEGORY),

@@ -117,3 +117,15 @@ def test_timestamp_offsets_normalise_to_utc(spark):
     df = spark.createDataFrame([("2024-01-01T23:30:00+02:00", 1.0), ("01/02/2024", 2.0)], ["ts", "sales"])
     got = sorted(r[C.DATE] for r in map_and_clean(df, "ts", "sales").collect())
     assert got == [dt.datetime(2024, 1, 1, 21, 30), dt.datetime(2024, 1, 2)]
+
+
+def test_dotted_and_spaced_raw_names(spark):
+    df = spark.createDataFrame(
+        [("2024-01-01", 10.0, "x", "Electronics")], ["order.date", "net.revenue", "note.v1", "Product Category"]
+    )
+    date_col, sales_col = suggest_mappings(df)
+    assert (date_col, sales_col) == ("order.date", "net.revenue")
+    out = map_and_clean(df, date_col, sales_col)
+    row = out.first()
+    assert row[C.REVENUE] == 10.0 and row["note.v1"] == "x"
+    assert row[C.CATEGORY] == "Electronics" and row[C.MARGIN] == pytest.approx(0.2134)
