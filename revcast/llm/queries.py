@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revcast.llm import quality_rules
 from revcast.llm.exact_dedup import new_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and verdict per document; the forest is fitted on labelled rows."""
+    docs = table(spark, sf_dir, "documents")
+    forest = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.verdicts(docs, forest)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict per document of a load into a new digest index."""
     return (
@@ -37,6 +45,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 QUERIES: dict[str, Query] = {
+    "op5_quality_rules": op5_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
