@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcast.llm import quality_rules
+from revcast.llm import quality_rules, zstd_language
 from revcast.llm.exact_dedup import new_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(docs, forest)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by dictionaries learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = zstd_language.train(docs.filter(~zstd_language.held_out()))
+    held = docs.withColumn("held_out", zstd_language.held_out()).select("doc_id", "text", "held_out")
+    return zstd_language.predict(held, dictionaries, keep=["held_out"])
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict per document of a load into a new digest index."""
     return (
@@ -46,6 +54,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 QUERIES: dict[str, Query] = {
     "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
