@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcast.llm import quality_rules, zstd_language
+from revcast.llm import piece_codec, quality_rules, zstd_language
 from revcast.llm.exact_dedup import new_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return piece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and verdict per document; the forest is fitted on labelled rows."""
     docs = table(spark, sf_dir, "documents")
@@ -53,6 +59,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
     "op8_exact_dedup": op8_exact_dedup,
