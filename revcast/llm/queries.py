@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcast.llm import piece_codec, quality_rules, zstd_language
+from revcast.llm import piece_codec, quality_rules, separator_scan, two_fit_packing, zstd_language
+from revcast.llm.common import fresh_path
 from revcast.llm.exact_dedup import new_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their place in a sequence."""
+    return two_fit_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and verdict per document; the forest is fitted on labelled rows."""
     docs = table(spark, sf_dir, "documents")
@@ -47,6 +53,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as flat token files, then the documents found in these.
+
+    Flat files carry no ids: a document is known by its file's number and its
+    place in the file.
+    """
+    path = fresh_path(spark, "flat-tokens")
+    separator_scan.write_flat(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    return separator_scan.count_tokens(spark, path).withColumn("file", number)
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -60,9 +78,11 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 QUERIES: dict[str, Query] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_best_two_fit": op4_best_two_fit,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLE: dict[str, str] = {
