@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcast.llm import piece_codec, quality_rules, separator_scan, two_fit_packing, zstd_language
+from revcast.llm import hyperminhash, piece_codec, quality_rules, separator_scan, two_fit_packing, zstd_language
 from revcast.llm.common import fresh_path
 from revcast.llm.exact_dedup import new_index
 
@@ -24,6 +24,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, on two-word shingles."""
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their place in a sequence."""
     return two_fit_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -78,6 +83,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 QUERIES: dict[str, Query] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_hyperminhash": op3_hyperminhash,
     "op4_best_two_fit": op4_best_two_fit,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
