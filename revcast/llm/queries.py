@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcast.llm import hyperminhash, piece_codec, quality_rules, separator_scan, two_fit_packing, zstd_language
+from revcast.llm import hyperminhash, license_scan, piece_codec, quality_rules, separator_scan, two_fit_packing, zstd_language
 from revcast.llm.common import fresh_path
 from revcast.llm.exact_dedup import new_index
 
@@ -70,6 +70,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.count_tokens(spark, path).withColumn("file", number)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices found in all documents."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op6_language_id": op6_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE: dict[str, str] = {
