@@ -40,10 +40,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut, and
-    readable by any executor after another is lost."""
+    readable by any executor after another is lost.
+
+    Nothing refers to the job's shuffle files any more when it ends.  Spark
+    deletes them once the driver collects its garbage, which is asked for here
+    so that they do not pile up over a query of many jobs.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcast.llm import hyperminhash, license_scan, piece_codec, quality_rules, separator_scan, two_fit_packing, zstd_language
+from revcast.llm import hyperminhash, license_scan, phrase_automata, piece_codec, quality_rules, separator_scan, two_fit_packing, zstd_language
 from revcast.llm.common import fresh_path
 from revcast.llm.exact_dedup import new_index
 
@@ -49,6 +49,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_language.predict(held, dictionaries, keep=["held_out"])
 
 
+def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that repeated 20-word windows take from every document."""
+    return phrase_automata.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict per document of a load into a new digest index."""
     return (
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op4_best_two_fit": op4_best_two_fit,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
+    "op7_phrase_automata": op7_phrase_automata,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
