@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcast.llm import hyperminhash, license_scan, phrase_automata, piece_codec, quality_rules, separator_scan, two_fit_packing, zstd_language
+from revcast.llm import host_suffix, hyperminhash, license_scan, phrase_automata, piece_codec, quality_rules, separator_scan, two_fit_packing, zstd_language
 from revcast.llm.common import fresh_path
 from revcast.llm.exact_dedup import new_index
 
@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_host_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return host_suffix.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return piece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -92,6 +97,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_host_suffix": op1_host_suffix,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_hyperminhash": op3_hyperminhash,
     "op4_best_two_fit": op4_best_two_fit,
