@@ -265,3 +265,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row for each component, the one with the smallest id, and all its columns.
+
+    Rows without an id stay.  Where rows share a kept id, one of them stays.
+    """
+    verdicts = near_duplicates(docs, width, percent)
+    ids = written(
+        verdicts.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.first("kept").alias("__kept"), F.count(F.lit(1)).alias("__n")),
+        "verdicts",
+    )
+    own = docs.withColumn("__own", F.col("doc_id").cast("long"))
+    rest = own.join(ids.filter("NOT __kept OR __n > 1"), F.col("__own") == F.col("__id"), "left_anti")
+    repeated = ids.filter("__kept AND __n > 1").select("__id")
+    if not repeated.isEmpty():
+        once = own.join(repeated, F.col("__own") == F.col("__id"), "left_semi").dropDuplicates(["__own"])
+        rest = rest.unionByName(once)
+    return rest.drop("__own")
