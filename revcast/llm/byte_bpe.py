@@ -20,17 +20,20 @@ _INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 
 
+# ASCII signs that may follow a word; the apostrophe is left out, as the pattern has words with it.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class _Memory(dict):
     """part of a text -> its ids as little-endian unsigned 32-bit numbers"""
 
-    def __init__(self, tokenizer: Tokenizer, lead: str):
-        self.tokenizer, self.lead, self.old = tokenizer, lead, {}
+    def __init__(self, owner: "WordwiseTokenizer", lead: str):
+        self.owner, self.lead, self.old = owner, lead, {}
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            ids = self.tokenizer.encode(self.lead + word, add_special_tokens=False).ids
-            found = np.array(ids, dtype="<u4").tobytes()
+            found = self.find(word)
         if len(word) <= LONGEST_KEPT:
             if len(self) >= WORDS_KEPT:
                 self.old = dict(self)
@@ -38,14 +41,46 @@ class _Memory(dict):
             self[word] = found
         return found
 
+    def find(self, word: str) -> bytes:
+        """The pattern cuts around a single line end between words and between Latin
+        letters and signs, so these parts are looked up by themselves."""
+        first = self.owner.first
+        head, _, rest = word.partition("\n")
+        if rest and head and not head[-1].isspace() and not rest[0].isspace():
+            return self[head] + first["\n"] + first[rest]
+        stem = word.rstrip(_SIGNS)
+        if not stem.isalpha() or max(stem) > "\u024f":
+            return packed(self.owner.tokenizer.encode(self.lead + word, add_special_tokens=False).ids)
+        if len(stem) < len(word):
+            return self[stem] + first[word[len(stem) :]]
+        spelled = (self.lead + word).encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return packed([t.id for t in self.owner.tokenizer.model.tokenize(spelled)])
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if
+    printable in Latin-1, else the next one from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in printable]
+    return {b: 0x100 + k for k, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
 
 class WordwiseTokenizer:
     """Ids of whole texts, equal to the library's for the whole text."""
 
     def __init__(self, tokenizer_file: str):
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.first, self.rest = _Memory(tokenizer, ""), _Memory(tokenizer, " ")
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        if self.tokenizer.normalizer is not None:
+            raise ValueError("only tokenizers that do not normalise are supported")
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.first, self.rest = _Memory(self, ""), _Memory(self, " ")
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers; null counts as empty."""
