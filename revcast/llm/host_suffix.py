@@ -16,7 +16,7 @@ suffix array does.
 
 A host of any size is spread over tasks by range partitioning; each task sorts
 streams of a bounded size.  Of hosts that may continue in another task or
-stream, the runs too rare there are summed over the host before they are judged.
+stream, the runs are summed over the host before they are judged.
 """
 
 from __future__ import annotations
@@ -118,8 +118,9 @@ def stream_runs(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.nd
 def _judged(host: str, keys: list[int], streams: list[list[str]], whole: bool, min_pages: int) -> pd.DataFrame:
     """Rows ``host, run, pages, keys, starts``.
 
-    Runs on enough pages of this stream are gathered under the null run; of a host that
-    may not be whole here, the others follow, one row each.
+    Runs on enough pages of this stream are gathered under the null run.  Of a host that
+    may not be whole here, every run follows with its count, and with its places if these
+    are not gathered already.
     """
     page, start, run, pages = stream_runs(streams)
     keys_of = np.array(keys, dtype=np.int64)
@@ -128,9 +129,12 @@ def _judged(host: str, keys: list[int], streams: list[list[str]], whole: bool, m
     if sure.any():
         rows.append((host, None, min_pages, keys_of[page[sure]], start[sure]))
     if not whole:
-        rest = np.flatnonzero(~sure)
-        for own in np.split(rest, np.flatnonzero(run[rest][1:] != run[rest][:-1]) + 1) if len(rest) else ():
-            rows.append((host, int(run[own[0]].astype(np.int64)), int(pages[own[0]]), keys_of[page[own]], start[own]))
+        for own in np.split(np.arange(len(run)), np.flatnonzero(run[1:] != run[:-1]) + 1) if len(run) else ():
+            if sure[own[0]]:
+                own_keys, own_starts = keys_of[:0], start[:0]
+            else:
+                own_keys, own_starts = keys_of[page[own]], start[own]
+            rows.append((host, int(run[own[0]].astype(np.int64)), int(pages[own[0]]), own_keys, own_starts))
     return pd.DataFrame(rows, columns=["host", "run", "pages", "keys", "starts"]).astype({"run": "Int64"})
 
 
@@ -172,9 +176,9 @@ def boilerplate(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         .mapInPandas(sort, "host string, run long, pages long, keys array<long>, starts array<int>"),
         "runs",
     )
-    rare = runs.filter("run IS NOT NULL")
-    often = rare.groupBy("host", "run").agg(F.sum("pages").alias("n")).filter(F.col("n") >= min_pages).select("host", "run")
-    found = runs.filter("run IS NULL").unionByName(rare.join(often, ["host", "run"]).select(*runs.columns))
+    counted = runs.filter("run IS NOT NULL")
+    often = counted.groupBy("host", "run").agg(F.sum("pages").alias("n")).filter(F.col("n") >= min_pages).select("host", "run")
+    found = runs.filter("run IS NULL").unionByName(counted.filter("size(keys) > 0").join(often, ["host", "run"]).select(*runs.columns))
     places = found.select(F.explode(F.arrays_zip("keys", "starts")).alias("p"))
     return written(
         places.groupBy(F.col("p.keys").alias("key")).agg(F.collect_set("p.starts").alias("starts")), "boilerplate"
