@@ -11,25 +11,23 @@ from revcast.llm.common import written
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every id in ``links`` (``a``, ``b``); a component is named by its smallest id.
 
-    Each round lowers an id's label to the smallest among its neighbours' and
-    then to the label of that label, so chains shorten by more than half.  Labels are
-    written after each round; only the number of changed labels reaches the
-    driver.  An id with any number of links is a group that is reduced before
+    Each round lowers an id's label to the smallest of its neighbours' labels and
+    of the label of its own label, so labels run along chains in growing steps.
+    A round is one job that writes the labels; only whether any changed reaches
+    the driver.  An id with any number of links is a group that is reduced before
     the shuffle.
     """
     both = written(
         links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct().toDF("node", "other"), "links"
     )
-    labels = written(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("component")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("low"))
-        lowered = labels.join(near, "node").select("node", "component", F.least("component", "low").alias("new"))
-        lowered = written(lowered, "labels-lowered")
-        jump = lowered.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        following = written(
-            lowered.join(jump, "new", "left").select("node", "component", F.least("new", "further").alias("new")), "labels"
-        )
-        changed = not following.filter("component <> new").isEmpty()
-        labels = following.select("node", F.col("new").alias("component"))
-        if not changed:
-            return labels
+    first = both.groupBy("node").agg(F.min("other").alias("low"))
+    labels = written(first.select("node", F.least("node", "low").alias("component"), F.lit(True).alias("changed")), "labels")
+    while not labels.filter("changed").isEmpty():
+        own = labels.select("node", F.col("component").alias("old"), F.col("component").alias("low"))
+        of = labels.select(F.col("node").alias("of"), F.col("component").alias("low"))
+        none = F.lit(None).cast("long").alias("old")
+        near = both.join(of, F.col("other") == F.col("of")).select("node", none, "low")
+        further = own.drop("low").join(of, F.col("old") == F.col("of")).select("node", none, "low")
+        lowered = own.unionByName(near).unionByName(further).groupBy("node").agg(F.max("old").alias("old"), F.min("low").alias("component"))
+        labels = written(lowered.select("node", "component", (F.col("component") < F.col("old")).alias("changed")), "labels")
+    return labels.select("node", "component")

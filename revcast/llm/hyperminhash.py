@@ -1,18 +1,27 @@
 """Near duplicates by HyperMinHash.
 
-Each distinct word shingle is hashed once.  Its first bits choose one of 256
+Each distinct word shingle is hashed once.  Its first bits choose one of 512
 registers; a register keeps the smallest rest, compressed to its number of
 leading zeros (6 bits) and the bits behind them (10 bits).  Empty registers
-borrow from others in an order fixed by their number.  Bands of five registers
-put documents that may be alike into buckets.
-
-Candidates are settled in rounds, without ever making all pairs of a bucket: in
-a round each bucket compares one leader with its other members.  A pair is
-first estimated from the registers (with the expected share of chance matches
-taken out) and then decided on the full shingle sets.  Members that are in one
-component by then need no further comparison, so a bucket ends when all of it
-is connected.  What is left after the star rounds - members that no leader
-reached - is compared across components, which leaves no candidate undecided.
+borrow from others in an order fixed by their number.  Bands of eight registers
+put documents that may be alike into buckets: two sets at a similarity of 0.8
+share one of the 64 bands with a probability above 0.99999, while two at 0.05
+do with 3e-9, so that chance meetings stay rare beside the documents however
+many there are.
+
+Candidates are settled in steps, without ever making all pairs of a bucket.
+Members that are in one component need no comparison, so each step compares
+fewer of them with few others:
+
+1. each bucket names a leader, and each member is compared with the leader that
+   it meets in most of its buckets;
+2. members outside the component that is the largest of their bucket meet one
+   of its delegates, another one in each of their buckets;
+3. those that are still outside are compared with all members of other
+   components, which leaves no candidate undecided.
+
+A pair is first estimated from the registers (with the expected share of chance
+matches taken out) and then decided on the full shingle sets.
 
 Documents with equal shingle sets form one class and take part once; classes
 are formed by an aggregation that combines before the shuffle.
@@ -31,15 +40,17 @@ from pyspark.sql import functions as F
 from revcast.llm.common import written
 from revcast.llm.components import components
 
-REGISTERS, MANTISSA_BITS = 256, 10
-BAND_ROWS = 5
+BUCKET_BITS, MANTISSA_BITS = 9, 10
+REGISTERS, REST_BITS = 1 << BUCKET_BITS, 64 - BUCKET_BITS
+BAND_ROWS = 8
 BANDS = REGISTERS // BAND_ROWS
 #: Sets up to this size can only reach a similarity of 0.8 by being equal.
 ALONE = 3
-#: Pairs of at least this many shingles whose estimate lies this far below the
-#: threshold are not looked at again (over six standard errors).
-ESTIMATED_FROM, SLACK = 100, 0.3
-STAR_ROUNDS = 3
+#: Pairs of at least this many shingles whose estimate lies this many standard
+#: errors below the threshold are not looked at again.
+ESTIMATED_FROM, SLACK = 100, 7.0
+#: Delegates of a bucket's largest component.
+DELEGATES = 16
 
 _U = np.uint64
 
@@ -72,23 +83,28 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 def registers(hashes: np.ndarray) -> np.ndarray:
     """The HyperMinHash registers of a non-empty set of sorted hashes."""
-    bucket = (hashes >> _U(56)).astype(np.int64)
+    bucket = (hashes >> _U(REST_BITS)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    rest = (hashes[first] & _U((1 << 56) - 1)) | _U(1)
-    # 56 bits split in two so that the position of the leading one is exact in floating point.
+    rest = (hashes[first] & _U((1 << REST_BITS) - 1)) | _U(1)
+    # In two halves, so that the position of the leading one is exact in floating point.
     high = (rest >> _U(28)).astype(np.float64)
     low = (rest & _U((1 << 28) - 1)).astype(np.float64)
     top = np.where(high > 0, np.frexp(high)[1] + 28, np.frexp(low)[1])  # bits from the leading one on
-    zeros = (56 - top).astype(_U)
-    behind = (rest << (zeros + _U(9))) >> _U(64 - MANTISSA_BITS)  # drops the 8 bucket bits, the zeros and the one
+    zeros = (REST_BITS - top).astype(_U)
+    # Drops the bucket's bits, the zeros and the one.
+    behind = (rest << (zeros + _U(BUCKET_BITS + 1))) >> _U(64 - MANTISSA_BITS)
     value = np.zeros(REGISTERS, dtype=np.uint16)
     value[bucket[first]] = ((zeros << _U(MANTISSA_BITS)) | behind).astype(np.uint16)
     filled = np.zeros(REGISTERS, dtype=bool)
     filled[bucket[first]] = True
     empty = np.flatnonzero(~filled)
-    if len(empty):
-        order = _BORROW[empty]
-        value[empty] = value[order[np.arange(len(empty)), filled[order].argmax(axis=1)]]
+    k = 0
+    while len(empty):
+        source = _BORROW[empty, k]
+        found = filled[source]
+        value[empty[found]] = value[source[found]]
+        empty = empty[~found]
+        k += 1
     return value
 
 
@@ -101,21 +117,29 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def chance(n: int, m: int) -> float:
+def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The expected share of registers in which unrelated sets of these sizes agree."""
     steps = np.arange(1, 57)
 
-    def zeros(size: int) -> np.ndarray:
-        load = size / REGISTERS
+    def zeros(size: np.ndarray) -> np.ndarray:
+        load = np.asarray(size, dtype=float)[..., None] / REGISTERS
         return np.exp(-load * 2.0**-steps) - np.exp(-load * 2.0 ** (1 - steps))
 
-    return float((zeros(n) * zeros(m)).sum() / 2**MANTISSA_BITS)
+    return (zeros(n) * zeros(m)).sum(axis=-1) / 2**MANTISSA_BITS
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
-    """Jaccard similarity from registers, chance matches taken out."""
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from rows of registers, chance matches taken out."""
     by_chance = chance(n, m)
-    return max(0.0, (float((a == b).mean()) - by_chance) / (1 - by_chance))
+    return np.maximum(0.0, ((a == b).mean(axis=-1) - by_chance) / (1 - by_chance))
+
+
+def worth_a_look(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs that the estimate does not rule out."""
+    least = np.minimum(n, m)
+    filled = REGISTERS * (1 - np.exp(-least / REGISTERS))
+    error = np.sqrt(threshold * (1 - threshold) / filled)
+    return (least < ESTIMATED_FROM) | (estimate(a, b, n, m) >= threshold - SLACK * error)
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -138,7 +162,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _band_rows(classes: DataFrame) -> DataFrame:
-    """``key, band, rep, n`` - one row for each band of each class."""
+    """``key, rep, n``: one row for each band of each class."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -148,14 +172,34 @@ def _band_rows(classes: DataFrame) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "key": keys.ravel(),
-                        "half": np.tile(np.arange(BANDS) % 2, len(part)),
                         "rep": np.repeat(part.rep.to_numpy(), BANDS),
                         "n": np.repeat(part.n.to_numpy(), BANDS),
                     }
                 )
 
     big = classes.filter(F.col("n") > ALONE).select("rep", "n", "registers")
-    return big.mapInPandas(explode, "key long, half int, rep long, n long")
+    return big.mapInPandas(explode, "key long, rep long, n long")
+
+
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint16).reshape(-1, REGISTERS)
+
+
+def _likely(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) that their registers do not rule out."""
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                likely = worth_a_look(_stacked(b.registers_a), _stacked(b.registers_b), b.n_a.to_numpy(), b.n_b.to_numpy(), percent / 100)
+                yield b.loc[likely, ["a", "b"]]
+
+    def side(x: str) -> DataFrame:
+        return texts.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "registers")))
+
+    # Sort-merge joins: a member with very many candidates is split by adaptive execution.
+    joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    return joined.mapInPandas(decide, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -165,23 +209,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
         last, known = None, None
         for b in batches:
             alike = []
-            for r in b.itertuples():
-                if min(r.n_a, r.n_b) >= ESTIMATED_FROM:
-                    one, two = (np.frombuffer(x, dtype=np.uint16) for x in (r.registers_a, r.registers_b))
-                    if estimate(one, two, r.n_a, r.n_b) < percent / 100 - SLACK:
-                        alike.append(False)
-                        continue
-                if r.text_a != last:
-                    last, known = r.text_a, shingle_set(r.text_a, width)
-                other = shingle_set(r.text_b, width)
-                both = len(np.intersect1d(known, other, assume_unique=True))
-                alike.append(100 * both >= percent * (len(known) + len(other) - both))
+            for a, other in zip(b.text_a, b.text_b, strict=True):
+                if a != last:
+                    last, known = a, shingle_set(a, width)
+                found = shingle_set(other, width)
+                both = len(np.intersect1d(known, found, assume_unique=True))
+                alike.append(100 * both >= percent * (len(known) + len(found) - both))
             yield b.loc[np.array(alike, dtype=bool), ["a", "b"]]
 
     def side(x: str) -> DataFrame:
-        return texts.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "registers", "text")))
+        return texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
 
-    # Sort-merge joins: a leader with very many candidates is split by adaptive execution.
     joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     return joined.mapInPandas(decide, "a long, b long")
 
@@ -195,8 +233,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     empty set and is linked with nothing.  Rows that share an id are one
     document with the links of all of them.  A row without id links with
     nothing: it has no component and is kept.  An empty table gives no rows;
-    other columns are not read.  Two sets at the threshold miss all bands with
-    a probability below 1e-8.
+    other columns are not read.  Two sets at a similarity of 0.8 miss all bands
+    with a probability below 1e-5.
     """
     signed = written(signatures(docs, width), "signatures")
     classes = written(
@@ -207,52 +245,62 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     bands = _band_rows(classes)
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    open_members = written(bands.join(shared, "key"), "members")
+    members = written(bands.join(shared, "key"), "members")
+    met_somewhere = members.select("rep").distinct()
     texts = written(
         classes.select("rep", "n", "registers")
-        .join(open_members.select("rep").distinct(), "rep")
+        .join(met_somewhere, "rep")
         .join(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep"),
         "texts",
     )
-    alike_size = F.expr(f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
-    links, labels = None, None
-    members = open_members.withColumn("component", F.col("rep"))
-    for turn in range(STAR_ROUNDS):
-        # The leader comes from the bucket's smallest component; the two halves of the bands choose differently.
-        order = F.struct(F.col("component_size"), F.xxhash64("rep", "half", F.lit(turn)).alias("h"), "rep", "n", "component")
-        sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("component_size")) if turn else None
-        sized = members.join(sizes, ["key", "component"]) if turn else members.withColumn("component_size", F.lit(1))
-        leaders = sized.groupBy("key").agg(F.min(order).alias("l")).select(
-            "key", F.col("l.rep").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.component").alias("leader_component")
-        )
-        led = written(members.join(written(leaders, "leaders").hint("merge"), "key"), "led")
-        pairs = (
-            led.filter("component <> leader_component")
-            .filter(alike_size)
-            .select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-            .distinct()
-        )
-        found = written(_confirmed(pairs, texts, width, percent), "confirmed")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        rest = led.filter("rep <> leader").select("key", "half", "rep", "n")
-        named = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        members = written(named.join(mixed.select("key"), "key"), "members").select("key", "half", "rep", "n", "component")
-        if members.isEmpty():
-            break
-    else:
-        other = members.select("key", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "component")))
-        pairs = (
-            members.join(other, "key")
-            .filter(f"rep < rep_2 AND component <> component_2 AND 100 * least(n, n_2) >= {percent} * greatest(n, n_2)")
-            .select(F.col("rep").alias("a"), F.col("rep_2").alias("b"))
-            .distinct()
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return written(_confirmed(_likely(pairs, texts, percent), texts, width, percent), "confirmed")
+
+    def alike_size(one: str, other: str) -> str:
+        return f"100 * least({one}, {other}) >= {percent} * greatest({one}, {other})"
+
+    # 1. A leader for each bucket, by the same order in all of them.
+    order = F.struct(F.xxhash64("rep").alias("h"), "rep", "n")
+    leaders = members.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.rep").alias("a"), F.col("l.n").alias("leader_n"))
+    led = members.join(written(leaders, "leaders").hint("merge"), "key").filter("rep <> a").filter(alike_size("n", "leader_n"))
+    together = led.groupBy(F.col("rep").alias("b"), "a").agg(F.count(F.lit(1)).alias("times"))
+    links = confirmed(together.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"))
+
+    # 2. Delegates of the largest component for the members outside it.
+    labels = components(links)
+    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = written(named.withColumn("component", F.coalesce("component", "rep")), "named")
+    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("l"), F.count(F.lit(1)).alias("parts"))
+    largest = largest.filter("parts > 1").select("key", F.col("l.component").alias("largest"))
+    mixed = written(named.join(largest, "key"), "mixed")
+    if not mixed.isEmpty():
+        slot = F.pmod(F.xxhash64("rep", "key"), F.lit(DELEGATES)).alias("slot")
+        delegates = (
+            mixed.filter("component = largest")
+            .groupBy("key", slot)
+            .agg(F.min(F.struct(F.xxhash64("rep", F.lit(2)).alias("h"), "rep", "n")).alias("d"))
+            .select("key", "slot", F.col("d.rep").alias("a"), F.col("d.n").alias("delegate_n"))
         )
-        links = links.unionByName(written(_confirmed(pairs, texts, width, percent), "confirmed"))
+        outside = mixed.filter("component <> largest").select("key", slot, "rep", "n")
+        meeting = outside.join(delegates, ["key", "slot"]).filter(alike_size("n", "delegate_n"))
+        links = links.unionByName(confirmed(meeting.select("a", F.col("rep").alias("b")).distinct()))
         labels = components(links)
+
+        # 3. Members still outside against all others of their buckets, by components as known now.
+        homes = mixed.select("key", "largest").distinct().join(labels, F.col("largest") == F.col("node"), "left")
+        homes = homes.select("key", F.coalesce("component", "largest").alias("home"))
+        left = mixed.select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        left = written(left.withColumn("component", F.coalesce("component", "rep")).join(homes, "key"), "left")
+        still_outside = left.filter("component <> home")
+        if not still_outside.isEmpty():
+            other = left.select("key", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "component", "home")))
+            pairs = still_outside.join(other, "key").filter(
+                f"component <> component_2 AND (component_2 = home_2 OR rep < rep_2) AND {alike_size('n', 'n_2')}"
+            )
+            pairs = pairs.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
+            labels = components(links.unionByName(confirmed(pairs)))
     named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     by_set = written(named.select("set_key", F.coalesce("component", "rep").alias("component_id")), "component-of-set")
     return (
