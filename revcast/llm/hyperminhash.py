@@ -261,8 +261,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return f"100 * least({one}, {other}) >= {percent} * greatest({one}, {other})"
 
     # 1. A leader for each bucket, by the same order in all of them.
-    order = F.struct(F.xxhash64("rep").alias("h"), "rep", "n")
-    leaders = members.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.rep").alias("a"), F.col("l.n").alias("leader_n"))
+    order = F.xxhash64("rep")
+    leaders = members.groupBy("key").agg(F.min_by("rep", order).alias("a"), F.min_by("n", order).alias("leader_n"))
     led = members.join(written(leaders, "leaders").hint("merge"), "key").filter("rep <> a").filter(alike_size("n", "leader_n"))
     together = led.groupBy(F.col("rep").alias("b"), "a").agg(F.count(F.lit(1)).alias("times"))
     links = confirmed(together.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"))

@@ -123,7 +123,8 @@ def _anchor_rows(docs: DataFrame, window: int, places: bool) -> DataFrame:
 
 
 def _candidate_windows(held: DataFrame, window: int) -> DataFrame:
-    """``hash, doc_id, start`` of the windows of ``held`` (``doc_id, text, ats``) whose anchor is in ``ats``."""
+    """``hash, doc_id, start, n`` of the windows of ``held`` (``doc_id, text, ats``) whose
+    anchor is in ``ats``: for equal windows of a document the first start and their number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -131,9 +132,12 @@ def _candidate_windows(held: DataFrame, window: int) -> DataFrame:
                 a = Anchored(text, window)
                 starts = np.flatnonzero(np.isin(a.anchor_of, ats)) if a.n_windows else []
                 if len(starts):
-                    yield pd.DataFrame({"hash": a.window_hashes()[starts].astype(np.int64), "doc_id": doc_id, "start": starts.astype(np.int32)})
+                    hashes, first, n = np.unique(a.window_hashes()[starts], return_index=True, return_counts=True)
+                    yield pd.DataFrame(
+                        {"hash": hashes.astype(np.int64), "doc_id": doc_id, "start": starts[first].astype(np.int32), "n": n.astype(np.int32)}
+                    )
 
-    return held.mapInPandas(run, "hash long, doc_id long, start int")
+    return held.mapInPandas(run, "hash long, doc_id long, start int, n int")
 
 
 def _excerpts(held: DataFrame, window: int, chosen: str) -> DataFrame:
@@ -204,11 +208,10 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     held = own.join(hits, F.col("doc_id") == F.col("id")).join(copies.hint("merge"), ["doc_id", "key"], "left_anti")
     held = written(held.select("doc_id", "text", "ats"), "held")
 
-    first = F.min(F.struct("doc_id", "start")).alias("first")
-    confirmed = written(
-        _candidate_windows(held, window).groupBy("hash").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("first.*"),
-        "confirmed",
-    )
+    # A document has one row for a window, so the smallest id decides its start.
+    places = _candidate_windows(held, window).groupBy("hash")
+    counted = places.agg(F.min("doc_id").alias("first_doc"), F.min_by("start", "doc_id").alias("start"), F.sum("n").alias("times"))
+    confirmed = written(counted.filter("times > 1").select(F.col("first_doc").alias("doc_id"), "start"), "confirmed")
     shards = max(1, confirmed.count() // SHARD_WINDOWS)
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
     starts = confirmed.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
