@@ -14,7 +14,6 @@ Sub-packages:
 * ``operators`` - DataFrame -> DataFrame operators (profit, calendar,
   filters, aggregates, periods, features, forecasting, backtests)
 * ``plans``     - composed flows (dashboard, report, forecast dispatch)
-* ``streaming`` - note on streaming (the modelled application has none)
 """
 
 from revcast.session import build_session, work_dir  # noqa: F401

@@ -12,17 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Formats tried after Spark's default ISO-8601 parser, in order.
-DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "M/d/yyyy",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy H:mm:ss",
-    "d-M-yyyy",
-    "yyyyMMdd",
-]
+_TAIL = r"(?:[ T]+(.+))?$"
+_YEAR = r"(\d{4}|\d{2})"
+# Day, month and year in numbers, in an order that the column decides: 1/2/2024, 1-2-24, 13.02.2024 10:30.
+_NUMBERS = rf"^(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-]{_YEAR}{_TAIL}"
+# The first number can only be the day; the second can only be the day.
+_DAY_THEN = rf"^(1[3-9]|[23]\d)[/.\-](\d{{1,2}})[/.\-]{_YEAR}{_TAIL}"
+_THEN_DAY = rf"^(\d{{1,2}})[/.\-](1[3-9]|[23]\d)[/.\-]{_YEAR}{_TAIL}"
+# Year first: 2024/1/5, 2024.01.05 10:30, 20240105.
+_YEAR_FIRST = rf"^(\d{{4}})[/.\-](\d{{1,2}})[/.\-](\d{{1,2}}){_TAIL}"
+_RUN = rf"^(\d{{4}})(\d{{2}})(\d{{2}}){_TAIL}"
+# Month by name: Jan 5, 2024; January 5th 2024; 5 January 2024; 05-Jan-24.
+_MONTH_FIRST = rf"(?i)^([a-z]{{3}})[a-z]*\.?[ \-/]+(\d{{1,2}})(?:st|nd|rd|th)?,?[ \-/]+{_YEAR}{_TAIL}"
+_DAY_FIRST = rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)?[ \-/]+([a-z]{{3}})[a-z]*\.?,?[ \-/]+{_YEAR}{_TAIL}"
+_MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
+_CLOCK = r"(?i)^(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d+)?))?\s*([ap]m)?$"
+# A plain or scientific decimal number; Spark's own cast also takes 5d, 1f, Infinity and NaN.
+_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 NUMERIC_TYPES = (
     T.ByteType, T.ShortType, T.IntegerType, T.LongType,
@@ -48,7 +54,8 @@ def field_type(df: DataFrame, name: str) -> T.DataType:
 
 
 def to_double(df: DataFrame, name: str, default: Column | float | None = 0.0) -> Column:
-    """Column ``name`` as double; unparseable text and NaN become ``default``."""
+    """Column ``name`` as double; text that is no decimal number, NaN and infinite
+    values become ``default``."""
     dtype = field_type(df, name)
     c = qcol(name)
     if is_numeric_type(dtype):
@@ -56,20 +63,75 @@ def to_double(df: DataFrame, name: str, default: Column | float | None = 0.0) ->
     elif isinstance(dtype, T.BooleanType):
         value = c.cast("int").cast("double")
     else:
-        value = F.expr("try_cast(`" + name.replace("`", "``") + "` AS double)")
-    value = F.nanvl(value, F.lit(None).cast("double"))
+        text = F.trim(c.cast("string"))
+        value = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    # False for NaN (above every number in Spark's order) and both infinities; null stays null.
+    value = F.when(F.abs(value) < float("inf"), value)
     if default is None:
         return value
     default_col = default if isinstance(default, Column) else F.lit(float(default))
     return F.coalesce(value, default_col)
 
 
-def to_timestamp_utc(df: DataFrame, name: str, formats: list[str] | None = None) -> Column:
+def _canonical(text: Column, day_first: bool) -> Column:
+    """``@year-month-day clock`` for a text in one of the forms; others stay as they are."""
+    by_column = r"@$3-$2-$1 $4" if day_first else r"@$3-$1-$2 $4"
+    for pattern, order in (
+        (_YEAR_FIRST, r"@$1-$2-$3 $4"),
+        (_RUN, r"@$1-$2-$3 $4"),
+        (_DAY_THEN, r"@$3-$2-$1 $4"),
+        (_THEN_DAY, r"@$3-$1-$2 $4"),
+        (_NUMBERS, by_column),
+        (_MONTH_FIRST, r"@$3-$1-$2 $4"),
+        (_DAY_FIRST, r"@$3-$2-$1 $4"),
+    ):
+        text = F.regexp_replace(text, pattern, order)
+    return text
+
+
+def _moment(canonical: Column) -> Column:
+    """The timestamp of a canonical text; null where it is none, names no day, or its time is not readable."""
+    body = F.substring_index(canonical, " ", 1)
+    clock = F.trim(F.substring(canonical, F.length(body) + 1, F.length(canonical)))
+    part = F.split(F.ltrim(body, F.lit("@")), "-")
+    year, month = F.get(part, F.lit(0)), F.get(part, F.lit(1))
+    y = year.try_cast("int")
+    # Two digits: 69 to 99 are 1969 to 1999, the rest 2000 to 2068.
+    y = F.when(F.length(year) == 2, F.when(y >= 69, y + 1900).otherwise(y + 2000)).otherwise(y)
+    names = F.create_map(*(F.lit(x) for kv in _MONTHS.items() for x in kv))
+    m = F.coalesce(month.try_cast("int"), F.try_element_at(names, F.lower(month)))
+    hour = F.regexp_extract(clock, _CLOCK, 1).try_cast("int")
+    half = F.lower(F.regexp_extract(clock, _CLOCK, 4))
+    hour = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).otherwise(hour)
+    seconds = F.coalesce(F.nullif(F.regexp_extract(clock, _CLOCK, 3), F.lit("")), F.lit("0"))
+    time = F.when(clock == "", F.lit("00:00:00")).when(
+        clock.rlike(_CLOCK), F.format_string("%02d:%s:%s", hour, F.regexp_extract(clock, _CLOCK, 2), seconds)
+    )
+    day = F.format_string("%04d-%02d-%02d", y, m, F.get(part, F.lit(2)).try_cast("int"))
+    return F.when(canonical.startswith("@"), F.try_to_timestamp(F.concat(day, F.lit(" "), time)))
+
+
+def is_text(df: DataFrame, name: str) -> bool:
+    return isinstance(field_type(df, name), T.StringType)
+
+
+def day_first_evidence(df: DataFrame, name: str) -> Column:
+    """Aggregate: 1 if a date in numbers starts with a number above 12, so that the
+    column writes the day first; 0 if some are in numbers but none does; null if none is."""
+    text = F.trim(qcol(name).cast("string"))
+    first = F.when(text.rlike(_NUMBERS), F.regexp_extract(text, _NUMBERS, 1).try_cast("int"))
+    return F.max((first > 12).cast("int"))
+
+
+def to_timestamp_utc(df: DataFrame, name: str, day_first: bool = False) -> Column:
     """Column ``name`` as a zone-less UTC timestamp (``timestamp_ntz``).
 
     Instants are rendered in the session time zone, which the library expects
-    to be UTC (as the modelled application parses with ``utc=True``).  Text
-    with an offset is normalised to UTC; junk becomes null.
+    to be UTC (as the modelled application parses with ``utc=True``).  Text may
+    be ISO-8601 (with an offset it is normalised to UTC), year first with any
+    separator, three numbers, or a month by name, each with an optional time of
+    day.  Three numbers are read month first unless ``day_first``; a number
+    above 12 is the day in either order.  Anything else becomes null.
     """
     dtype = field_type(df, name)
     c = qcol(name)
@@ -77,10 +139,11 @@ def to_timestamp_utc(df: DataFrame, name: str, formats: list[str] | None = None)
         return c
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return c.cast("timestamp_ntz")
-    text = c.cast("string")
-    attempts = [F.try_to_timestamp(text)]
-    attempts += [F.try_to_timestamp(text, F.lit(fmt)) for fmt in (formats or DATE_FORMATS)]
-    return F.coalesce(*attempts).cast("timestamp_ntz")
+    text = F.trim(c.cast("string"))
+    iso = F.when(text.rlike(r"^\d{4}(-|$)"), F.try_to_timestamp(text))
+    # Other forms only where ISO fails; the inner function has the canonical text computed once.
+    other = F.get(F.transform(F.array(_canonical(text, day_first)), _moment), F.lit(0))
+    return F.coalesce(iso, other).cast("timestamp_ntz")
 
 
 def to_label(df: DataFrame, name: str, default: str) -> Column:

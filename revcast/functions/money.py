@@ -1,14 +1,15 @@
-"""Exact money aggregation.
-
-Double sums depend on the order rows are added, so the same query can give
-different last digits on different partitionings.  Money sums are therefore
-exact: each row is rounded to whole micro-units (``rint(x * 1e6)``, exact for
-prices in cents times discount fractions), summed as a decimal, and rounded
-to cents once at the end.  The per-row step is double arithmetic plus a long
-(no ``BigDecimal`` per row); the long is widened to ``decimal(20,0)`` so the
-sum is a compact decimal that keeps the long fast path while it fits and
-widens instead of overflowing for very large totals.  A single row must stay
-below about 9.2e12 in absolute value (ANSI mode raises on overflow).
+"""Order-independent sums of measures.
+
+A sum of doubles depends on the order in which rows are added, so the same
+query could give other last digits on another partitioning.  Each value is
+therefore split: its whole micro-units are summed exactly as a decimal, and
+what is left below a micro-unit (nothing, for prices in cents times discount
+fractions) is summed as a double.  No digit is dropped: values below a cent,
+ratios and very large numbers add up like any others.  Nothing is rounded
+here; presentation rounds.
+
+Values that do not fit the exact part (above about 9e12, or infinite) go to
+the double part whole.
 """
 
 from __future__ import annotations
@@ -17,28 +18,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MICROS = 1_000_000
-
-
-def exact(col: Column | str) -> Column:
-    """Per-row money value in whole micro-units, as ``decimal(20,0)`` (null stays null)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.rint(c * float(MICROS)).cast("bigint").cast("decimal(20,0)")
+#: Largest value whose micro-units fit a long.
+EXACT_LIMIT = 9.0e12
 
 
 def money_sum(col: Column | str) -> Column:
-    """sum() of a money column, exact, rounded to cents, as double.
+    """sum() of a measure as double, the same for any order of rows.
 
-    An empty or all-null group gives 0.0 (pandas semantics), not null.
+    An empty or all-null group gives 0.0 (pandas semantics), not null.  NaN
+    counts as null.
     """
-    return F.coalesce(F.round(money_sum_decimal(col), 2).cast("double"), F.lit(0.0))
-
-
-def money_sum_decimal(col: Column | str) -> Column:
-    """Exact decimal sum in currency units, for callers that keep aggregating."""
-    return F.sum(exact(col)) / F.lit(MICROS)
-
-
-def cents(col: Column | str) -> Column:
-    """Round a decimal or double money value to cents, as double."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c, 2).cast("double")
+    c = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+    fits = F.abs(c) < EXACT_LIMIT
+    # A bigint widened to decimal(20,0) keeps the sum a compact decimal while it fits.
+    micros = F.when(fits, F.rint(c * float(MICROS))).cast("bigint")
+    rest = F.when(fits, c - micros.cast("double") / float(MICROS)).otherwise(c)
+    exact = F.coalesce(F.sum(micros.cast("decimal(20,0)")).cast("double") / float(MICROS), F.lit(0.0))
+    return exact + F.coalesce(F.sum(rest), F.lit(0.0))

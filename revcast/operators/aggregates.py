@@ -6,25 +6,26 @@ Where a result needs both per-group values and a total (shares, YoY), the
 transactions are aggregated once to the group level, that small result is
 checkpointed (``session.materialize``) and the total is a scalar subquery
 over it - one scan of the data, no join to a one-row frame and no
-single-partition window over transactions.  Money sums are exact (see
-``revcast.functions.money``).
+single-partition window over transactions.  Money sums do not depend on
+the order of rows (see ``revcast.functions.money``), and no operator rounds:
+a caller that presents values rounds them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcast import columns as C
-from revcast.functions.money import cents, money_sum, money_sum_decimal
+from revcast.functions.money import money_sum
 from revcast.session import materialize
 
-_DEC = "__revenue_dec"
+_SUM = "__revenue"
 
 
 def _grouped_revenue(df: DataFrame, group_col: str, with_units: bool = False) -> DataFrame:
-    """Exact revenue per non-null group value (pandas drops null keys)."""
-    aggs = [money_sum_decimal(C.REVENUE).alias(_DEC)]
+    """Revenue per non-null group value (pandas drops null keys)."""
+    aggs = [money_sum(C.REVENUE).alias(_SUM)]
     if with_units:
         aggs.append(F.coalesce(F.sum(C.UNITS), F.lit(0.0)).cast("double").alias(C.UNITS))
     return df.filter(F.col(group_col).isNotNull()).groupBy(group_col).agg(*aggs)
@@ -33,7 +34,7 @@ def _grouped_revenue(df: DataFrame, group_col: str, with_units: bool = False) ->
 def revenue_by(df: DataFrame, group_col: str, ascending: bool = True) -> DataFrame:
     """Revenue and units per group value, sorted by revenue (bar chart data)."""
     g = _grouped_revenue(df, group_col, with_units=True)
-    out = g.select(group_col, cents(F.coalesce(F.col(_DEC), F.lit(0))).alias(C.REVENUE), C.UNITS)
+    out = g.select(group_col, F.col(_SUM).alias(C.REVENUE), C.UNITS)
     order = F.col(C.REVENUE).asc() if ascending else F.col(C.REVENUE).desc()
     return out.orderBy(order, F.col(group_col).asc())
 
@@ -53,7 +54,7 @@ def product_drilldown(
 
 def revenue_by_region(df: DataFrame, region_col: str = C.REGION) -> DataFrame:
     g = _grouped_revenue(df, region_col)
-    return g.select(region_col, cents(F.col(_DEC)).alias(C.REVENUE))
+    return g.select(region_col, F.col(_SUM).alias(C.REVENUE))
 
 
 def category_summary(df: DataFrame, category_col: str = C.CATEGORY) -> DataFrame:
@@ -64,8 +65,8 @@ def category_summary(df: DataFrame, category_col: str = C.CATEGORY) -> DataFrame
         .agg(
             money_sum(C.REVENUE).alias("total_revenue"),
             F.coalesce(F.sum(C.UNITS), F.lit(0.0)).cast("double").alias("total_units"),
-            F.round(F.avg(C.PRICE), 4).alias("avg_price"),
-            F.round(F.avg(C.DISCOUNT) * 100, 6).alias("avg_discount_pct"),
+            F.avg(C.PRICE).alias("avg_price"),
+            (F.avg(C.DISCOUNT) * 100).alias("avg_discount_pct"),
         )
     )
 
@@ -76,15 +77,14 @@ def contribution(df: DataFrame, group_col: str) -> DataFrame:
     The total covers every row (a null group counts towards it but is not
     listed), as the shares of a report are of total revenue.
     """
-    g = materialize(df.groupBy(group_col).agg(money_sum_decimal(C.REVENUE).alias(_DEC)))
+    g = materialize(df.groupBy(group_col).agg(money_sum(C.REVENUE).alias(_SUM)))
     return contribution_from(g, group_col)
 
 
 def contribution_from(g: DataFrame, group_col: str) -> DataFrame:
-    """``contribution`` from a frame of exact per-group sums (``__revenue_dec``)."""
-    total_dec = g.agg(F.sum(_DEC)).scalar()
-    total = F.coalesce(F.round(total_dec, 2).cast("double"), F.lit(0.0))
-    revenue = cents(F.coalesce(F.col(_DEC), F.lit(0)))
+    """``contribution`` from a frame of per-group sums (``__revenue``)."""
+    total = g.agg(money_sum(_SUM)).scalar()
+    revenue = F.col(_SUM)
     return g.filter(F.col(group_col).isNotNull()).select(
         group_col,
         revenue.alias(C.REVENUE),
@@ -105,19 +105,61 @@ def category_contribution(df: DataFrame, category_col: str = C.CATEGORY) -> Data
     return contribution(df, category_col)
 
 
+def sales_facts(df: DataFrame, *groups: str | Column) -> DataFrame:
+    """Sums and counts per group from which KPIs, growth, shares and means follow.
+
+    ``sales_revenue, units_sold, __rows, __price, __prices, __disc, __discs, last_date``:
+    sums of revenue, units, prices and discounts, and how many rows, prices and
+    discounts they are of.  Price and date figures are left out where the frame
+    has no such column.
+    """
+    optional = []
+    if C.PRICE in df.columns:
+        optional += [F.sum(C.PRICE).alias("__price"), F.count(C.PRICE).alias("__prices")]
+    if C.DATE in df.columns:
+        optional.append(F.max(C.DATE).alias("last_date"))
+    return df.groupBy(*groups).agg(
+        money_sum(C.REVENUE).alias(C.REVENUE),
+        F.coalesce(F.sum(C.UNITS), F.lit(0.0)).cast("double").alias(C.UNITS),
+        F.count(F.lit(1)).alias("__rows"),
+        F.sum(C.DISCOUNT).alias("__disc"),
+        F.count(C.DISCOUNT).alias("__discs"),
+        *optional,
+    )
+
+
+def category_summary_from(facts: DataFrame, category_col: str = C.CATEGORY) -> DataFrame:
+    """``category_summary`` from ``sales_facts`` grouped by the category at least."""
+    return (
+        facts.filter(F.col(category_col).isNotNull())
+        .groupBy(category_col)
+        .agg(
+            money_sum(C.REVENUE).alias("total_revenue"),
+            F.sum(C.UNITS).alias("total_units"),
+            F.try_divide(F.sum("__price"), F.sum("__prices")).alias("avg_price"),
+            (F.try_divide(F.sum("__disc"), F.sum("__discs")) * 100).alias("avg_discount_pct"),
+        )
+    )
+
+
 def kpi_summary(df: DataFrame) -> DataFrame:
     """Total revenue, units, mean discount (%), average order value, rows."""
-    base = df.agg(
+    return kpi_summary_from(sales_facts(df))
+
+
+def kpi_summary_from(facts: DataFrame) -> DataFrame:
+    """``kpi_summary`` from ``sales_facts`` of any grouping."""
+    base = facts.agg(
         money_sum(C.REVENUE).alias("total_revenue"),
-        F.coalesce(F.sum(C.UNITS), F.lit(0.0)).cast("double").alias("total_units"),
-        F.round(F.avg(C.DISCOUNT) * 100, 6).alias("avg_discount_pct"),
-        F.count(F.lit(1)).alias("row_count"),
+        F.coalesce(F.sum(C.UNITS), F.lit(0.0)).alias("total_units"),
+        (F.try_divide(F.sum("__disc"), F.sum("__discs")) * 100).alias("avg_discount_pct"),
+        F.coalesce(F.sum("__rows"), F.lit(0)).cast("bigint").alias("row_count"),
     )
     return base.select(
         "total_revenue",
         "total_units",
         "avg_discount_pct",
-        F.when(F.col("row_count") > 0, F.round(F.col("total_revenue") / F.col("row_count"), 2))
+        F.when(F.col("row_count") > 0, F.col("total_revenue") / F.col("row_count"))
         .otherwise(F.lit(0.0))
         .alias("avg_order_value"),
         "row_count",
@@ -131,21 +173,20 @@ def yoy_growth(df: DataFrame, date_col: str = C.DATE) -> DataFrame:
     (label ``N/A``) when the data hold a single year.  The latest year may be
     partial; it is compared as is.
     """
-    yearly = materialize(
-        df.filter(F.col(date_col).isNotNull())
-        .groupBy(F.year(date_col).alias(C.YEAR))
-        .agg(money_sum_decimal(C.REVENUE).alias(_DEC))
+    return yoy_growth_from(
+        materialize(df.groupBy(F.year(date_col).alias(C.YEAR)).agg(money_sum(C.REVENUE).alias(C.REVENUE)))
     )
+
+
+def yoy_growth_from(per_year: DataFrame) -> DataFrame:
+    """``yoy_growth`` from revenue sums with their ``year`` (several rows of a year add up)."""
+    yearly = per_year.filter(F.col(C.YEAR).isNotNull()).groupBy(C.YEAR).agg(money_sum(C.REVENUE).alias(_SUM))
     latest = yearly.agg(F.max(C.YEAR)).scalar()
     agg = yearly.agg(
         F.max(C.YEAR).alias("latest_year"),
         F.count(F.lit(1)).alias("n_years"),
-        F.coalesce(F.round(F.sum(F.when(F.col(C.YEAR) == latest, F.col(_DEC))), 2).cast("double"), F.lit(0.0)).alias(
-            "latest_sales"
-        ),
-        F.coalesce(
-            F.round(F.sum(F.when(F.col(C.YEAR) == latest - 1, F.col(_DEC))), 2).cast("double"), F.lit(0.0)
-        ).alias("prev_sales"),
+        money_sum(F.when(F.col(C.YEAR) == latest, F.col(_SUM))).alias("latest_sales"),
+        money_sum(F.when(F.col(C.YEAR) == latest - 1, F.col(_SUM))).alias("prev_sales"),
     )
     growth = (
         F.when(F.col("n_years") <= 1, F.lit(None).cast("double"))
@@ -167,20 +208,20 @@ def report_kpis(df: DataFrame) -> DataFrame:
     """
     has_profit = C.PROFIT in df.columns
     aggs = [
-        money_sum_decimal(C.REVENUE).alias(_DEC),
+        money_sum(C.REVENUE).alias(_SUM),
         F.coalesce(F.sum(C.UNITS), F.lit(0.0)).alias("__units"),
         F.count(F.lit(1)).alias("row_count"),
     ]
     if has_profit:
-        aggs.append(money_sum_decimal(C.PROFIT).alias("__profit_dec"))
+        aggs.append(money_sum(C.PROFIT).alias("__profit"))
     return report_kpis_from(df.agg(*aggs), has_profit)
 
 
 def report_kpis_from(base: DataFrame, has_profit: bool) -> DataFrame:
-    """``report_kpis`` from one row of exact sums (revenue, units, rows, profit)."""
-    revenue = F.coalesce(F.round(F.col(_DEC), 2).cast("double"), F.lit(0.0))
+    """``report_kpis`` from one row of sums (revenue, units, rows, profit)."""
+    revenue = F.col(_SUM)
     if has_profit:
-        profit = F.coalesce(F.round(F.col("__profit_dec"), 2).cast("double"), F.lit(0.0))
+        profit = F.col("__profit")
     else:
         profit = revenue * F.lit(C.NO_CATEGORY_MARGIN)
     out = base.select(
@@ -214,10 +255,10 @@ def top_products(df: DataFrame, n: int = 5, product_col: str = C.PRODUCT) -> Dat
 
 
 def top_products_from(g: DataFrame, n: int = 5, product_col: str = C.PRODUCT) -> DataFrame:
-    """``top_products`` from exact per-product sums (``__revenue_dec``)."""
+    """``top_products`` from per-product sums (``__revenue``)."""
     g = g.filter(F.col(product_col).isNotNull())
     top = (
-        g.select(product_col, cents(F.col(_DEC)).alias(C.REVENUE))
+        g.select(product_col, F.col(_SUM).alias(C.REVENUE))
         .orderBy(F.col(C.REVENUE).desc(), F.col(product_col).asc())
         .limit(n)
     )
@@ -228,15 +269,19 @@ def top_products_from(g: DataFrame, n: int = 5, product_col: str = C.PRODUCT) ->
 def dataset_fingerprint(df: DataFrame) -> DataFrame:
     """``<revenue rounded to 1000>_<units>_<rows>`` summary key of a frame."""
     base = df.agg(
-        money_sum_decimal(C.REVENUE).alias(_DEC),
+        money_sum(C.REVENUE).alias(_SUM),
         F.coalesce(F.sum(C.UNITS), F.lit(0.0)).alias("__units"),
         F.count(F.lit(1)).alias("row_count"),
     )
-    rounded = F.bround(F.coalesce(F.col(_DEC), F.lit(0)), -3).cast("bigint")
+    # As a decimal, so that a half is a half; beyond its range the text of the double stands.
+    rounded = F.coalesce(
+        F.bround(F.expr(f"try_cast({_SUM} AS decimal(30,6))"), -3).cast("decimal(30,0)").cast("string"),
+        F.col(_SUM).cast("string"),
+    )
     return base.select(
         F.concat_ws(
             "_",
-            F.concat(rounded.cast("string"), F.lit(".0")),
+            F.concat(rounded, F.lit(".0")),
             F.col("__units").cast("bigint").cast("string"),
             F.col("row_count").cast("string"),
         ).alias("fingerprint")

@@ -4,7 +4,7 @@ Each region's revenue is split equally over the countries listed for it; a
 region without an entry goes to the default list.  The region table is a
 parameter: a Python mapping becomes a map literal (no join); a DataFrame
 ``(region, country)`` is grouped to one array per region and joined -
-broadcast only when its row count is under a checked limit.
+broadcast only when its measured bytes are under a limit.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from revcast import columns as C
 from revcast.operators.aggregates import revenue_by_region
-from revcast.operators.profit import BROADCAST_LIMIT
+from revcast.operators.profit import broadcast_if_small
 
 
 def _array_map(mapping: Mapping[str, Sequence[str]]):
@@ -43,8 +43,8 @@ def region_country_allocation(
         lists = countries.groupBy(F.col("region").alias("__r")).agg(
             F.array_sort(F.collect_set("country")).alias("__list")
         )
-        if lists.count() <= BROADCAST_LIMIT:
-            lists = F.broadcast(lists)
+        size = F.octet_length("__r") + F.aggregate("__list", F.lit(16), lambda a, c: a + F.octet_length(c) + 8)
+        lists = broadcast_if_small(lists, F.coalesce(size, F.lit(16)))
         with_list = regions.join(lists, regions[region_col] == lists["__r"], "left").withColumn(
             "__countries", F.coalesce(F.col("__list"), fallback)
         )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revcast import columns as C
-from revcast.functions.coerce import is_numeric_type
+from revcast.functions.coerce import qcol
 
 MAX_CATEGORICAL_DISTINCT = 15
 
@@ -55,16 +55,23 @@ def categorical_profile(
     return counts.select(F.inline(F.array(*rows)))
 
 
-def categorical_columns(df: DataFrame, exclude: Iterable[str] = C.NON_CATEGORICAL) -> list[str]:
-    """Names of categorical columns (strings need no job; numbers are counted)."""
+def categorical_columns(
+    df: DataFrame,
+    exclude: Iterable[str] = C.NON_CATEGORICAL,
+    max_distinct: int = MAX_CATEGORICAL_DISTINCT,
+) -> list[str]:
+    """Names of the columns that ``categorical_profile`` calls categorical, in
+    schema order.  Strings need no job; all others (numbers, booleans, dates) are
+    counted in one."""
     excluded = set(exclude)
-    fields = [f for f in df.schema.fields if f.name not in excluded]
-    numeric = [f.name for f in fields if is_numeric_type(f.dataType)]
-    small = set()
-    if numeric:
-        row = df.agg(*[F.count_distinct(F.col(f"`{n}`")).alias(n) for n in numeric]).first()
-        small = {n for n in numeric if row[n] < MAX_CATEGORICAL_DISTINCT}
-    return [f.name for f in fields if isinstance(f.dataType, T.StringType) or f.name in small]
+    names = [f.name for f in df.schema.fields if f.name not in excluded]
+    strings = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    counted = [n for n in names if n not in strings]
+    small = strings
+    if counted:
+        rows = categorical_profile(df.select(*(qcol(n) for n in counted)), (), max_distinct).filter("is_categorical = 1").collect()
+        small = strings | {r["column_name"] for r in rows}
+    return [n for n in names if n in small]
 
 
 def date_bounds(df: DataFrame, date_col: str = C.DATE) -> DataFrame:

@@ -29,8 +29,8 @@ narrow projection (array lookups, ``model.transform``, ``concat``) over one
 row per series, so ``h`` steps add no shuffle.
 
 Series that fail the history guard (fewer than 15 periods or fewer than 6
-complete feature rows) are left out of training and forecasting; see
-``features.history_status`` for which ones.
+complete feature rows) are left out of training and forecasting; the result's
+``status`` has a row for every series.
 """
 
 from __future__ import annotations
@@ -67,19 +67,23 @@ DETRENDED_FEATURES = [lag_name(k) for k in C.DEFAULT_LAGS] + [ROLL_MEAN, ROLL_ST
 RAW_FEATURES = DETRENDED_FEATURES + [C.YEAR]
 
 
-def make_estimator(code: str, features: str = "features", label: str = "label"):
+#: Split candidates of a feature.  Spark's trees cut at quantiles; with this many,
+#: series of up to a few hundred periods are cut at every value.
+MAX_BINS = 256
+
+
+def make_estimator(code: str, features: str = "features", label: str = "label", max_bins: int = MAX_BINS):
     """Regularised regressors (fixed hyper-parameters of the modelled app)."""
-    # Split candidates are Spark's quantile bins (maxBins), which is what
-    # lets tree training scale; node-id caching avoids re-walking trees per level.
+    # Node-id caching avoids re-walking trees per level.
     if code == "rf":
         return RandomForestRegressor(
             featuresCol=features, labelCol=label, numTrees=100, maxDepth=8, minInstancesPerNode=2,
-            featureSubsetStrategy="all", maxBins=32, cacheNodeIds=True, maxMemoryInMB=512, seed=42,
+            featureSubsetStrategy="all", maxBins=max_bins, cacheNodeIds=True, maxMemoryInMB=512, seed=42,
         )
     if code == "gbt":
         return GBTRegressor(
             featuresCol=features, labelCol=label, maxIter=100, stepSize=0.05, maxDepth=4,
-            subsamplingRate=0.8, featureSubsetStrategy="0.8", maxBins=32, cacheNodeIds=True, seed=42,
+            subsamplingRate=0.8, featureSubsetStrategy="0.8", maxBins=max_bins, cacheNodeIds=True, seed=42,
         )
     if code == "lr":
         return LinearRegression(featuresCol=features, labelCol=label, solver="normal", regParam=0.0)
@@ -92,10 +96,24 @@ def _prepared(series: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return series.select(*cols)
 
 
-def _eligible(prepared: DataFrame, k: list[str]) -> DataFrame:
-    status = history_status(prepared.withColumnRenamed("y", "__v"), k, value="__v")
-    ok = status.filter(F.col("status") == "ok").select(*k)
-    return prepared.join(ok, on=k, how="left_semi")
+def _status(prepared: DataFrame, k: list[str]) -> DataFrame:
+    return materialize(history_status(prepared.withColumnRenamed("y", "__v"), k, value="__v"))
+
+
+#: Training rows in one partition.
+LAYOUT_ROWS = 50_000
+
+
+def _laid_out(rows: DataFrame, k: list[str]) -> DataFrame:
+    """Training rows in partitions and an order that only the rows themselves decide.
+
+    Bagging draws by partition and place, so without this a forest would differ
+    with the number of shuffle partitions.  The frame is written so that the fit's
+    passes read it as it was laid out.
+    """
+    rows = materialize(rows)
+    n = 1 + rows.count() // LAYOUT_ROWS
+    return rows.repartition(n, F.xxhash64(*k, C.DS)).sortWithinPartitions(*k, C.DS)
 
 
 def _trend(df: DataFrame, k: list[str], train_only: bool) -> DataFrame:
@@ -115,11 +133,21 @@ def _design(prepared: DataFrame, k: list[str], train_only: bool, pooled: bool) -
     """Detrended, scaled series with lag/rolling features (all rows)."""
     df = _trend(prepared, k, train_only).withColumn("yd", F.col("y") - F.col("trend"))
     if pooled:
-        sd = F.stddev_pop("yd").over(Window.partitionBy(*k))
+        # The spread of the rows that the model may see, like the trend.
+        seen = F.col("yd")
+        if train_only:
+            df = holdout_split(df, k)
+            seen = F.when(F.col("split") == "train", F.col("yd"))
+        sd = F.stddev_pop(seen).over(Window.partitionBy(*k))
+        df = df.withColumn("scale", sd).drop("n_rows", "test_size", "split")
+        sd = F.col("scale")
         df = df.withColumn("scale", F.when(sd > 0, sd).otherwise(F.lit(1.0)))
     else:
         df = df.withColumn("scale", F.lit(1.0))
-    df = df.withColumn("label", F.col("yd") / F.col("scale"))
+    # Eleven digits: the last ones of the trend hang on the order in which partial sums
+    # met, and a tree may choose between equal cuts by them.
+    label = F.col("yd") / F.col("scale")
+    df = df.withColumn("label", F.when(label.isNotNull(), F.format_string("%.10e", label).cast("double")))
     return regression_features(df, k, value="label")
 
 
@@ -144,12 +172,14 @@ def _assembler(features: list[str]) -> VectorAssembler:
 
 
 class RegressionForecast:
-    """Result of ``train_regression_model``: forecast, metrics and model name."""
+    """Result of ``train_regression_model``: forecast, metrics, model name, and the
+    status of every series, also of those left out."""
 
-    def __init__(self, forecast: DataFrame, metrics: DataFrame, model_name: str):
+    def __init__(self, forecast: DataFrame, metrics: DataFrame, model_name: str, status: DataFrame):
         self.forecast = forecast
         self.metrics = metrics
         self.model_name = model_name
+        self.status = status
 
 
 def train_regression_model(
@@ -160,19 +190,31 @@ def train_regression_model(
     value: str = C.REVENUE,
     freq: str = "ME",
 ) -> RegressionForecast:
-    """Backtest, refit and recursively forecast every eligible series."""
-    if not 1 <= int(horizon) <= C.MAX_HORIZON:
-        raise ValueError(f"horizon must be between 1 and {C.MAX_HORIZON}")
+    """Backtest, refit and recursively forecast every eligible series.
+
+    Where no series is eligible, forecast and metrics are empty and the status
+    says why.
+    """
+    if int(horizon) < 1:
+        raise ValueError("horizon must be at least 1")
     freq = normalise_freq(freq)
     pooled = bool(keys)
     prepared, k = keyed(_prepared(series, keys, value), keys)
-    prepared = _eligible(_checkpointed(prepared), k)
+    prepared = _checkpointed(prepared)
+    status = _status(prepared, k)
+    prepared = prepared.join(status.filter(F.col("status") == "ok").select(*k), on=k, how="left_semi")
+    status = unkeyed(status)
+    if prepared.isEmpty():
+        nothing = prepared.select(*k, C.DS, *(F.lit(0.0).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")))
+        scores = error_metrics(prepared.withColumn("yhat", F.col("y")), k).withColumn("model", F.lit(MODEL_NAMES[model]))
+        nothing = nothing.withColumn("is_future", F.lit(False))
+        return RegressionForecast(unkeyed(nothing), unkeyed(scores), MODEL_NAMES[model], status)
     asm = _assembler(DETRENDED_FEATURES)
 
     # 1-3: trend on the training part, model on the training rows, holdout metrics.
     clean = _complete(_design(prepared, k, train_only=True, pooled=pooled), k)
-    train = asm.transform(clean.filter(F.col("split") == "train"))
-    fitted = make_estimator(model).fit(train)
+    train = _laid_out(clean.filter(F.col("split") == "train"), k)
+    fitted = make_estimator(model).fit(asm.transform(train))
     test = fitted.transform(asm.transform(clean.filter(F.col("split") == "test")))
     test = test.withColumn("yhat", F.col("prediction") * F.col("scale") + F.col("trend"))
     metrics = error_metrics(test, k, "y", "yhat").withColumn("model", F.lit(MODEL_NAMES[model]))
@@ -180,7 +222,7 @@ def train_regression_model(
     # 4: refit on everything; residual spread in original units.
     design_full = _design(prepared, k, train_only=False, pooled=pooled)
     clean_full = _complete(design_full, k)
-    full_model = make_estimator(model).fit(asm.transform(clean_full))
+    full_model = make_estimator(model).fit(asm.transform(_laid_out(clean_full, k)))
     resid = (
         full_model.transform(asm.transform(clean_full))
         .withColumn("r", (F.col("label") - F.col("prediction")) * F.col("scale"))
@@ -196,7 +238,7 @@ def train_regression_model(
         F.lit(False).alias("is_future"),
     )
     forecast = history.unionByName(future.withColumn("is_future", F.lit(True)))
-    return RegressionForecast(unkeyed(forecast), unkeyed(metrics), MODEL_NAMES[model])
+    return RegressionForecast(unkeyed(forecast), unkeyed(metrics), MODEL_NAMES[model], status)
 
 
 def _last_values(design: DataFrame, k: list[str], n: int = max(C.DEFAULT_LAGS)) -> DataFrame:
@@ -267,31 +309,66 @@ def recursive_forecast(
 # ---------------------------------------------------------------------------
 # Backtests of all models (overfit report)
 # ---------------------------------------------------------------------------
+#: Complete feature rows that a backtest needs: one to train on and one to test.
+MIN_BACKTEST_ROWS = 2
+
+
+class Backtests:
+    """Backtests of several models on the same series, which is written once.
+
+    A series takes part if it has two complete feature rows; shorter ones keep
+    their row in ``status``.  The tables of raw and of detrended features are
+    written when the first model asks for them.
+    """
+
+    def __init__(self, series: DataFrame, keys: Sequence[str] = (), value: str = C.REVENUE):
+        prepared, self.k = keyed(_prepared(series, keys, value), keys)
+        self.prepared = materialize(prepared)
+        self.pooled = bool(keys)
+        self.status = _backtest_status(self.prepared, self.k)
+        self._tables: dict[str, DataFrame] = {}
+
+    def _table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            ok = self.status.filter(F.col("status") == "ok").select(*self.k)
+            rows = self.prepared.join(ok, on=self.k, how="left_semi")
+            if name == "raw":
+                design = regression_features(rows.withColumn("label", F.col("y")), self.k, value="label")
+                design = design.withColumn("scale", F.lit(1.0)).withColumn("trend", F.lit(0.0))
+            else:
+                design = _design(rows, self.k, train_only=True, pooled=self.pooled)
+            self._tables[name] = materialize(_complete(design, self.k))
+        return self._tables[name]
+
+    def predictions(self, model: str) -> DataFrame:
+        """Per-split predictions on the original scale; ``lr`` on raw lags with the year, trees on detrended ones."""
+        features = RAW_FEATURES if model == "lr" else DETRENDED_FEATURES
+        clean = self._table("raw" if model == "lr" else "detrended")
+        if clean.isEmpty():
+            return clean.select(*self.k, C.DS, "y", F.col("y").alias("yhat"), "split")
+        asm = _assembler(features)
+        fitted = make_estimator(model).fit(asm.transform(_laid_out(clean.filter(F.col("split") == "train"), self.k)))
+        pred = fitted.transform(asm.transform(clean))
+        yhat = F.col("prediction") * F.col("scale") + F.col("trend")
+        return pred.select(*self.k, C.DS, "y", yhat.alias("yhat"), "split")
+
+
+def _backtest_status(prepared: DataFrame, k: list[str]) -> DataFrame:
+    status = history_status(prepared.withColumnRenamed("y", "__v"), k, value="__v", min_periods=0, min_clean=MIN_BACKTEST_ROWS)
+    return materialize(status)
+
+
 def lag_regression_backtest(series: DataFrame, keys: Sequence[str] = (), value: str = C.REVENUE) -> DataFrame:
     """Linear regression on raw lags, rolling stats, month and year: per split
     predictions (no detrending), for the overfit report."""
-    prepared, k = keyed(_prepared(series, keys, value), keys)
-    prepared = _eligible(_checkpointed(prepared), k)
-    feats = regression_features(prepared.withColumn("label", F.col("y")), k, value="label")
-    clean = _checkpointed(_complete(feats.withColumn("scale", F.lit(1.0)), k))
-    asm = _assembler(RAW_FEATURES)
-    fitted = make_estimator("lr").fit(asm.transform(clean.filter(F.col("split") == "train")))
-    pred = fitted.transform(asm.transform(clean)).withColumn("yhat", F.col("prediction"))
-    return unkeyed(pred.select(*k, C.DS, "y", "yhat", "split"))
+    return unkeyed(Backtests(series, keys, value).predictions("lr"))
 
 
 def detrended_backtest(
     series: DataFrame, model: str, keys: Sequence[str] = (), value: str = C.REVENUE
 ) -> DataFrame:
     """Tree model on detrended features: per split predictions on the original scale."""
-    prepared, k = keyed(_prepared(series, keys, value), keys)
-    prepared = _eligible(_checkpointed(prepared), k)
-    clean = _checkpointed(_complete(_design(prepared, k, train_only=True, pooled=bool(keys)), k))
-    asm = _assembler(DETRENDED_FEATURES)
-    fitted = make_estimator(model).fit(asm.transform(clean.filter(F.col("split") == "train")))
-    pred = fitted.transform(asm.transform(clean))
-    pred = pred.withColumn("yhat", F.col("prediction") * F.col("scale") + F.col("trend"))
-    return unkeyed(pred.select(*k, C.DS, "y", "yhat", "split"))
+    return unkeyed(Backtests(series, keys, value).predictions(model))
 
 
 OVERFIT_MODEL_NAMES = {
@@ -304,11 +381,15 @@ OVERFIT_MODEL_NAMES = {
 def ml_overfit_report(
     series: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = ("lr", "rf", "gbt"), value: str = C.REVENUE
 ) -> DataFrame:
-    """Overfit rows (train/test R^2 and MAE, gap) of the Spark ML models."""
-    out = None
+    """Overfit rows (train/test R^2 and MAE, gap, status) of the Spark ML models.
+
+    Every series has a row for each model; the figures are null where ``status``
+    is not ``ok``.
+    """
+    tests = Backtests(series, keys, value)
+    k, out = tests.k, None
     for code in models:
-        pred = lag_regression_backtest(series, keys, value) if code == "lr" else detrended_backtest(series, code, keys, value)
-        p, k = keyed(pred, keys)
-        rows = unkeyed(overfit_table(p, k, OVERFIT_MODEL_NAMES[code]))
+        table = overfit_table(tests.predictions(code), k, OVERFIT_MODEL_NAMES[code]).drop("model")
+        rows = tests.status.select(*k, "status").join(table, on=k, how="left").withColumn("model", F.lit(OVERFIT_MODEL_NAMES[code]))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return unkeyed(out.select(*k, "model", "train_r2", "test_r2", "train_mae", "test_mae", "overfit_gap", "status"))

@@ -18,21 +18,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcast import columns as C
-from revcast.functions.money import money_sum_decimal
+from revcast.functions.money import money_sum
 from revcast.functions.periods import normalise_freq, period_end, periods_between, step_periods
 
-_DEC = "__revenue_dec"
+_SUM = "__revenue"
 
 
 def aggregate_periods(df: DataFrame, freq: str = "ME", keys: Sequence[str] = (), date_col: str = C.DATE) -> DataFrame:
-    """Per ``(keys, ds)``: exact revenue sum, units sum, mean discount (no spine)."""
+    """Per ``(keys, ds)``: revenue sum, units sum, mean discount (no spine)."""
     keys = list(keys)
     valid = F.col(date_col).isNotNull()
     for k in keys:
         valid = valid & F.col(k).isNotNull()
     labelled = df.filter(valid).withColumn(C.DS, period_end(date_col, freq))
     return labelled.groupBy(*keys, C.DS).agg(
-        money_sum_decimal(C.REVENUE).alias(_DEC),
+        money_sum(C.REVENUE).alias(_SUM),
         F.sum(C.UNITS).alias(C.UNITS),
         F.avg(C.DISCOUNT).alias(C.DISCOUNT),
     )
@@ -54,9 +54,9 @@ def resample(
     return agg.select(
         *keys,
         C.DS,
-        F.coalesce(F.round(F.col(_DEC), 2).cast("double"), F.lit(0.0)).alias(C.REVENUE),
+        F.coalesce(F.col(_SUM), F.lit(0.0)).alias(C.REVENUE),
         F.coalesce(F.col(C.UNITS), F.lit(0.0)).cast("double").alias(C.UNITS),
-        F.round(F.col(C.DISCOUNT), 8).alias(C.DISCOUNT),
+        C.DISCOUNT,
     )
 
 

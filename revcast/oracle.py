@@ -1,9 +1,8 @@
 """DuckDB/ANSI SQL text of each registered query (the correctness oracle).
 
 Every statement starts from the same ``sales`` CTE as ``sales_view`` and
-reproduces the operator independently in SQL.  Money sums use the same exact
-decimal-then-cents rule as the Spark side so both engines produce identical
-doubles.
+reproduces the operator independently in SQL.  Money sums are exact decimals;
+both sides round only the columns of the result.
 """
 
 from __future__ import annotations
@@ -22,6 +21,16 @@ def msum(expr: str) -> str:
     return f"COALESCE(CAST(CAST(ROUND(SUM(CAST({expr} AS DECIMAL(24,6))), 2) AS DECIMAL(38,2)) AS DOUBLE), 0.0)"
 
 
+def total(expr: str) -> str:
+    """Exact money sum as DOUBLE, not rounded (0.0 when empty)."""
+    return f"COALESCE(CAST(SUM(CAST({expr} AS DECIMAL(24,6))) AS DOUBLE), 0.0)"
+
+
+def half_up(expr: str, digits: int = 2) -> str:
+    """A double rounded by its decimal digits, halves up, as Spark rounds (DuckDB's ROUND of a double is binary)."""
+    return f"CAST(ROUND(CAST({expr} AS DECIMAL(30,6)), {digits}) AS DOUBLE)"
+
+
 def mdec(expr: str) -> str:
     """Exact decimal money sum (for further aggregation)."""
     return f"SUM(CAST({expr} AS DECIMAL(24,6)))"
@@ -82,8 +91,8 @@ def series_ctes(keys=(), freq: str = "ME", source: str = "sales", name: str = "s
     sp = f"{name}_sp AS (SELECT {kc}{lab} AS ds FROM {name}_sp0)"
     using = ", ".join(keys + ["ds"])
     ser = (
-        f"{name} AS (SELECT {''.join(f's.{k}, ' for k in keys)}s.ds, COALESCE({cents('a.d')}, 0.0) AS sales_revenue, "
-        f"CAST(COALESCE(a.u, 0) AS DOUBLE) AS units_sold, ROUND(a.disc, 8) AS discount "
+        f"{name} AS (SELECT {''.join(f's.{k}, ' for k in keys)}s.ds, COALESCE(CAST(a.d AS DOUBLE), 0.0) AS sales_revenue, "
+        f"CAST(COALESCE(a.u, 0) AS DOUBLE) AS units_sold, a.disc AS discount "
         f"FROM {name}_sp s LEFT JOIN {name}_agg a USING ({using}))"
     )
     return [agg, bnd, sp0, sp, ser]

@@ -3,29 +3,34 @@
 ``prepare`` maps a raw table to the canonical schema and adds calendar
 features; ``apply_filters`` applies the date range and membership filters
 on source columns (so they reach the scan); ``dashboard`` returns every
-widget's frame.  The filtered frame is persisted when several widgets will
-read it, so the scan and filters run once.
+widget's frame.  The filtered rows are aggregated once, to one row per month,
+region, category and product; that frame is checkpointed and every widget but
+the two that show single rows is derived from it.  No transactions are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from revcast import columns as C
+from revcast.functions.periods import period_end
 from revcast.operators import aggregates as A
 from revcast.operators import filters as FL
 from revcast.operators.allocation import region_country_allocation
 from revcast.operators.calendar import engineer_features
 from revcast.operators.periods import sales_trend
 from revcast.operators.sampling import explorer_page, price_volume_sample
+from revcast.session import materialize
 from revcast.sources.mapping import map_and_clean, suggest_mappings
 
 
-def prepare(raw: DataFrame, date_col: str | None = None, sales_col: str | None = None) -> DataFrame:
+def prepare(raw: DataFrame, date_col: str | None = None, sales_col: str | None = None, **known) -> DataFrame:
+    """Mapped rows with calendar features; ``known`` is passed to ``map_and_clean``."""
     guess_date, guess_sales = suggest_mappings(raw)
-    return engineer_features(map_and_clean(raw, date_col or guess_date, sales_col or guess_sales))
+    return engineer_features(map_and_clean(raw, date_col or guess_date, sales_col or guess_sales, **known))
 
 
 def apply_filters(
@@ -36,29 +41,47 @@ def apply_filters(
 ) -> DataFrame:
     out = df
     if start is not None or end is not None:
-        bounds = FL.date_bounds(df).first()
+        bounds = FL.date_bounds(df).first() if start is None or end is None else None
         out = FL.filter_date_range(out, start or bounds["min_date"].date(), end or bounds["max_date"].date())
     return FL.filter_isin(out, selections or {})
 
 
-def dashboard(df: DataFrame, drilldown: str | None = None, persist: bool = True) -> dict[str, DataFrame]:
+def choose_column(df: DataFrame, wanted: str, place: int = 0) -> str | None:
+    """``wanted`` if the frame has it, else the categorical column at ``place`` (or the first), else none."""
+    if wanted in df.columns:
+        return wanted
+    others = FL.categorical_columns(df)
+    return others[min(place, len(others) - 1)] if others else None
+
+
+def facts(df: DataFrame) -> DataFrame:
+    """``sales_facts`` per month (labelled by its last day), region, category and product."""
+    month = F.when(F.col(C.DATE).isNotNull(), period_end(C.DATE, "ME"))
+    per_month = A.sales_facts(df.withColumn("__month", month), "__month", C.REGION, C.CATEGORY, C.PRODUCT)
+    return materialize(
+        per_month.withColumnRenamed("__month", C.DATE)
+        .withColumn(C.YEAR, F.year(C.DATE))
+        .withColumn(C.DISCOUNT, F.try_divide("__disc", "__discs"))
+    )
+
+
+def dashboard(df: DataFrame, drilldown: str | None = None) -> dict[str, DataFrame]:
     """Every widget's data for an already filtered sales frame."""
-    if persist:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    pre = facts(df)
     out = {
-        "kpis": A.kpi_summary(df),
-        "yoy": A.yoy_growth(df),
-        "trend": sales_trend(df),
-        "region_map": region_country_allocation(df),
-        "revenue_by_category": A.revenue_by_category(df),
-        "category_share": A.category_share(df),
-        "category_summary": A.category_summary(df),
+        "kpis": A.kpi_summary_from(pre),
+        "yoy": A.yoy_growth_from(pre),
+        "trend": sales_trend(pre),
+        "region_map": region_country_allocation(pre),
+        "revenue_by_category": A.revenue_by_category(pre),
+        "category_share": A.category_share(pre),
+        "category_summary": A.category_summary_from(pre),
         "price_volume": price_volume_sample(df),
         "explorer": explorer_page(df),
     }
     if drilldown is not None:
-        out["drilldown"] = A.product_drilldown(df, drilldown)
+        out["drilldown"] = A.product_drilldown(pre, drilldown)
     return out
 
 
-__all__ = ["prepare", "apply_filters", "dashboard"]
+__all__ = ["prepare", "apply_filters", "choose_column", "facts", "dashboard"]

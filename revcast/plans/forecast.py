@@ -1,7 +1,8 @@
 """Forecast request: resample -> guard -> model -> future rows.
 
 ``forecast`` dispatches by model name (the form choice of the modelled
-dashboard) and validates the horizon (1-12 periods).  ``trend_season``
+dashboard) and validates the horizon (1-12 periods, the form's limit; the
+models themselves take any).  ``trend_season``
 (the Prophet stand-in the application falls back to) has no holdout
 metrics; the regression models return per-series MAE/RMSE/R^2.
 """
@@ -19,6 +20,7 @@ from revcast.operators import trend_season as TS
 from revcast.operators.features import history_status
 from revcast.operators.periods import resample
 from revcast.operators.series import keyed, unkeyed
+from revcast.session import materialize
 from revcast.sources.files import forecast_export, forecast_file_name, write_forecast_csv
 
 MODEL_ALIASES = {
@@ -65,14 +67,16 @@ def forecast(
         raise ValueError(f"Unknown model {model!r}")
     if not 1 <= int(horizon) <= C.MAX_HORIZON:
         raise ValueError(f"horizon must be between 1 and {C.MAX_HORIZON}")
-    status = history_status(series, keys)
+    # The series is written once; guard, fit and forecast read that.
+    s, k = keyed(materialize(series), keys)
+    status_of = materialize(history_status(s, k))
+    status = unkeyed(status_of)
     if code == "trend_season":
-        s, k = keyed(series, keys)
-        ok = history_status(s, k).filter(F.col("n_periods") >= C.MIN_HISTORY_PERIODS).select(*k)
+        ok = status_of.filter(F.col("n_periods") >= C.MIN_HISTORY_PERIODS).select(*k)
         eligible = unkeyed(s.join(ok, on=k, how="left_semi"))
         fc = TS.trend_season_forecast(eligible, horizon, keys, freq=freq)
         return ForecastResult(fc, None, TREND_SEASON_NAME, status)
-    result = ML.train_regression_model(series, horizon, code, keys, freq=freq)
+    result = ML.train_regression_model(unkeyed(s), horizon, code, keys, freq=freq)
     return ForecastResult(result.forecast, result.metrics, result.model_name, status)
 
 

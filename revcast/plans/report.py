@@ -8,8 +8,8 @@ Sections by report type:
 * ``products``  - summary KPIs, category contribution and top products.
 
 The transactions are aggregated once, to one row per (region, category,
-product) with exact revenue/profit sums, units and row counts; that frame is
-checkpointed and every section is derived from it (sums of sums are exact),
+product) with revenue/profit sums, units and row counts; that frame is
+checkpointed and every section is derived from it (sums of sums do not depend on row order either),
 so a report is one scan and one shuffle of the data however many sections it
 has.  Rendering the facts as HTML is left to the caller.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revcast import columns as C
-from revcast.functions.money import money_sum_decimal
-from revcast.operators.aggregates import contribution_from, report_kpis_from, top_products_from
+from revcast.functions.money import money_sum
+from revcast.operators.aggregates import _SUM, contribution_from, report_kpis_from, top_products_from
 from revcast.session import materialize
 
 REPORT_TYPES = ("executive", "regional", "products")
@@ -29,29 +29,26 @@ SUMMARY_ITEMS = ["total_revenue", "total_profit", "margin_pct", "total_units", "
 REPORT_SCHEMA = "section string, rank int, item string, value double, pct double"
 
 
-_DEC = "__revenue_dec"
-
-
 def _pre_aggregate(df: DataFrame) -> tuple[DataFrame, bool]:
     has_profit = C.PROFIT in df.columns
     aggs = [
-        money_sum_decimal(C.REVENUE).alias(_DEC),
+        money_sum(C.REVENUE).alias(_SUM),
         F.coalesce(F.sum(C.UNITS), F.lit(0.0)).alias("__units"),
         F.count(F.lit(1)).alias("__rows"),
     ]
     if has_profit:
-        aggs.append(money_sum_decimal(C.PROFIT).alias("__profit_dec"))
+        aggs.append(money_sum(C.PROFIT).alias("__profit"))
     return materialize(df.groupBy(C.REGION, C.CATEGORY, C.PRODUCT).agg(*aggs)), has_profit
 
 
 def _summary(pre: DataFrame, has_profit: bool) -> DataFrame:
     sums = [
-        F.sum(_DEC).alias(_DEC),
+        money_sum(_SUM).alias(_SUM),
         F.coalesce(F.sum("__units"), F.lit(0.0)).alias("__units"),
         F.coalesce(F.sum("__rows"), F.lit(0)).cast("bigint").alias("row_count"),
     ]
     if has_profit:
-        sums.append(F.sum("__profit_dec").alias("__profit_dec"))
+        sums.append(money_sum("__profit").alias("__profit"))
     k = report_kpis_from(pre.agg(*sums), has_profit)
     rows = [
         F.struct(
@@ -71,7 +68,7 @@ def _shares(pre: DataFrame, col: str, section: str) -> DataFrame:
     need a single-partition window over all of them; order by ``value`` when
     presenting.
     """
-    c = contribution_from(pre.groupBy(col).agg(F.sum(_DEC).alias(_DEC)), col)
+    c = contribution_from(pre.groupBy(col).agg(money_sum(_SUM).alias(_SUM)), col)
     return c.select(
         F.lit(section).alias("section"),
         F.lit(0).alias("rank"),
@@ -82,7 +79,7 @@ def _shares(pre: DataFrame, col: str, section: str) -> DataFrame:
 
 
 def _top(pre: DataFrame, n: int) -> DataFrame:
-    t = top_products_from(pre.groupBy(C.PRODUCT).agg(F.sum(_DEC).alias(_DEC)), n)
+    t = top_products_from(pre.groupBy(C.PRODUCT).agg(money_sum(_SUM).alias(_SUM)), n)
     return t.select(
         F.lit("top_products").alias("section"),
         F.col("rank").cast("int").alias("rank"),

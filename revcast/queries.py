@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from revcast import columns as C
 from revcast.operators import aggregates as A
 from revcast.operators.profit import calculate_profit
-from revcast.oracle import PROFIT_CTE, cents, mdec, msum, oracle, with_sales
+from revcast.functions.money import money_sum
+from revcast.oracle import PROFIT_CTE, cents, half_up, mdec, msum, oracle, total, with_sales
 from revcast.sources.tables import sales_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +44,21 @@ def monthly(spark: SparkSession, sf_dir: str, keys, freq: str = "ME") -> DataFra
 
 
 def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
-    """Round the named double columns for presentation and comparison."""
-    return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
+    """Round the named double columns for presentation and comparison.
+
+    Sums of money first to four digits more, so that one a hair below a half cent
+    is rounded as the half that it is.
+    """
+    return df.withColumns(
+        {c: F.round(F.round(c, d + 4) if c in SUMS or c.startswith("sales_lag_") else F.col(c), d) for c, d in digits.items()}
+    )
+
+
+SUMS = {C.REVENUE, C.PROFIT, "total_revenue", "total_profit", "latest_sales", "prev_sales", "sales", "value"}
+MONEY = {C.REVENUE: 2}
+MONEY_PROFIT = {C.REVENUE: 2, C.PROFIT: 2}
+SHARE = {C.REVENUE: 2, "pct": 6, "total_revenue": 2}
+KPIS = {"total_revenue": 2, "avg_discount_pct": 6, "avg_order_value": 2}
 
 
 # ---------------------------------------------------------------------------
@@ -61,11 +75,12 @@ oracle("sales_view", with_sales() + "SELECT * FROM sales")
 @query("profit_by_category")
 def q_profit_by_category(spark, sf_dir):
     df = sales(spark, sf_dir)
-    return df.groupBy(C.CATEGORY).agg(
+    out = df.groupBy(C.CATEGORY).agg(
         F.max(C.MARGIN).alias(C.MARGIN),
-        A.money_sum(C.REVENUE).alias(C.REVENUE),
-        A.money_sum(C.PROFIT).alias(C.PROFIT),
+        money_sum(C.REVENUE).alias(C.REVENUE),
+        money_sum(C.PROFIT).alias(C.PROFIT),
     )
+    return rounded(out, MONEY_PROFIT)
 
 
 oracle(
@@ -85,11 +100,12 @@ CUSTOM_MARGINS = [("STANDARD", 0.2134), ("PROMO", 0.25), ("LARGE", 0.32), ("SMAL
 def q_profit_by_category_table(spark, sf_dir):
     table = spark.createDataFrame(CUSTOM_MARGINS, "key string, value double")
     df = calculate_profit(sales_view(spark, sf_dir), margins=table)
-    return df.groupBy(C.CATEGORY).agg(
+    out = df.groupBy(C.CATEGORY).agg(
         F.max(C.MARGIN).alias(C.MARGIN),
-        A.money_sum(C.REVENUE).alias(C.REVENUE),
-        A.money_sum(C.PROFIT).alias(C.PROFIT),
+        money_sum(C.REVENUE).alias(C.REVENUE),
+        money_sum(C.PROFIT).alias(C.PROFIT),
     )
+    return rounded(out, MONEY_PROFIT)
 
 
 oracle(
@@ -110,7 +126,7 @@ FROM p GROUP BY product_category""",
 # ---------------------------------------------------------------------------
 @query("revenue_by_category")
 def q_revenue_by_category(spark, sf_dir):
-    return A.revenue_by_category(sales(spark, sf_dir))
+    return rounded(A.revenue_by_category(sales(spark, sf_dir)), MONEY)
 
 
 oracle(
@@ -126,7 +142,7 @@ DRILLDOWN_CATEGORY = "PROMO"
 
 @query("product_drilldown")
 def q_product_drilldown(spark, sf_dir):
-    return A.product_drilldown(sales(spark, sf_dir), DRILLDOWN_CATEGORY)
+    return rounded(A.product_drilldown(sales(spark, sf_dir), DRILLDOWN_CATEGORY), MONEY)
 
 
 oracle(
@@ -140,7 +156,7 @@ FROM sales WHERE product_category = '{DRILLDOWN_CATEGORY}' AND product IS NOT NU
 
 @query("revenue_by_region")
 def q_revenue_by_region(spark, sf_dir):
-    return A.revenue_by_region(sales(spark, sf_dir))
+    return rounded(A.revenue_by_region(sales(spark, sf_dir)), MONEY)
 
 
 oracle(
@@ -152,7 +168,9 @@ oracle(
 
 @query("category_summary")
 def q_category_summary(spark, sf_dir):
-    return A.category_summary(sales(spark, sf_dir))
+    return rounded(
+        A.category_summary(sales(spark, sf_dir)), {"total_revenue": 2, "avg_price": 4, "avg_discount_pct": 6}
+    )
 
 
 oracle(
@@ -168,16 +186,16 @@ FROM sales WHERE product_category IS NOT NULL GROUP BY product_category""",
 def _contribution_sql(col: str) -> str:
     return with_sales(
         f"g AS (SELECT {col}, {mdec('sales_revenue')} AS d FROM sales GROUP BY {col})",
-        f"t AS (SELECT {cents('SUM(d)')} AS total FROM g)",
+        "t AS (SELECT CAST(SUM(d) AS DOUBLE) AS total FROM g)",
     ) + f"""SELECT {col}, {cents('d')} AS sales_revenue,
-       CASE WHEN t.total > 0 THEN {cents('d')} / t.total * 100 ELSE 0.0 END AS pct,
-       t.total AS total_revenue
+       ROUND(CASE WHEN t.total > 0 THEN CAST(d AS DOUBLE) / t.total * 100 ELSE 0.0 END, 6) AS pct,
+       {half_up('t.total')} AS total_revenue
 FROM g, t WHERE {col} IS NOT NULL"""
 
 
 @query("category_share")
 def q_category_share(spark, sf_dir):
-    return A.category_share(sales(spark, sf_dir))
+    return rounded(A.category_share(sales(spark, sf_dir)), SHARE)
 
 
 oracle("category_share", _contribution_sql("product_category"))
@@ -185,7 +203,7 @@ oracle("category_share", _contribution_sql("product_category"))
 
 @query("region_contribution")
 def q_region_contribution(spark, sf_dir):
-    return A.region_contribution(sales(spark, sf_dir))
+    return rounded(A.region_contribution(sales(spark, sf_dir)), SHARE)
 
 
 oracle("region_contribution", _contribution_sql("region"))
@@ -193,7 +211,7 @@ oracle("region_contribution", _contribution_sql("region"))
 
 @query("category_contribution")
 def q_category_contribution(spark, sf_dir):
-    return A.category_contribution(sales(spark, sf_dir))
+    return rounded(A.category_contribution(sales(spark, sf_dir)), SHARE)
 
 
 oracle("category_contribution", _contribution_sql("product_category"))
@@ -201,17 +219,17 @@ oracle("category_contribution", _contribution_sql("product_category"))
 
 @query("kpi_summary")
 def q_kpi_summary(spark, sf_dir):
-    return A.kpi_summary(sales(spark, sf_dir))
+    return rounded(A.kpi_summary(sales(spark, sf_dir)), KPIS)
 
 
 oracle(
     "kpi_summary",
     with_sales(
-        f"""k AS (SELECT {msum('sales_revenue')} AS total_revenue,
+        f"""k AS (SELECT {total('sales_revenue')} AS total_revenue,
        CAST(COALESCE(SUM(units_sold), 0) AS DOUBLE) AS total_units,
        ROUND(AVG(discount) * 100, 6) AS avg_discount_pct, COUNT(*) AS row_count FROM sales)"""
     )
-    + """SELECT total_revenue, total_units, avg_discount_pct,
+    + f"""SELECT {half_up('total_revenue')} AS total_revenue, total_units, avg_discount_pct,
        CASE WHEN row_count > 0 THEN ROUND(total_revenue / row_count, 2) ELSE 0.0 END AS avg_order_value,
        row_count
 FROM k""",
@@ -220,7 +238,7 @@ FROM k""",
 
 @query("yoy_growth")
 def q_yoy_growth(spark, sf_dir):
-    return A.yoy_growth(sales(spark, sf_dir))
+    return rounded(A.yoy_growth(sales(spark, sf_dir)), {"latest_sales": 2, "prev_sales": 2, "yoy_growth_pct": 6})
 
 
 oracle(
@@ -229,33 +247,35 @@ oracle(
         f"y AS (SELECT CAST(year(date) AS INTEGER) AS year, {mdec('sales_revenue')} AS d FROM sales "
         "WHERE date IS NOT NULL GROUP BY 1)",
         f"""a AS (SELECT MAX(year) AS latest_year, COUNT(*) AS n_years,
-       COALESCE({cents('SUM(CASE WHEN year = (SELECT MAX(year) FROM y) THEN d END)')}, 0.0) AS latest_sales,
-       COALESCE({cents('SUM(CASE WHEN year = (SELECT MAX(year) FROM y) - 1 THEN d END)')}, 0.0) AS prev_sales
+       COALESCE(CAST(SUM(CASE WHEN year = (SELECT MAX(year) FROM y) THEN d END) AS DOUBLE), 0.0) AS latest_sales,
+       COALESCE(CAST(SUM(CASE WHEN year = (SELECT MAX(year) FROM y) - 1 THEN d END) AS DOUBLE), 0.0) AS prev_sales
        FROM y)""",
         """b AS (SELECT *, CASE WHEN n_years <= 1 THEN NULL
                  WHEN prev_sales > 0 THEN (latest_sales - prev_sales) / prev_sales * 100
                  ELSE 0.0 END AS yoy_growth_pct FROM a)""",
     )
-    + """SELECT *, CASE WHEN yoy_growth_pct IS NULL THEN 'N/A (Multi-year data required)'
+    + f"""SELECT * REPLACE ({half_up('latest_sales')} AS latest_sales, {half_up('prev_sales')} AS prev_sales,
+       ROUND(yoy_growth_pct, 6) AS yoy_growth_pct), CASE WHEN yoy_growth_pct IS NULL THEN 'N/A (Multi-year data required)'
                 ELSE printf('%+.1f%% YoY', yoy_growth_pct) END AS yoy_label FROM b""",
 )
 
 
 @query("report_kpis")
 def q_report_kpis(spark, sf_dir):
-    return A.report_kpis(sales(spark, sf_dir))
+    digits = {"total_revenue": 2, "total_profit": 2, "avg_order_value": 6, "margin_pct": 6}
+    return rounded(A.report_kpis(sales(spark, sf_dir)), digits)
 
 
 oracle(
     "report_kpis",
     with_sales(
         PROFIT_CTE,
-        f"""k AS (SELECT {msum('sales_revenue')} AS total_revenue, {msum('total_profit')} AS total_profit,
+        f"""k AS (SELECT {total('sales_revenue')} AS total_revenue, {total('total_profit')} AS total_profit,
        CAST(COALESCE(SUM(units_sold), 0) AS BIGINT) AS total_units, COUNT(*) AS row_count FROM profit)""",
     )
-    + """SELECT total_revenue, total_profit, total_units,
-       CASE WHEN row_count > 0 THEN total_revenue / row_count ELSE 0.0 END AS avg_order_value,
-       CASE WHEN total_revenue > 0 THEN total_profit / total_revenue * 100 ELSE 0.0 END AS margin_pct,
+    + f"""SELECT {half_up('total_revenue')} AS total_revenue, {half_up('total_profit')} AS total_profit, total_units,
+       ROUND(CASE WHEN row_count > 0 THEN total_revenue / row_count ELSE 0.0 END, 6) AS avg_order_value,
+       ROUND(CASE WHEN total_revenue > 0 THEN total_profit / total_revenue * 100 ELSE 0.0 END, 6) AS margin_pct,
        row_count
 FROM k""",
 )
@@ -263,7 +283,7 @@ FROM k""",
 
 @query("top_products")
 def q_top_products(spark, sf_dir):
-    return A.top_products(sales(spark, sf_dir))
+    return rounded(A.top_products(sales(spark, sf_dir)), MONEY)
 
 
 oracle(

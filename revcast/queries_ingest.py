@@ -11,14 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revcast import columns as C
+from revcast.functions.coerce import to_timestamp_utc
+from revcast.functions.money import money_sum
+from revcast.operators import aggregates as A
 from revcast.operators import filters as FL
+from revcast.operators.allocation import region_country_allocation
 from revcast.operators.calendar import engineer_features
-from revcast.oracle import MARGIN_CASE, PROFIT_CTE, oracle, with_sales
-from revcast.queries import query, sales
-from revcast.sources import files
-from revcast.sources.mapping import clean_data, map_and_clean, suggest_mappings
-from revcast.sources.tables import sales_view
+from revcast.operators.periods import resample
+from revcast.operators.profit import calculate_profit
+from revcast.oracle import MARGIN_CASE, PROFIT_CTE, half_up, msum, oracle, series_ctes, total, with_sales
+from revcast.plans import dashboard as D
+from revcast.queries import KPIS, query, rounded, sales
 from revcast.session import work_dir
+from revcast.sources import files
+from revcast.sources.mapping import clean_data, map_and_clean, suggest_mappings, undated_rows
+from revcast.sources.tables import read_table, sales_view
 
 DISPLAY_NAMES = {
     C.DATE: "Date",
@@ -229,12 +236,249 @@ def q_csv_roundtrip(spark, sf_dir):
 oracle("csv_roundtrip", with_sales() + "SELECT * FROM sales")
 
 
+ACCENT = " café"
+
+
+def accented(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("Product", F.concat("Product", F.lit(ACCENT)))
+
+
+ACCENTED_SQL = with_sales(PROFIT_CTE) + f"SELECT * REPLACE (product || '{ACCENT}' AS product) FROM profit"
+
+
 @query("csv_latin1")
 def q_csv_latin1(spark, sf_dir):
-    """Write ISO-8859-1 CSV, then read with the UTF-8-then-latin-1 fallback."""
-    path = files.write_csv(raw_text_frame(spark, sf_dir), work_dir(spark, "sales-latin1"), encoding="ISO-8859-1")
+    """Write ISO-8859-1 CSV with accented names, then read it without naming the encoding."""
+    raw = accented(raw_text_frame(spark, sf_dir))
+    path = files.write_csv(raw, work_dir(spark, "sales-latin1"), encoding="ISO-8859-1")
+    return clean_data(files.load_sales(spark, path, fmt="csv", schema=None))
+
+
+oracle("csv_latin1", ACCENTED_SQL)
+
+
+@query("csv_mixed")
+def q_csv_mixed(spark, sf_dir):
+    """One folder with UTF-8 and ISO-8859-1 files of accented names; each is read as what it is."""
+    raw = accented(raw_text_frame(spark, sf_dir))
+    odd = F.col("Units Sold").cast("double") % 2 == 1
+    path = files.write_csv(raw.filter(odd), work_dir(spark, "sales-mixed"), encoding="UTF-8")
+    files.write_csv(raw.filter(~odd), path, encoding="ISO-8859-1", mode="append")
     return clean_data(files.load_sales(spark, path, fmt="csv", schema=None))
 
 
-# Same rows as ``clean_sales`` after the CSV round trip.
-oracle("csv_latin1", with_sales(PROFIT_CTE) + "SELECT * FROM profit")
+oracle("csv_mixed", ACCENTED_SQL)
+
+
+# ---------------------------------------------------------------------------
+# Input as people send it
+# ---------------------------------------------------------------------------
+DIRT_KINDS = 11
+
+
+def dirty_text_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_text_frame`` with one kind of damage per row, by the units sold modulo ``DIRT_KINDS``."""
+    raw = raw_text_frame(spark, sf_dir)
+    kind = F.col("Units Sold").cast("double").cast("int") % DIRT_KINDS
+    damage = {
+        0: ("Date", None), 1: ("Date", "not a date"), 2: ("Price Per Unit", "5d"), 3: ("Discount", "n/a"),
+        4: ("Sales Revenue", "Infinity"), 5: ("Price Per Unit", " "), 6: ("Sales Revenue", None),
+        7: ("Discount", "NaN"), 8: ("Sales Revenue", "1e13"), 9: ("Product Category", None),
+    }
+    dirty = raw.withColumn("__kind", kind)
+    for k, (column, value) in damage.items():
+        dirty = dirty.withColumn(column, F.when(F.col("__kind") == k, F.lit(value)).otherwise(F.col(column)))
+    return dirty.drop("__kind")
+
+
+_DIRTY_SQL = f"""kinds AS (SELECT *, CAST(units_sold AS INTEGER) % {DIRT_KINDS} AS k FROM sales),
+dirty AS (SELECT date, CASE WHEN k = 9 THEN NULL ELSE product_category END AS product_category, product, region, units_sold,
+       CASE WHEN k IN (2, 5) THEN 0.0 ELSE price_per_unit END AS price_per_unit,
+       CASE WHEN k IN (3, 7) THEN 0.0 ELSE discount END AS discount,
+       CASE WHEN k IN (4, 6) THEN 0.0 WHEN k = 8 THEN 1e13 ELSE sales_revenue END AS sales_revenue
+FROM kinds WHERE k > 1)"""
+
+
+@query("clean_dirty")
+def q_clean_dirty(spark, sf_dir):
+    """Nulls, junk, infinite and huge numbers, and unreadable dates."""
+    return clean_data(dirty_text_frame(spark, sf_dir))
+
+
+oracle(
+    "clean_dirty",
+    with_sales(_DIRTY_SQL)
+    + f"""SELECT *, CAST({MARGIN_CASE} AS DOUBLE) AS profit_margin,
+       sales_revenue * CAST({MARGIN_CASE} AS DOUBLE) AS total_profit FROM dirty""",
+)
+
+
+@query("kpi_extreme")
+def q_kpi_extreme(spark, sf_dir):
+    """KPIs of rows that hold 1e13 next to cents; sums of such size are compared in millions."""
+    kpis = A.kpi_summary(clean_data(dirty_text_frame(spark, sf_dir)))
+    return rounded(kpis, {"total_revenue": -6, "avg_discount_pct": 6, "avg_order_value": -6})
+
+
+oracle(
+    "kpi_extreme",
+    with_sales(_DIRTY_SQL)
+    + """SELECT ROUND(SUM(sales_revenue), -6) AS total_revenue, SUM(units_sold) AS total_units,
+       ROUND(AVG(discount) * 100, 6) AS avg_discount_pct, ROUND(SUM(sales_revenue) / COUNT(*), -6) AS avg_order_value,
+       COUNT(*) AS row_count FROM dirty""",
+)
+
+
+@query("small_values")
+def q_small_values(spark, sf_dir):
+    """Monthly series of amounts far below a cent."""
+    scaled = sales_view(spark, sf_dir).withColumn(C.REVENUE, F.col(C.REVENUE) / 1e9)
+    return rounded(resample(scaled, "ME", [C.REGION]), {C.REVENUE: 14, C.DISCOUNT: 8})
+
+
+oracle(
+    "small_values",
+    with_sales(
+        *series_ctes([C.REGION]),
+    )
+    + "SELECT * REPLACE (ROUND(sales_revenue / 1e9, 14) AS sales_revenue, ROUND(discount, 8) AS discount) FROM series",
+)
+
+
+@query("map_colliding")
+def q_map_colliding(spark, sf_dir):
+    """Several date, place and amount columns, some under names that the mapping makes itself."""
+    s = sales_view(spark, sf_dir)
+    raw = s.select(
+        F.date_format(C.DATE, "yyyy-MM-dd").alias("order_date"),
+        F.lit("never").alias("Date"),
+        F.col(C.REGION).alias("Country"),
+        F.lit("zone").alias("Region"),
+        F.col(C.REVENUE).alias("amount"),
+        F.lit(-1.0).alias("Sales_Revenue2"),
+        F.col(C.UNITS).alias("qty"),
+        F.lit("x").alias("Profit_Margin"),
+        F.col(C.PRODUCT).alias("Note"),
+        F.lit("y").alias("note"),
+    )
+    return map_and_clean(raw, "order_date", "amount")
+
+
+oracle(
+    "map_colliding",
+    with_sales()
+    + """SELECT date, 'General' AS product_category, 'Standard Product' AS product, region, units_sold,
+       sales_revenue AS price_per_unit, CAST(0.0 AS DOUBLE) AS discount, sales_revenue,
+       CAST(-1.0 AS DOUBLE) AS "Sales_Revenue2", product AS "Note", CAST(0.22 AS DOUBLE) AS profit_margin,
+       sales_revenue * CAST(0.22 AS DOUBLE) AS total_profit FROM sales""",
+)
+
+DATE_FORMS = [
+    "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy.MM.dd", "yyyy/M/d", "yyyyMMdd", "M/d/yyyy", "MM-dd-yy",
+    "MMM d, yyyy", "d MMMM yyyy", "dd-MMM-yyyy", "MMMM d yyyy", "M/d/yyyy h:mm a",
+]
+
+
+def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as text, in a form that the key chooses; each 13th is no date, and
+    where the day is above 12 some write it first."""
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    text = F.lit("soon")
+    for k, form in enumerate(DATE_FORMS):
+        text = F.when(F.col("o_orderkey") % 13 == k, F.date_format("o_orderdate", form)).otherwise(text)
+    day_first = (F.col("o_orderkey") % 13 == 5) & (F.dayofmonth("o_orderdate") > 12)
+    return orders.select("o_orderkey", F.when(day_first, F.date_format("o_orderdate", "d.M.yyyy")).otherwise(text).alias("ordered"))
+
+
+@query("parse_dates")
+def q_parse_dates(spark, sf_dir):
+    raw = written_dates(spark, sf_dir)
+    return raw.select("o_orderkey", to_timestamp_utc(raw, "ordered").alias("parsed"))
+
+
+oracle(
+    "parse_dates",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 12 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS parsed
+FROM orders""",
+)
+
+
+@query("undated_rows")
+def q_undated_rows(spark, sf_dir):
+    return undated_rows(written_dates(spark, sf_dir), "ordered")
+
+
+oracle(
+    "undated_rows",
+    "SELECT COUNT(*) AS n_rows, CAST(SUM(CASE WHEN o_orderkey % 13 = 12 THEN 1 ELSE 0 END) AS BIGINT) AS n_undated FROM orders",
+)
+
+# The test data's labels under the names that the default tables list.
+CATEGORY_RELABEL = {"STANDARD": "Electronics", "PROMO": "Accessories", "LARGE": "Wearables", "SMALL": "Home Appliances", "MEDIUM": "Others"}
+REGION_RELABEL = {"AFRICA": "North", "AMERICA": "East", "ASIA": "South", "EUROPE": "West"}
+
+
+def relabelled(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
+    return df.replace(names, subset=[column])
+
+
+def _relabel_sql(column: str, names: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in names.items()) + f" ELSE {column} END"
+
+
+@query("profit_default_hits")
+def q_profit_default_hits(spark, sf_dir):
+    """Profit with the default margins, on categories that they list (and one that they do not)."""
+    df = calculate_profit(relabelled(sales_view(spark, sf_dir), C.CATEGORY, CATEGORY_RELABEL))
+    out = df.groupBy(C.CATEGORY, C.MARGIN).agg(money_sum(C.REVENUE).alias(C.REVENUE), money_sum(C.PROFIT).alias(C.PROFIT))
+    return rounded(out, {C.REVENUE: 2, C.PROFIT: 2})
+
+
+oracle(
+    "profit_default_hits",
+    with_sales(
+        f"r AS (SELECT * REPLACE ({_relabel_sql('product_category', CATEGORY_RELABEL)} AS product_category) FROM sales)",
+        f"m AS (SELECT *, CAST({MARGIN_CASE} AS DOUBLE) AS profit_margin FROM r)",
+    )
+    + f"""SELECT product_category, profit_margin, {msum('sales_revenue')} AS sales_revenue,
+       {msum('sales_revenue * profit_margin')} AS total_profit FROM m GROUP BY 1, 2""",
+)
+
+
+@query("allocation_default_hits")
+def q_allocation_default_hits(spark, sf_dir):
+    """Map allocation with the default countries, on regions that they list (and one that they do not)."""
+    df = relabelled(sales_view(spark, sf_dir), C.REGION, REGION_RELABEL)
+    return rounded(region_country_allocation(df), {"sales": 4})
+
+
+oracle(
+    "allocation_default_hits",
+    with_sales(
+        f"r AS (SELECT {_relabel_sql('region', REGION_RELABEL)} AS region, {total('sales_revenue')} AS rev FROM sales GROUP BY 1)",
+        "c AS (SELECT region, rev, CASE region "
+        + " ".join(f"WHEN '{r}' THEN [{', '.join(repr(x) for x in cs)}]" for r, cs in C.DEFAULT_REGION_COUNTRIES.items())
+        + " ELSE ['USA'] END AS countries FROM r)",
+    )
+    + f"SELECT unnest(countries) AS country, region, {half_up('rev / len(countries)', 4)} AS sales FROM c",
+)
+
+
+@query("dashboard_filtered")
+def q_dashboard_filtered(spark, sf_dir):
+    """The dashboard's flow: map a raw export, add calendar features, filter, and show KPIs by widget."""
+    raw = raw_renamed_frame(spark, sf_dir, percent_discount=True)
+    chosen = D.apply_filters(D.prepare(raw), RANGE_START, RANGE_END, ISIN_SELECTIONS)
+    return rounded(D.dashboard(chosen)["kpis"], KPIS)
+
+
+oracle(
+    "dashboard_filtered",
+    with_sales(
+        f"""f AS (SELECT * FROM sales WHERE date >= TIMESTAMP '{RANGE_START}' AND date < TIMESTAMP '{RANGE_END}' + INTERVAL 1 DAY
+       AND region IN ('ASIA', 'EUROPE') AND product_category IN ('PROMO', 'STANDARD', 'SMALL'))"""
+    )
+    + f"""SELECT {half_up(total('sales_revenue'))} AS total_revenue, SUM(units_sold) AS total_units,
+       ROUND(AVG(discount) * 100, 6) AS avg_discount_pct, ROUND({total('sales_revenue')} / COUNT(*), 2) AS avg_order_value,
+       COUNT(*) AS row_count FROM f""",
+)

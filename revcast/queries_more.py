@@ -7,24 +7,24 @@ from pyspark.sql import functions as F
 
 from revcast import columns as C
 from revcast.functions import text as TX
-from revcast.functions.money import money_sum_decimal
+from revcast.functions.money import money_sum
 from revcast.operators import aggregates as A
 from revcast.operators import ml_forecast as ML
 from revcast.operators.allocation import region_country_allocation
 from revcast.operators.sampling import explorer_page, price_volume_sample
-from revcast.oracle import PROFIT_CTE, cents, mdec, msum, oracle, with_sales
+from revcast.oracle import PROFIT_CTE, half_up, mdec, oracle, total, with_sales
 from revcast.plans import forecast as FC
 from revcast.plans.report import report
-from revcast.queries import monthly, query, rounded, sales
+from revcast.queries import KPIS, monthly, query, rounded, sales
 from revcast.queries_series import _forecast_sql as _series_forecast_sql
-from revcast.session import work_dir
+from revcast.session import materialize, work_dir
 from revcast.sources import files
 from revcast.sources.tables import sales_view
 
 # ---------------------------------------------------------------------------
 # Reports
 # ---------------------------------------------------------------------------
-_SUMMARY_SQL = f"""kk AS (SELECT {msum('sales_revenue')} AS total_revenue, {msum('total_profit')} AS total_profit,
+_SUMMARY_SQL = f"""kk AS (SELECT {total('sales_revenue')} AS total_revenue, {total('total_profit')} AS total_profit,
        CAST(COALESCE(SUM(units_sold), 0) AS BIGINT) AS total_units, COUNT(*) AS n FROM profit),
 k2 AS (SELECT total_revenue, total_profit, total_units,
        CASE WHEN n > 0 THEN total_revenue / n ELSE 0.0 END AS avg_order_value,
@@ -40,13 +40,13 @@ summary AS (
 
 def _share_sql(col: str, section: str) -> str:
     return f"""{section}_g AS (SELECT {col} AS item, {mdec('sales_revenue')} AS d FROM profit GROUP BY {col}),
-{section}_t AS (SELECT {cents('SUM(d)')} AS total FROM {section}_g),
-{section} AS (SELECT '{section}' AS section, CAST(0 AS INTEGER) AS rank, item, {cents('d')} AS value,
-       CASE WHEN total > 0 THEN {cents('d')} / total * 100 ELSE 0.0 END AS pct
+{section}_t AS (SELECT CAST(SUM(d) AS DOUBLE) AS total FROM {section}_g),
+{section} AS (SELECT '{section}' AS section, CAST(0 AS INTEGER) AS rank, item, CAST(d AS DOUBLE) AS value,
+       CASE WHEN total > 0 THEN CAST(d AS DOUBLE) / total * 100 ELSE 0.0 END AS pct
        FROM {section}_g, {section}_t WHERE item IS NOT NULL)"""
 
 
-_TOP_SQL = f"""tp_g AS (SELECT product, {msum('sales_revenue')} AS value FROM profit WHERE product IS NOT NULL
+_TOP_SQL = f"""tp_g AS (SELECT product, {total('sales_revenue')} AS value FROM profit WHERE product IS NOT NULL
        GROUP BY product ORDER BY value DESC, product ASC LIMIT 5),
 top_products AS (SELECT 'top_products' AS section,
        CAST(ROW_NUMBER() OVER (ORDER BY value DESC, product ASC) AS INTEGER) AS rank,
@@ -62,7 +62,7 @@ REPORT_SECTIONS = {
 def _register_report(report_type: str):
     @query(f"report_{report_type}")
     def q(spark, sf_dir):
-        return report(sales(spark, sf_dir), report_type)
+        return rounded(report(sales(spark, sf_dir), report_type), {"value": 4, "pct": 6})
 
     sections = REPORT_SECTIONS[report_type]
     ctes = [PROFIT_CTE, _SUMMARY_SQL]
@@ -72,7 +72,9 @@ def _register_report(report_type: str):
         ctes.append(_share_sql("product_category", "category"))
     if "top_products" in sections:
         ctes.append(_TOP_SQL)
-    body = "\nUNION ALL ".join(f"SELECT section, rank, item, value, pct FROM {s}" for s in sections)
+    body = "\nUNION ALL ".join(
+        f"SELECT section, rank, item, {half_up('value', 4)} AS value, ROUND(pct, 6) AS pct FROM {s}" for s in sections
+    )
     oracle(f"report_{report_type}", with_sales(*ctes) + body)
 
 
@@ -88,14 +90,14 @@ def _allocation_sql(mapping: dict[str, list[str]]) -> str:
         f"WHEN '{r}' THEN [{', '.join(repr(c) for c in cs)}]" for r, cs in mapping.items()
     )
     return with_sales(
-        f"rg AS (SELECT region, {msum('sales_revenue')} AS rev FROM sales WHERE region IS NOT NULL GROUP BY region)",
+        f"rg AS (SELECT region, {total('sales_revenue')} AS rev FROM sales WHERE region IS NOT NULL GROUP BY region)",
         f"lst AS (SELECT region, rev, CASE region {whens} ELSE ['USA'] END AS countries FROM rg)",
-    ) + "SELECT unnest(countries) AS country, region, rev / len(countries) AS sales FROM lst"
+    ) + f"SELECT unnest(countries) AS country, region, {half_up('rev / len(countries)', 4)} AS sales FROM lst"
 
 
 @query("region_country_allocation")
 def q_region_country_allocation(spark, sf_dir):
-    return region_country_allocation(sales(spark, sf_dir))
+    return rounded(region_country_allocation(sales(spark, sf_dir)), {"sales": 4})
 
 
 oracle("region_country_allocation", _allocation_sql(C.DEFAULT_REGION_COUNTRIES))
@@ -109,7 +111,7 @@ CUSTOM_COUNTRIES = {"AMERICA": ["USA", "CAN", "BRA"], "EUROPE": ["GBR", "DEU", "
 def q_region_country_allocation_table(spark, sf_dir):
     rows = [(r, c) for r, cs in CUSTOM_COUNTRIES.items() for c in cs]
     table = spark.createDataFrame(rows, "region string, country string")
-    return region_country_allocation(sales(spark, sf_dir), table)
+    return rounded(region_country_allocation(sales(spark, sf_dir), table), {"sales": 4})
 
 
 oracle(
@@ -141,37 +143,93 @@ def q_price_volume_sample(spark, sf_dir):
     return price_volume_sample(sales(spark, sf_dir))
 
 
+def _sample_text_sql(column: str) -> str:
+    if column == C.DATE:
+        return "strftime(date, '%Y-%m-%d %H:%M:%S')"
+    if column in (C.CATEGORY, C.PRODUCT, C.REGION):
+        return column
+    return f"CAST(CAST(FLOOR({column} * 10000 + 0.25) AS BIGINT) AS VARCHAR)"
+
+
+_SAMPLE_ROW_SQL = " || '|' || ".join(
+    ["'42'"] + [f"COALESCE({_sample_text_sql(c)}, '')" for c in (*C.SALES_COLUMNS, C.MARGIN, C.PROFIT)]
+)
+
+oracle(
+    "price_volume_sample",
+    with_sales(PROFIT_CTE)
+    + f"""SELECT price_per_unit, units_sold, sales_revenue, product_category, product, region, discount, date
+FROM profit ORDER BY md5({_SAMPLE_ROW_SQL}), price_per_unit, units_sold, sales_revenue, product_category, product,
+         region, discount, date LIMIT 2000""",
+)
+
+
 # ---------------------------------------------------------------------------
 # Text functions over insight responses built from the sales aggregates
 # ---------------------------------------------------------------------------
+RESPONSE_KINDS = 7
+
+
 def insight_responses(spark, sf_dir) -> DataFrame:
-    """One model-style response per (region, year): a fenced JSON array of
-    insights whose numbers come from the sales aggregates."""
+    """One model-style response per (region, year), with numbers from the sales aggregates.
+
+    The year decides its kind: a JSON fence, no fence, a bare fence with white
+    space around it, broken JSON, six items, items without icon or text, and
+    short amounts such as $1.5M.
+    """
     g = (
         sales(spark, sf_dir)
         .groupBy(C.REGION, F.year(C.DATE).alias(C.YEAR))
-        .agg(money_sum_decimal(C.REVENUE).alias("d"), F.sum(C.UNITS).alias("u"))
-    )
-    text = F.concat(
-        F.lit('```json\n[{"icon": "\U0001F4C8", "text": "Revenue in '),
-        F.col(C.REGION),
-        F.lit(" reached $"),
-        F.format_number(F.round("d", 0).cast("bigint"), 0),
-        F.lit(" in "),
-        F.col(C.YEAR).cast("string"),
-        F.lit('."}, {"text": "Units sold: '),
-        F.col("u").cast("bigint").cast("string"),
-        F.lit('"}, {"icon": "⚠", "text": "  "}]\n```'),
+        .agg(money_sum(C.REVENUE).alias("d"), F.sum(C.UNITS).alias("u"))
     )
+    amount = F.concat(F.lit("$"), F.format_number(F.round("d", 0).cast("bigint"), 0))
+    short = F.concat(F.lit("$"), F.floor(F.col("d") / 1000000).cast("string"), F.lit(".5M"))
+    units = F.col("u").cast("bigint").cast("string")
+
+    def item(text, icon: str | None = None):
+        front = F.lit('{"text": "') if icon is None else F.lit('{"icon": "' + icon + '", "text": "')
+        return F.concat(front, text, F.lit('"}'))
+
+    def items(*parts):
+        return F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]"))
+
+    revenue = F.concat(F.lit("Revenue in "), F.col(C.REGION), F.lit(" reached "), amount, F.lit("."))
+    two = items(item(revenue, "\U0001F4C8"), item(F.concat(F.lit("Units sold: "), units)), item(F.lit("  "), "⚠"))
+    six = items(*(item(F.concat(F.lit(f" No {i}: "), units)) for i in range(1, 7)))
+    gaps = items(F.lit('{"icon": "⚠"}'), item(revenue), F.lit('{"text": null, "icon": "x"}'))
+    kinds = [
+        F.concat(F.lit("```json\n"), two, F.lit("\n```")),
+        two,
+        F.concat(F.lit("  ```\n"), two, F.lit("```  \n")),
+        F.concat(F.lit("```json\nSorry, no insights for "), F.col(C.REGION), F.lit(": "), amount, F.lit(" [{\n```")),
+        six,
+        gaps,
+        F.concat(F.lit("```json "), items(item(F.concat(F.lit("Up "), short, F.lit(" of "), amount), "x")), F.lit("```")),
+    ]
+    text = F.lit(None).cast("string")
+    for k, kind in enumerate(kinds):
+        text = F.when(F.col(C.YEAR) % RESPONSE_KINDS == k, kind).otherwise(text)
     return g.select(C.REGION, C.YEAR, text.alias("response"))
 
 
-_RESPONSES_SQL = f"""rg AS (SELECT region, CAST(year(date) AS INTEGER) AS year, {mdec('sales_revenue')} AS d,
+_RESPONSES_SQL = f"""rg AS (SELECT region, CAST(year(date) AS INTEGER) AS year, {total('sales_revenue')} AS d,
        SUM(units_sold) AS u FROM profit GROUP BY 1, 2),
-resp AS (SELECT region, year, '```json' || chr(10) || '[{{"icon": "\U0001F4C8", "text": "Revenue in ' || region ||
-       ' reached $' || format('{{:,}}', CAST(ROUND(d, 0) AS BIGINT)) || ' in ' || CAST(year AS VARCHAR) ||
-       '."}}, {{"text": "Units sold: ' || CAST(CAST(u AS BIGINT) AS VARCHAR) || '"}}, {{"icon": "⚠", "text": "  "}}]' ||
-       chr(10) || '```' AS response FROM rg),
+rt AS (SELECT region, year, '$' || format('{{:,}}', CAST(ROUND(d, 0) AS BIGINT)) AS amount,
+       '$' || CAST(CAST(FLOOR(d / 1000000) AS BIGINT) AS VARCHAR) || '.5M' AS short,
+       CAST(CAST(u AS BIGINT) AS VARCHAR) AS units FROM rg),
+rv AS (SELECT *, 'Revenue in ' || region || ' reached ' || amount || '.' AS revenue FROM rt),
+ri AS (SELECT *, '[{{"icon": "\U0001F4C8", "text": "' || revenue || '"}}, {{"text": "Units sold: ' || units ||
+       '"}}, {{"icon": "⚠", "text": "  "}}]' AS two,
+       '[' || array_to_string(list_transform(range(1, 7), lambda i: '{{"text": " No ' || CAST(i AS VARCHAR) || ': ' || units || '"}}'), ', ')
+       || ']' AS six FROM rv),
+resp AS (SELECT region, year, CASE year % {RESPONSE_KINDS}
+       WHEN 0 THEN '```json' || chr(10) || two || chr(10) || '```'
+       WHEN 1 THEN two
+       WHEN 2 THEN '  ```' || chr(10) || two || '```  ' || chr(10)
+       WHEN 3 THEN '```json' || chr(10) || 'Sorry, no insights for ' || region || ': ' || amount || ' [{{' || chr(10) || '```'
+       WHEN 4 THEN six
+       WHEN 5 THEN '[{{"icon": "⚠"}}, {{"text": "' || revenue || '"}}, {{"text": null, "icon": "x"}}]'
+       ELSE '```json [{{"icon": "x", "text": "Up ' || short || ' of ' || amount || '"}}]```' END AS response FROM ri),
 stripped AS (SELECT region, year, regexp_replace(regexp_replace(regexp_replace(
        regexp_replace(response, '^\\s+|\\s+$', '', 'g'), '^```(?:json)?\\s*', ''), '\\s*```$', ''),
        '^\\s+|\\s+$', '', 'g') AS stripped FROM resp)"""
@@ -213,7 +271,8 @@ oracle(
         PROFIT_CTE,
         _RESPONSES_SQL,
         """parsed AS (SELECT region, year,
-       from_json(stripped, '[{"icon": "VARCHAR", "text": "VARCHAR"}]') AS arr FROM stripped)""",
+       CASE WHEN json_valid(stripped) THEN from_json(stripped, '[{"icon": "VARCHAR", "text": "VARCHAR"}]') END AS arr
+       FROM stripped)""",
         """items AS (SELECT region, year, list_filter(list_transform(arr[1:4], lambda x: {
            'icon': COALESCE(x.icon, '💡'),
            'text': regexp_replace(COALESCE(x.text, ''), '^\\s+|\\s+$', '', 'g')}), lambda x: x.text <> '') AS arr
@@ -228,10 +287,10 @@ FROM ex""",
 
 @query("formatted_summary")
 def q_formatted_summary(spark, sf_dir):
-    df = sales(spark, sf_dir)
-    yoy_label = A.yoy_growth(df).select("yoy_label").scalar()
-    last = df.agg(F.max(C.DATE)).scalar()
-    return A.kpi_summary(df).select(
+    facts = materialize(A.sales_facts(sales(spark, sf_dir), F.year(C.DATE).alias(C.YEAR)))
+    yoy_label = A.yoy_growth_from(facts).select("yoy_label").scalar()
+    last = facts.agg(F.max("last_date")).scalar()
+    return rounded(A.kpi_summary_from(facts), KPIS).select(
         TX.money_text("total_revenue").alias("total_revenue"),
         TX.thousands("total_units").alias("units_sold"),
         TX.money_text("avg_order_value").alias("avg_order_value"),
@@ -244,24 +303,24 @@ def q_formatted_summary(spark, sf_dir):
 oracle(
     "formatted_summary",
     with_sales(
-        f"""k AS (SELECT {msum('sales_revenue')} AS total_revenue, CAST(COALESCE(SUM(units_sold), 0) AS DOUBLE) AS u,
+        f"""k AS (SELECT {total('sales_revenue')} AS total_revenue, CAST(COALESCE(SUM(units_sold), 0) AS DOUBLE) AS u,
        ROUND(AVG(discount) * 100, 6) AS disc, COUNT(*) AS n, MAX(date) AS last FROM sales)""",
         f"""y AS (SELECT CAST(year(date) AS INTEGER) AS year, {mdec('sales_revenue')} AS d FROM sales
        WHERE date IS NOT NULL GROUP BY 1)""",
         f"""yy AS (SELECT COUNT(*) AS n_years,
-       COALESCE({cents('SUM(CASE WHEN year = (SELECT MAX(year) FROM y) THEN d END)')}, 0.0) AS latest,
-       COALESCE({cents('SUM(CASE WHEN year = (SELECT MAX(year) FROM y) - 1 THEN d END)')}, 0.0) AS prev FROM y)""",
+       COALESCE(CAST(SUM(CASE WHEN year = (SELECT MAX(year) FROM y) THEN d END) AS DOUBLE), 0.0) AS latest,
+       COALESCE(CAST(SUM(CASE WHEN year = (SELECT MAX(year) FROM y) - 1 THEN d END) AS DOUBLE), 0.0) AS prev FROM y)""",
         """yl AS (SELECT CASE WHEN n_years <= 1 THEN 'N/A (Multi-year data required)'
        ELSE printf('%+.1f%% YoY', CASE WHEN prev > 0 THEN (latest - prev) / prev * 100 ELSE 0.0 END) END AS yoy_label
        FROM yy)""",
     )
-    + """SELECT '$' || format('{:,.2f}', total_revenue) AS total_revenue,
+    + """SELECT '$' || format('{:,.2f}', {round_total}) AS total_revenue,
        format('{:,}', CAST(u AS BIGINT)) AS units_sold,
        '$' || format('{:,.2f}', CASE WHEN n > 0 THEN ROUND(total_revenue / n, 2) ELSE 0.0 END) AS avg_order_value,
        printf('%.1f%%', disc) AS avg_discount,
        (SELECT yoy_label FROM yl) AS yoy_label,
        strftime(last, '%B %Y') AS last_month
-FROM k""",
+FROM k""".replace("{round_total}", half_up("total_revenue")),
 )
 
 
@@ -277,6 +336,34 @@ def q_forecast_rf(spark, sf_dir):
     return res.forecast
 
 
+@query("forecast_rf_structure")
+def q_forecast_rf_structure(spark, sf_dir):
+    """What SQL can decide of the forest's forecast: history values, future dates,
+    the order of the bounds and the floor at zero."""
+    fc = ML.train_regression_model(monthly(spark, sf_dir, ML_KEYS), 6, "rf", ML_KEYS).forecast
+    in_order = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return fc.select(
+        C.REGION,
+        C.DS,
+        "is_future",
+        F.when(~F.col("is_future"), F.round(F.round("yhat", 6), 2)).alias("history"),
+        in_order.alias("in_order"),
+        (F.col("yhat_lower") >= 0).alias("not_negative"),
+    )
+
+
+oracle(
+    "forecast_rf_structure",
+    with_sales(*_series_forecast_sql(ML_KEYS, 6))
+    + """SELECT region, ds, is_future, CASE WHEN NOT is_future THEN {history} END AS history,
+       TRUE AS in_order, TRUE AS not_negative
+FROM fc LEFT JOIN series s USING (region, ds)
+WHERE region IN (SELECT region FROM series GROUP BY region HAVING COUNT(*) >= 18)""".replace(
+        "{history}", half_up("s.sales_revenue")
+    ),
+)
+
+
 @query("forecast_rf_metrics")
 def q_forecast_rf_metrics(spark, sf_dir):
     return ML.train_regression_model(monthly(spark, sf_dir, ML_KEYS), 6, "rf", ML_KEYS).metrics
@@ -302,8 +389,8 @@ def q_backtest_lr(spark, sf_dir):
 def q_overfit_report(spark, sf_dir):
     from revcast.operators.trend_season import overfit_report as ts_overfit
 
-    series = monthly(spark, sf_dir, [])
-    return ts_overfit(series).unionByName(ML.ml_overfit_report(series, []))
+    series = materialize(monthly(spark, sf_dir, []))
+    return ts_overfit(series).withColumn("status", F.lit("ok")).unionByName(ML.ml_overfit_report(series, []))
 
 
 @query("forecast_csv")

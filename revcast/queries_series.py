@@ -6,8 +6,9 @@ from revcast import columns as C
 from revcast.operators import features as FT
 from revcast.operators import periods as P
 from revcast.operators import trend_season as TS
-from revcast.oracle import oracle, partition, series_ctes, with_sales
+from revcast.oracle import half_up, oracle, partition, series_ctes, with_sales
 from revcast.queries import monthly, query, rounded, sales
+from revcast.session import materialize
 
 
 def _k(keys) -> str:
@@ -21,6 +22,9 @@ def _on(keys, a, b) -> str:
 # ---------------------------------------------------------------------------
 # Resampling
 # ---------------------------------------------------------------------------
+SERIES_DIGITS = {C.REVENUE: 2, C.DISCOUNT: 8}
+ROUNDED_SERIES = f"* REPLACE ({half_up('sales_revenue')} AS sales_revenue, ROUND(discount, 8) AS discount)"
+
 RESAMPLE_CASES = {
     "resample_month": ("ME", [C.REGION, C.PRODUCT]),
     "resample_week": ("W", []),
@@ -31,9 +35,9 @@ RESAMPLE_CASES = {
 def _register_resample(name, freq, keys):
     @query(name)
     def q(spark, sf_dir):
-        return P.resample(sales(spark, sf_dir), freq, keys)
+        return rounded(P.resample(sales(spark, sf_dir), freq, keys), SERIES_DIGITS)
 
-    oracle(name, with_sales(*series_ctes(keys, freq)) + "SELECT * FROM series")
+    oracle(name, with_sales(*series_ctes(keys, freq)) + "SELECT " + ROUNDED_SERIES + " FROM series")
 
 
 for _name, (_freq, _keys) in RESAMPLE_CASES.items():
@@ -42,10 +46,10 @@ for _name, (_freq, _keys) in RESAMPLE_CASES.items():
 
 @query("sales_trend")
 def q_sales_trend(spark, sf_dir):
-    return P.sales_trend(sales(spark, sf_dir))
+    return rounded(P.sales_trend(sales(spark, sf_dir)), {C.REVENUE: 2})
 
 
-oracle("sales_trend", with_sales(*series_ctes([], "ME")) + "SELECT ds, sales_revenue FROM series")
+oracle("sales_trend", with_sales(*series_ctes([], "ME")) + f"SELECT ds, {half_up('sales_revenue')} AS sales_revenue FROM series")
 
 
 # ---------------------------------------------------------------------------
@@ -63,19 +67,22 @@ FROM {source})"""
 
 
 ROLL_DIGITS = {FT.ROLL_MEAN: 2, FT.ROLL_STD: 2}
+LAG_DIGITS = {FT.lag_name(k): 2 for k in C.DEFAULT_LAGS}
+ROUNDED_LAGS = "".join(f"{half_up(c)} AS {c}, " for c in LAG_DIGITS)
 
 
 @query("lag_features")
 def q_lag_features(spark, sf_dir):
     keys = [C.REGION]
     feats = FT.regression_features(monthly(spark, sf_dir, keys), keys).dropna(how="any")
-    return rounded(feats, ROLL_DIGITS)
+    return rounded(feats, ROLL_DIGITS | LAG_DIGITS | SERIES_DIGITS)
 
 
 oracle(
     "lag_features",
     with_sales(*series_ctes([C.REGION]), _features_sql([C.REGION]))
-    + """SELECT * REPLACE (ROUND(sales_rolling_mean_3, 2) AS sales_rolling_mean_3,
+    + f"""SELECT * REPLACE ({ROUNDED_LAGS}{half_up('sales_revenue')} AS sales_revenue, ROUND(discount, 8) AS discount,
+                  ROUND(sales_rolling_mean_3, 2) AS sales_rolling_mean_3,
                   ROUND(sales_rolling_std_3, 2) AS sales_rolling_std_3)
 FROM feats WHERE COLUMNS(*) IS NOT NULL""",
 )
@@ -108,10 +115,10 @@ FROM {name}0)"""
 @query("holdout_split")
 def q_holdout_split(spark, sf_dir):
     keys = [C.REGION]
-    return FT.holdout_split(monthly(spark, sf_dir, keys), keys)
+    return rounded(FT.holdout_split(monthly(spark, sf_dir, keys), keys), SERIES_DIGITS)
 
 
-oracle("holdout_split", with_sales(*series_ctes([C.REGION]), _holdout_sql([C.REGION], "series")) + "SELECT * FROM hs")
+oracle("holdout_split", with_sales(*series_ctes([C.REGION]), _holdout_sql([C.REGION], "series")) + f"SELECT {ROUNDED_SERIES} FROM hs")
 
 
 @query("history_status")
@@ -169,13 +176,14 @@ oracle(
 @query("detrend")
 def q_detrend(spark, sf_dir):
     keys = [C.REGION]
-    return rounded(TS.detrend(monthly(spark, sf_dir, keys), keys), {"trend": 2, "detrended": 2})
+    return rounded(TS.detrend(monthly(spark, sf_dir, keys), keys), {"trend": 2, "detrended": 2} | SERIES_DIGITS)
 
 
 oracle(
     "detrend",
     with_sales(*series_ctes([C.REGION]), *_trend_sql([C.REGION]))
-    + """SELECT s.*, CAST(date_diff('day', c.origin, s.ds) AS INTEGER) AS t,
+    + f"""SELECT s.* REPLACE ({half_up('s.sales_revenue')} AS sales_revenue, ROUND(s.discount, 8) AS discount),
+       CAST(date_diff('day', c.origin, s.ds) AS INTEGER) AS t,
        ROUND(c.intercept + c.slope * date_diff('day', c.origin, s.ds), 2) AS trend,
        ROUND(s.sales_revenue - (c.intercept + c.slope * date_diff('day', c.origin, s.ds)), 2) AS detrended
 FROM series s JOIN coef c USING (region)""",
@@ -247,10 +255,10 @@ PREDICT_KEYS = [C.REGION, C.CATEGORY]
 
 @query("trend_season_predict")
 def q_trend_season_predict(spark, sf_dir):
-    series = monthly(spark, sf_dir, PREDICT_KEYS)
+    series = materialize(monthly(spark, sf_dir, PREDICT_KEYS))
     fit = TS.trend_season_fit(series, PREDICT_KEYS)
     frame = series.select(*PREDICT_KEYS, C.DS, C.REVENUE)
-    return rounded(TS.trend_season_predict(frame, fit, PREDICT_KEYS), PRED_DIGITS)
+    return rounded(TS.trend_season_predict(frame, fit, PREDICT_KEYS), PRED_DIGITS | {C.REVENUE: 2})
 
 
 oracle(
@@ -258,8 +266,8 @@ oracle(
     with_sales(*series_ctes(PREDICT_KEYS), _y_cte(PREDICT_KEYS), *_fit_sql(PREDICT_KEYS, "ys"),
                "fr AS (SELECT region, product_category, ds, sales_revenue FROM series)",
                "pr AS (" + _predict_sql(PREDICT_KEYS, "fr", "ffit") + ")")
-    + """SELECT * REPLACE (ROUND(yhat, 2) AS yhat, ROUND(yhat_lower, 2) AS yhat_lower,
-                   ROUND(yhat_upper, 2) AS yhat_upper) FROM pr""",
+    + f"""SELECT * REPLACE ({half_up('sales_revenue')} AS sales_revenue, ROUND(yhat, 2) AS yhat,
+                   ROUND(yhat_lower, 2) AS yhat_lower, ROUND(yhat_upper, 2) AS yhat_upper) FROM pr""",
 )
 
 HORIZON = 6
@@ -330,7 +338,7 @@ oracle(
 
 @query("forecast_overlay")
 def q_forecast_overlay(spark, sf_dir):
-    series = monthly(spark, sf_dir, TS_KEYS)
+    series = materialize(monthly(spark, sf_dir, TS_KEYS))
     fc = TS.trend_season_forecast(series, HORIZON, TS_KEYS)
     return rounded(TS.forecast_overlay(series, fc, TS_KEYS), PRED_DIGITS)
 
@@ -338,7 +346,7 @@ def q_forecast_overlay(spark, sf_dir):
 oracle(
     "forecast_overlay",
     with_sales(*_forecast_sql(TS_KEYS, HORIZON), "lst AS (SELECT region, MAX(ds) AS last, arg_max(sales_revenue, ds) AS v FROM series GROUP BY region)")
-    + """SELECT region, last AS ds, ROUND(v, 2) AS yhat, ROUND(v, 2) AS yhat_lower, ROUND(v, 2) AS yhat_upper FROM lst
+    + f"""SELECT region, last AS ds, {half_up('v')} AS yhat, {half_up('v')} AS yhat_lower, {half_up('v')} AS yhat_upper FROM lst
 UNION ALL
 SELECT fc.region, fc.ds, ROUND(yhat, 2), ROUND(yhat_lower, 2), ROUND(yhat_upper, 2)
 FROM fc JOIN lst USING (region) WHERE fc.ds > lst.last""",
@@ -347,7 +355,7 @@ FROM fc JOIN lst USING (region) WHERE fc.ds > lst.last""",
 
 @query("future_only")
 def q_future_only(spark, sf_dir):
-    series = monthly(spark, sf_dir, TS_KEYS)
+    series = materialize(monthly(spark, sf_dir, TS_KEYS))
     fc = TS.trend_season_forecast(series, HORIZON, TS_KEYS)
     return rounded(TS.future_only(fc, series, TS_KEYS), PRED_DIGITS)
 
@@ -400,7 +408,8 @@ oracle(
 
 @query("overfit_report_trend_season")
 def q_overfit_report_trend_season(spark, sf_dir):
-    return TS.overfit_report(monthly(spark, sf_dir, TS_KEYS), TS_KEYS)
+    digits = {"train_r2": 4, "test_r2": 4, "train_mae": 2, "test_mae": 2, "overfit_gap": 4}
+    return rounded(TS.overfit_report(monthly(spark, sf_dir, TS_KEYS), TS_KEYS), digits)
 
 
 oracle(

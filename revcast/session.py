@@ -5,8 +5,9 @@ creates a session, it works on whatever session the caller passes in.
 
 ``work_dir`` gives a folder for intermediate tables (checkpoints, CSV
 round-trips).  On a cluster it must be shared storage, so it is derived from
-``spark.checkpoint.dir``; only when that is unset (local tests) do we make a
-private scratch folder.
+``spark.checkpoint.dir``, and a cluster session without that setting is
+refused; only a local session gets a private scratch folder.  What is written
+there goes when the session's JVM ends.
 """
 
 from __future__ import annotations
@@ -45,16 +46,26 @@ def build_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a private one only when unset."""
+    """The shared checkpoint folder; a private one only for a local session that has none."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="revcast-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if not current:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="revcast-ckpt-")
+        sc.setCheckpointDir(configured)
+        current = sc.getCheckpointDir() or configured
+    # Spark makes a folder of its own below the configured one for each application.
+    delete_at_end(spark, current)
+    return current
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the JVM delete ``path`` when it ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def materialize(df):

@@ -2,11 +2,10 @@
 
 ``load_sales`` picks the reader from the file suffix (csv, parquet, json;
 Excel has no built-in Spark reader and is refused with ``ValueError`` like
-any unknown suffix).  CSV is read as UTF-8; Spark does not fail on invalid
-bytes but decodes them to U+FFFD, so when a string column contains U+FFFD the
-file is read again as ISO-8859-1 (which decodes every byte), matching the
-latin-1 fallback of the modelled application.  Pass ``encoding`` to skip the
-check (it is one extra scan that stops at the first hit).
+any unknown suffix).  CSV is read as UTF-8, but files whose bytes are not are
+read as ISO-8859-1 (which decodes every byte), matching the latin-1 fallback
+of the modelled application.  A folder's files are judged one by one.  Pass
+``encoding`` to skip the check, which is one scan of the files' bytes.
 """
 
 from __future__ import annotations
@@ -15,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revcast.functions.coerce import qcol
+
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json"}
-REPLACEMENT_CHAR = "�"
 
 # Display names of the forecast export.
 FORECAST_EXPORT_NAMES = {
@@ -37,20 +37,41 @@ def detect_format(path: str) -> str:
     raise ValueError("Unsupported file format. Please provide a CSV, parquet or JSON file.")
 
 
-def _read_csv(spark: SparkSession, path: str, schema, encoding: str) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str | list[str], schema, encoding: str) -> DataFrame:
     reader = spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 
 
-def has_replacement_chars(df: DataFrame) -> bool:
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not strings:
-        return False
-    hit = F.lit(False)
-    for name in strings:
-        hit = hit | F.coalesce(F.col(f"`{name}`").contains(REPLACEMENT_CHAR), F.lit(False))
-    return not df.filter(hit).isEmpty()
+def files_not_utf8(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The files under ``path`` whose bytes are UTF-8, and those whose are not.
+
+    Lines are read as bytes and each file is judged by its own; a U+FFFD that a
+    file really holds is valid UTF-8 and changes nothing.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8")).collect()
+    by_kind = {kind: sorted(r["file"] for r in rows if r["utf8"] == kind) for kind in (True, False)}
+    return by_kind[True], by_kind[False]
+
+
+def _read_mixed(spark: SparkSession, path: str, schema) -> DataFrame:
+    """CSV files of ``path``, each read as UTF-8 if its bytes are, else as ISO-8859-1."""
+    utf8, latin = files_not_utf8(spark, path)
+    if not latin:
+        return _read_csv(spark, path, schema, "UTF-8")
+    first = _read_csv(spark, utf8 or latin, schema, "UTF-8" if utf8 else "ISO-8859-1")
+    if not utf8:
+        return first
+    # Types may be inferred from either kind of file; where they differ, text holds both.
+    second = _read_csv(spark, latin, schema, "ISO-8859-1")
+    same = {f.name: f.dataType for f in second.schema.fields}
+    as_text = [f.name for f in first.schema.fields if f.name in same and same[f.name] != f.dataType]
+
+    def aligned(df: DataFrame) -> DataFrame:
+        return df.withColumns({n: qcol(n).cast("string") for n in as_text}) if as_text else df
+
+    return aligned(first).unionByName(aligned(second), allowMissingColumns=True)
 
 
 def load_sales(
@@ -65,10 +86,7 @@ def load_sales(
     if fmt == "csv":
         if encoding:
             return _read_csv(spark, path, schema, encoding)
-        df = _read_csv(spark, path, schema, "UTF-8")
-        if has_replacement_chars(df):
-            df = _read_csv(spark, path, schema, "ISO-8859-1")
-        return df
+        return _read_mixed(spark, path, schema)
     if fmt not in ("parquet", "json"):
         raise ValueError(f"Unsupported format {fmt!r}")
     reader = spark.read.format(fmt)

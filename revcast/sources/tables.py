@@ -14,10 +14,10 @@ canonical sales schema::
 
 Join plan.  nation (25 rows) and region (5 rows) have a fixed size, so they
 are always broadcast.  customer, orders and part grow with the data: each is
-broadcast only after its row count (read from parquet footers, cached per
-path) is checked to be under ``BROADCAST_ROW_LIMIT``; above the limit no hint
-is given and Spark shuffles both sides on the join key (sort-merge join, AQE
-splitting skewed partitions).  The join order keeps lineitem as the streamed
+broadcast only if the bytes of its files, looked up each time, are under
+``BROADCAST_BYTES``; above the limit no hint is given and Spark shuffles both
+sides on the join key (sort-merge join, AQE splitting skewed partitions, which
+deployments must leave on).  The join order keeps lineitem as the streamed
 side: orders are joined to customer regions first (an orders-sized join),
 then lineitem to orders on the order key and to part on the part key.
 Spark's basic statistics multiply input sizes for joins, which would
@@ -39,51 +39,35 @@ TABLES = (
 ).split()
 
 
-# A broadcast side is held in memory by every executor: 2M rows of the few
-# narrow key/label columns used here stay well under ~100 MB.
-BROADCAST_ROW_LIMIT = 2_000_000
-_ROW_COUNTS: dict[str, int] = {}
+# A broadcast side is held in memory by every executor: 32 MB of parquet, of
+# which only a few narrow key/label columns are read, stay well under ~100 MB.
+BROADCAST_BYTES = 32 << 20
 
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-_SCHEMAS: dict[str, object] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """Read a parquet table, selecting ``cols`` (pruned in the scan).
-
-    The schema inferred on the first read of a path is reused afterwards, so
-    building a plan does not re-read parquet footers every time.
-    """
-    path = table_path(sf_dir, name)
-    schema = _SCHEMAS.get(path)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-    else:
-        df = spark.read.schema(schema).parquet(path)
+    """Read a parquet table, selecting ``cols`` (pruned in the scan)."""
+    df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*cols) if cols else df
 
 
-def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """Row count of a parquet table (answered from footers; cached per path)."""
-    path = table_path(sf_dir, name)
-    if path not in _ROW_COUNTS:
-        _ROW_COUNTS[path] = read_table(spark, sf_dir, name).count()
-    return _ROW_COUNTS[path]
+def table_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Bytes of a table's files as they are now (a listing, no job)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
 def broadcast_if_small(
     df: DataFrame, spark: SparkSession, sf_dir: str, name: str, limit: int | None = None
 ) -> DataFrame:
     """Broadcast hint for a side derived from table ``name`` (at most as many
-    rows as the table) when the table has at most ``limit`` rows
-    (default ``BROADCAST_ROW_LIMIT``)."""
-    limit = BROADCAST_ROW_LIMIT if limit is None else limit
-    return F.broadcast(df) if table_rows(spark, sf_dir, name) <= limit else df
+    rows as the table) when the table's files have at most ``limit`` bytes
+    (default ``BROADCAST_BYTES``), looked up each time."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    return F.broadcast(df) if table_bytes(spark, sf_dir, name) <= limit else df
 
 
 def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

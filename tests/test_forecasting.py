@@ -93,10 +93,13 @@ def test_linear_trend_and_metrics(spark):
 
 def test_horizon_validation(spark):
     series = _monthly(spark, _seasonal(20))
+    # Only the form's dispatch has an upper limit.
+    assert TS.future_calendar(series, 30, [C.REGION]).count() == 30
+    for horizon in (0, 13):
+        with pytest.raises(ValueError):
+            forecast(series, "trend_season", horizon, [C.REGION])
     with pytest.raises(ValueError):
-        TS.future_calendar(series, 13, [C.REGION])
-    with pytest.raises(ValueError):
-        forecast(series, "trend_season", 0, [C.REGION])
+        TS.future_calendar(series, 0, [C.REGION])
     with pytest.raises(ValueError):
         forecast(series, "mystery", 3, [C.REGION])
 
