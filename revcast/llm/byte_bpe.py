@@ -8,8 +8,8 @@ parts are words met before; only new ones go through the library.
 from __future__ import annotations
 
 import re
+import struct
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: New words that a task remembers before the older half is dropped; longer words are not kept.
@@ -17,6 +17,7 @@ WORDS_KEPT, LONGEST_KEPT = 300_000, 64
 
 # A space with white space on both sides (or at the end) is part of a run that the pattern joins.
 _INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
+_RUN_STARTS = [c + " " for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f"]
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -49,16 +50,17 @@ class _Memory(dict):
         if rest and head and not head[-1].isspace() and not rest[0].isspace():
             return self[head] + first["\n"] + first[rest]
         stem = word.rstrip(_SIGNS)
-        if not stem.isalpha() or max(stem) > "\u024f":
+        if not stem.isalpha() or not (stem.isascii() or max(stem) <= "\u024f"):
             return packed(self.owner.tokenizer.encode(self.lead + word, add_special_tokens=False).ids)
         if len(stem) < len(word):
             return self[stem] + first[word[len(stem) :]]
-        spelled = (self.lead + word).encode().decode("latin-1").translate(_BYTE_LETTERS)
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        spelled = _SPACE + spelled if self.lead else spelled
         return packed([t.id for t in self.owner.tokenizer.model.tokenize(spelled)])
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _byte_letters() -> dict[int, int]:
@@ -70,6 +72,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_SPACE = chr(_BYTE_LETTERS[0x20])
 
 
 class WordwiseTokenizer:
@@ -86,7 +89,8 @@ class WordwiseTokenizer:
         """The ids as little-endian unsigned 32-bit numbers; null counts as empty."""
         if not text:
             return b""
-        parts = _BETWEEN_WORDS.split(text) if _INSIDE_RUN.search(text) else text.split(" ")
+        may_run = any(map(text.__contains__, _RUN_STARTS)) if text.isascii() else True
+        parts = _BETWEEN_WORDS.split(text) if may_run and _INSIDE_RUN.search(text) else text.split(" ")
         return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
 
 
