@@ -37,6 +37,8 @@ from revcast.llm.common import whole_text, written
 WINDOW, ANCHOR = 20, 6
 #: About this many windows in an automaton, and passages that one task streams through it.
 SHARD_WINDOWS, TASK_PASSAGES = 30_000, 30_000
+#: Rows that a task gathers before it hands them on.
+FLUSH_ROWS = 200_000
 
 _U = np.uint64
 
@@ -122,20 +124,29 @@ def _anchor_rows(docs: DataFrame, window: int, places: bool) -> DataFrame:
     return rows.mapInPandas(run, "key long, doc_id long, at int" if places else "key long")
 
 
+def _stacked(found: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("hash", "doc_id", "start", "n"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+
 def _candidate_windows(held: DataFrame, window: int) -> DataFrame:
     """``hash, doc_id, start, n`` of the windows of ``held`` (``doc_id, text, ats``) whose
     anchor is in ``ats``: for equal windows of a document the first start and their number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            found, size = [], 0
             for doc_id, text, ats in zip(b.doc_id, b.text, b.ats, strict=True):
                 a = Anchored(text, window)
                 starts = np.flatnonzero(np.isin(a.anchor_of, ats)) if a.n_windows else []
                 if len(starts):
                     hashes, first, n = np.unique(a.window_hashes()[starts], return_index=True, return_counts=True)
-                    yield pd.DataFrame(
-                        {"hash": hashes.astype(np.int64), "doc_id": doc_id, "start": starts[first].astype(np.int32), "n": n.astype(np.int32)}
-                    )
+                    found.append((hashes.astype(np.int64), np.full(len(hashes), doc_id, np.int64), starts[first].astype(np.int32), n.astype(np.int32)))
+                    size += len(hashes)
+                if size >= FLUSH_ROWS:
+                    yield _stacked(found)
+                    found, size = [], 0
+            if found:
+                yield _stacked(found)
 
     return held.mapInPandas(run, "hash long, doc_id long, start int, n int")
 
