@@ -135,7 +135,9 @@ def _judged(host: str, keys: list[int], streams: list[list[str]], whole: bool, m
             else:
                 own_keys, own_starts = keys_of[page[own]], start[own]
             rows.append((host, int(run[own[0]].astype(np.int64)), int(pages[own[0]]), own_keys, own_starts))
-    return pd.DataFrame(rows, columns=["host", "run", "pages", "keys", "starts"]).astype({"run": "Int64"})
+    found = pd.DataFrame(rows, columns=["host", "run", "pages", "keys", "starts"])
+    # Not by way of floats, which hold 53 bits of a run's hash.
+    return found.assign(run=pd.array([r[1] for r in rows], dtype="Int64"))
 
 
 def boilerplate(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -154,13 +156,11 @@ def boilerplate(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     total = streams.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host, keys, own, size, whole = None, [], [], 0, False
+        host, keys, own, size = None, [], [], 0
         for b in batches:
             for h, key, words in zip(b.host, b.key, b.words, strict=True):
                 if keys and (h != host or size >= STREAM_WORDS):
-                    # Whole only between two other hosts of the same task.
-                    yield _judged(host, keys, own, whole and h != host, min_pages)
-                    whole = h != host
+                    yield _judged(host, keys, own, False, min_pages)
                     keys, own, size = [], [], 0
                 host = h
                 keys.append(key)
