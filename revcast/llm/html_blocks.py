@@ -14,7 +14,8 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
-#: Words of class and id names, and roles, that mark parts around the article.
+#: Words of class and id names, and roles, that mark parts around the article.  A name decides
+#: if it has no other words; with others it leaves a doubt, and behind a word like "has" nothing.
 _FRAME_WORDS = set(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr
     notice notices alert popup popover modal overlay sidebar nav navbar navigation menu breadcrumb breadcrumbs masthead footer
@@ -22,6 +23,13 @@ _FRAME_WORDS = set(
     newsletter subscribe subscription signup signin login search form widget toolbar pagination pager copyright topbar
     sitemap""".split()
 )
+_NAME_FILLERS = set("site list links buttons posts".split())
+_ELSEWHERE = set("has no not non with without".split())
+#: Inline elements go by name only where their whole class is one of these.
+_AD_NAMES = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+#: Elements whose names decide; those of other blocks leave a doubt, and those of headings say nothing.
+_CONTAINERS = set("div section ul ol dl li table tbody tr td center figure details ins header article".split())
+_HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup summary dt th caption legend figcaption".split())
 _FRAME_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _ARTICLE_NAMES = set(
     """article-body article-content article-text article__body post-content post-body entry-content story-body story-content
@@ -40,6 +48,8 @@ _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style textarea title iframe noscript noframes xmp".split()}
 
 FRAME, OPEN, ARTICLE = 0, 1, 2
+#: How surely an element is around the article: not, in doubt, by its name, by its tag, role or style.
+NOT, DOUBT, NAMED, SURE = 0, 1, 2, 3
 
 
 class Block(NamedTuple):
@@ -53,27 +63,73 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(source)}
 
 
-def _place(tag: str, source: str, in_article: bool) -> int | None:
-    """FRAME or the rank of an article container (2 article, 3 main, 4 by name) for an element; None if neither."""
-    if tag in _FRAME or (tag == "header" and not in_article):
-        return FRAME
+def _named(tag: str, a: dict[str, str], in_article: bool) -> int:
+    """NOT, DOUBT or NAMED by the class and id of an element."""
+    if tag in _HEADINGS or tag == "main":
+        return NOT
+    if tag in _INLINE:
+        return NAMED if a.get("class", "").strip().lower() in _AD_NAMES else NOT
+    ids = a.get("id", "").split() if tag in _CONTAINERS else []
+    found = NOT
+    for name in a.get("class", "").split() + ids:
+        words = {w.lower() for w in _WORD_CUT.split(name) if w}
+        marks = words & _FRAME_WORDS
+        if "header" in words and not in_article and tag != "article":
+            marks = marks | {"header"}
+        if marks and not words & _ELSEWHERE:
+            found = max(found, NAMED if tag in _CONTAINERS and words <= marks | _NAME_FILLERS else DOUBT)
+    return found
+
+
+def _place(tag: str, source: str, in_article: bool) -> tuple[int, int]:
+    """How surely an element is around the article, and its rank as an article container
+    (2 article, 3 main, 4 by name, 0 none)."""
+    if tag in ("html", "body"):
+        return NOT, 0
+    sure, rank = NOT, 2 if tag == "article" else 3 if tag == "main" else 0
+    if tag == "form":  # some pages are one form as a whole
+        sure = SURE if in_article else DOUBT
+    elif tag in _FRAME or (tag == "header" and not in_article):
+        sure = SURE
     if source and not source.isspace():
         a = _attributes(source)
         role = a.get("role", "").lower()
         if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN_STYLE.search(a.get("style", "")):
-            return FRAME
+            sure = SURE
         if role in _FRAME_ROLES:
-            return FRAME
+            sure = max(sure, DOUBT if role == "form" and not in_article else SURE)
+        sure = max(sure, _named(tag, a, in_article))
         names = f"{a.get('class', '')} {a.get('id', '')}"
-        if tag not in ("html", "body", "main") and names.strip():
-            words = {w.lower() for w in _WORD_CUT.split(names)}
-            if words & _FRAME_WORDS or ("header" in words and not in_article and tag != "article"):
-                return FRAME
         if role == "main":
-            return 3
-        if a.get("itemprop", "").lower() == "articlebody" or set(names.lower().split()) & _ARTICLE_NAMES:
-            return 4
-    return 2 if tag == "article" else 3 if tag == "main" else None
+            rank = 3
+        elif a.get("itemprop", "").lower() == "articlebody" or set(names.lower().split()) & _ARTICLE_NAMES:
+            rank = 4
+    return (NOT if rank and sure == DOUBT else sure), rank
+
+
+class _Mark(NamedTuple):
+    """An element that is around the article or holds it: number of the mark it stands in, and :func:`_place`."""
+
+    outer: int
+    sure: int
+    rank: int
+
+
+def _standing(marks: list[_Mark]) -> list[tuple[int, dict[int, int], dict[int, int]]]:
+    """For each mark: how surely text in it is around the article, and the same by rank of
+    container counted from the container on: of containers that no frame holds, and of all."""
+    found: list[tuple[int, dict[int, int], dict[int, int]]] = [(NOT, {}, {})]
+    for m in marks[1:]:
+        sure, free, held = found[m.outer]
+        sure = max(sure, m.sure)
+        free = {r: max(s, m.sure) for r, s in free.items()}
+        held = {r: max(s, m.sure) for r, s in held.items()}
+        if m.rank:
+            if sure <= DOUBT:
+                free.setdefault(m.rank, NOT)
+            held.setdefault(m.rank, NOT)
+        found.append((sure, free, held))
+    return found
 
 
 def blocks(source: str | None) -> list[Block]:
@@ -82,23 +138,36 @@ def blocks(source: str | None) -> list[Block]:
     Blocks end at every tag that is not inline, and at line breaks.  White space
     in a block becomes one space, character references are decoded.  Where a page
     has article elements these are the article, else its main part, else elements
-    named as one.  Unclosed and stray tags are tolerated: an end tag closes the
-    nearest open element of its name, and none if there is none.
+    named as one.  Containers inside a frame count only on pages that have no
+    others; then the frame around them does not.  Parts of the article, or of a
+    page without one, that are frames in doubt are OPEN.  Unclosed and stray tags
+    are tolerated: an end tag closes the nearest open element of its name, and
+    none if there is none.
     """
     source = source or ""
-    found: list[tuple[frozenset, bool, str]] = []  # containers, in the frame, text
+    found: list[tuple[int, str]] = []  # mark, text
     text: list[str] = []
-    stack: list[tuple[str, int | None]] = []
-    silent = frames = 0
-    held: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []  # tag, own mark or 0
+    marks = [_Mark(0, NOT, 0)]
+    at_mark = silent = n_held = 0
 
     def flush() -> None:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                found.append((frozenset(k for k, n in held.items() if n), frames > 0, joined))
+                found.append((at_mark, joined))
             text.clear()
 
+    def shut(depth: int) -> None:
+        """Closes the elements from ``depth`` on."""
+        nonlocal at_mark, silent, n_held
+        while len(stack) > depth:
+            t, own = stack.pop()
+            silent -= t in _SILENT
+            if own:
+                at_mark = marks[own].outer
+                n_held -= marks[own].rank > 0
+
     at = 0
     while at < len(source):
         m = _TOKEN.search(source, at)
@@ -121,16 +190,9 @@ def blocks(source: str | None) -> list[Block]:
         if m["end"]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if depth is not None:
-                if any(place is not None for _, place in stack[depth:]):
+                if any(own for _, own in stack[depth:]):
                     flush()
-                while True:
-                    t, place = stack.pop()
-                    silent -= t in _SILENT
-                    frames -= place == FRAME
-                    if place:
-                        held[place] -= 1
-                    if len(stack) == depth:
-                        break
+                shut(depth)
             continue
         if tag in _RAW and not (tag == "title" and any(t in ("svg", "math") for t, _ in stack)):
             end = _RAW[tag].search(source, at)
@@ -140,21 +202,27 @@ def blocks(source: str | None) -> list[Block]:
             continue
         if tag in _VOID or m["attrs"].endswith("/") and tag not in ("p", "div", "article", "main", "section", "body"):
             continue
-        place = _place(tag, m["attrs"], bool(held.get(2) or held.get(3) or held.get(4)))
-        if place is not None:
+        sure, rank = _place(tag, m["attrs"], n_held > 0)
+        if sure or rank:
             flush()
-        stack.append((tag, place))
+            marks.append(_Mark(at_mark, sure, rank))
+            at_mark = len(marks) - 1
+            n_held += rank > 0
+        stack.append((tag, at_mark if sure or rank else 0))
         if tag == "body" and silent:  # the head was not closed
             silent = 0
             stack[:] = [x for x in stack if x[0] not in _SILENT]
         silent += tag in _SILENT
-        frames += place == FRAME
-        if place:
-            held[place] = held.get(place, 0) + 1
     if not silent:
         flush()
-    kinds = {k for own, framed, _ in found if not framed for k in own}
-    chosen = min(kinds) if kinds else None
-    return [
-        Block(FRAME if framed else ARTICLE if chosen in own else OPEN if chosen is None else FRAME, t) for own, framed, t in found
-    ]
+    standing = _standing(marks)
+    rows = [(*standing[mark], t) for mark, t in found]
+    for which in (1, 2):  # containers that no frame holds, else all
+        ranks = {rank for row in rows for rank, sure in row[which].items() if sure <= DOUBT}
+        if ranks:
+            own = min(ranks)
+            places = {NOT: ARTICLE, DOUBT: OPEN}
+            return [Block(places.get(row[which].get(own, SURE), FRAME), row[3]) for row in rows]
+    # Where names would leave nothing of a page, they do not decide.
+    least = min((row[0] for row in rows), default=NOT)
+    return [Block(FRAME if row[0] >= (SURE if least == NAMED else NAMED) else OPEN, row[3]) for row in rows]

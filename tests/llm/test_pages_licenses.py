@@ -41,6 +41,21 @@ def test_blocks_of_broken_sources():
     assert len(blocks("<div>x" * 20_000)) == 20_000
 
 
+def test_names_of_frames_leave_the_article():
+    text = lambda source, *places: [b.text for b in blocks(source) if b.place in places]
+    around = '<div class="layout has-sidebar"><nav>menu</nav><article>a</article></div>', '<div class="no-comments"><article>a</article></div>'
+    around += '<form id="aspnetForm"><nav>menu</nav><article>a</article></form>', '<div class="sidebar"><article>a</article></div>'
+    around += '<article class="notice">a</article>', '<body class="modal"><article>a</article>', '<aside>x</aside><div id="popup"><main>a</main></div>'
+    assert [text(s, ARTICLE) for s in around] == [["a"]] * len(around)
+    inside = """<article><h2 id="related-work">one</h2><h2 id="search">two</h2><p id="form-and-function">three
+      <span class="token comment">four</span></p><div class="comment">no</div><div class="share-box">perhaps</div></article>"""
+    assert text(inside, ARTICLE) == ["one", "two", "three four"] and text(inside, OPEN) == ["perhaps"] and text(inside, FRAME) == ["no"]
+    # Without an article: a form may be the page, names do not take all of it, and frames by tag stay frames.
+    assert text("<form><nav>menu</nav><p>a</p></form>", OPEN) == text('<div id="modal"><nav>menu</nav>a</div>', OPEN) == ["a"]
+    # Readers' comments are no article where there is another one.
+    assert text('<main><div id="comments"><article>no</article></div>a</main>', ARTICLE) == ["a"]
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r for r in host_suffix.extract(pages).collect()}
