@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 #: Elements whose content is never text of the page.
@@ -30,6 +31,25 @@ _AD_NAMES = set("ad ads advert adverts advertisement advertising sponsor sponsor
 #: Elements whose names decide; those of other blocks leave a doubt, and those of headings say nothing.
 _CONTAINERS = set("div section ul ol dl li table tbody tr td center figure details ins header article".split())
 _HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup summary dt th caption legend figcaption".split())
+#: End tags that authors may leave out: a start tag closes open elements of these names, up to one of the others.
+_BLOCKS = set(
+    """address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3
+    h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul""".split()
+)
+_P_SCOPE = set("table td th caption button object template".split())
+_ITEM_SCOPE = (_BLOCKS - set("address div p li dd dt".split())) | set("td th caption body".split())
+_IMPLIED = {
+    "li": (set(["li"]), _ITEM_SCOPE),
+    "dd": (set(["dd", "dt"]), _ITEM_SCOPE),
+    "dt": (set(["dd", "dt"]), _ITEM_SCOPE),
+    "td": (set(["td", "th"]), set(["table"])),
+    "th": (set(["td", "th"]), set(["table"])),
+    "tr": (set(["td", "th", "tr", "caption"]), set(["table"])),
+    **dict.fromkeys("tbody thead tfoot".split(), (set("td th tr caption tbody thead tfoot".split()), set(["table"]))),
+    **dict.fromkeys("option optgroup".split(), (set(["option"]), set(["select", "datalist"]))),
+}
+#: Elements that end with what holds them.
+_MAY_STAY_OPEN = set("p li dd dt td th tr tbody thead tfoot caption option optgroup".split())
 _FRAME_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _ARTICLE_NAMES = set(
     """article-body article-content article-text article__body post-content post-body entry-content story-body story-content
@@ -115,15 +135,19 @@ class _Mark(NamedTuple):
     rank: int
 
 
-def _standing(marks: list[_Mark]) -> list[tuple[int, dict[int, int], dict[int, int]]]:
+def _standing(marks: list[_Mark], left_open: set[int]) -> list[tuple[int, dict[int, int], dict[int, int]]]:
     """For each mark: how surely text in it is around the article, and the same by rank of
-    container counted from the container on: of containers that no frame holds, and of all."""
+    container counted from the container on: of containers that no frame holds, and of all.
+
+    A frame that was left open is in doubt, as what follows may not belong to it.
+    """
     found: list[tuple[int, dict[int, int], dict[int, int]]] = [(NOT, {}, {})]
-    for m in marks[1:]:
+    for k, m in enumerate(marks[1:], 1):
         sure, free, held = found[m.outer]
-        sure = max(sure, m.sure)
-        free = {r: max(s, m.sure) for r, s in free.items()}
-        held = {r: max(s, m.sure) for r, s in held.items()}
+        own = min(m.sure, DOUBT) if k in left_open else m.sure
+        sure = max(sure, own)
+        free = {r: max(s, own) for r, s in free.items()}
+        held = {r: max(s, own) for r, s in held.items()}
         if m.rank:
             if sure <= DOUBT:
                 free.setdefault(m.rank, NOT)
@@ -142,7 +166,9 @@ def blocks(source: str | None) -> list[Block]:
     others; then the frame around them does not.  Parts of the article, or of a
     page without one, that are frames in doubt are OPEN.  Unclosed and stray tags
     are tolerated: an end tag closes the nearest open element of its name, and
-    none if there is none.
+    none if there is none; end tags that HTML lets authors leave out are implied;
+    a frame that is not closed by an end tag of its own is in doubt, and does not
+    hold the containers in it.
     """
     source = source or ""
     found: list[tuple[int, str]] = []  # mark, text
@@ -150,6 +176,8 @@ def blocks(source: str | None) -> list[Block]:
     stack: list[tuple[str, int]] = []  # tag, own mark or 0
     marks = [_Mark(0, NOT, 0)]
     at_mark = silent = n_held = 0
+    n_open: Counter[str] = Counter()
+    left_open: set[int] = set()
 
     def flush() -> None:
         if text:
@@ -163,10 +191,25 @@ def blocks(source: str | None) -> list[Block]:
         nonlocal at_mark, silent, n_held
         while len(stack) > depth:
             t, own = stack.pop()
+            n_open[t] -= 1
             silent -= t in _SILENT
             if own:
                 at_mark = marks[own].outer
                 n_held -= marks[own].rank > 0
+                if len(stack) > depth and t not in _MAY_STAY_OPEN:
+                    left_open.add(own)
+
+    def shut_implied(tags: set[str], scope: set[str]) -> None:
+        left, depth, k = sum(n_open[t] for t in tags), None, len(stack)
+        while left:
+            k -= 1
+            if stack[k][0] in tags:
+                depth = k
+                left -= 1
+            elif stack[k][0] in scope:
+                break
+        if depth is not None:
+            shut(depth)
 
     at = 0
     while at < len(source):
@@ -188,7 +231,9 @@ def blocks(source: str | None) -> list[Block]:
         if tag not in _INLINE:
             flush()
         if m["end"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None) if n_open[tag] else None
+            if depth is not None and tag == "p" and any(t in _P_SCOPE for t, _ in stack[depth:]):
+                depth = None
             if depth is not None:
                 if any(own for _, own in stack[depth:]):
                     flush()
@@ -200,6 +245,10 @@ def blocks(source: str | None) -> list[Block]:
             close = source.find(">", at)
             at = close + 1 if close >= 0 else len(source)
             continue
+        if tag in _IMPLIED:
+            shut_implied(*_IMPLIED[tag])
+        if tag in _BLOCKS:
+            shut_implied({"p"}, _P_SCOPE)
         if tag in _VOID or m["attrs"].endswith("/") and tag not in ("p", "div", "article", "main", "section", "body"):
             continue
         sure, rank = _place(tag, m["attrs"], n_held > 0)
@@ -209,13 +258,16 @@ def blocks(source: str | None) -> list[Block]:
             at_mark = len(marks) - 1
             n_held += rank > 0
         stack.append((tag, at_mark if sure or rank else 0))
+        n_open[tag] += 1
         if tag == "body" and silent:  # the head was not closed
             silent = 0
+            n_open.subtract(t for t, _ in stack if t in _SILENT)
             stack[:] = [x for x in stack if x[0] not in _SILENT]
         silent += tag in _SILENT
     if not silent:
         flush()
-    standing = _standing(marks)
+    left_open.update(own for t, own in stack if own and t not in _MAY_STAY_OPEN)
+    standing = _standing(marks, left_open)
     rows = [(*standing[mark], t) for mark, t in found]
     for which in (1, 2):  # containers that no frame holds, else all
         ranks = {rank for row in rows for rank, sure in row[which].items() if sure <= DOUBT}

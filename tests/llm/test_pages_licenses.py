@@ -56,6 +56,20 @@ def test_names_of_frames_leave_the_article():
     assert text('<main><div id="comments"><article>no</article></div>a</main>', ARTICLE) == ["a"]
 
 
+def test_end_tags_left_out():
+    text = lambda source, *places: [b.text for b in blocks(source) if b.place in places]
+    inside = """<article><div class="notice">x</div><p class="notice">x<p>a<ul><li class="share">x<li>b</ul><table><tr class="share"><td>x<tr><td
+      class="ad">x<td>c</table><dl><dd class="comment">x<dt>d</dl><p class="ad">x<div>e</div>f</article>"""
+    assert text(inside, ARTICLE) == ["a", "b", "c", "d", "e", "f"]
+    assert text("<ul><li class='share'>x<ul><li>x</ul><li>a</ul>", OPEN) == ["a"]
+    front = '<div class="ad">x<article>a</article>', "<body><nav>x<article>a</article></body>", "<main>x<div class='ad'>x<article>a</article></main>"
+    assert [text(s, ARTICLE) for s in front] == [["a"]] * 3
+    # Without a declared article the rest of the page is open; closed frames inside one that was left open are not.
+    assert text("<body><nav>m<p>a</p><footer>x</footer></body>", OPEN) == ["m", "a"]
+    assert text("<article><p>a<table><tr><td>b</p>c</table>d</article>", ARTICLE) == ["a", "b", "c", "d"]
+    assert len(blocks("<p><table><td>" * 3000 + "<li>x" * 20_000)) == 20_000
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r for r in host_suffix.extract(pages).collect()}
