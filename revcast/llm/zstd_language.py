@@ -42,15 +42,20 @@ def train(docs: DataFrame, dict_bytes: int = DICT_BYTES, dict_docs: int = DICT_D
     """Dictionary by language, the one with most rows first, from ``text`` and ``lang`` of ``docs``; null or empty ones teach nothing.
 
     Equal texts count once.  At most ``dict_docs`` texts of each language reach
-    the driver, chosen by hash; the share of rows that is looked at shrinks as
-    the table grows, so that no task gathers more than a few times that many.
+    the driver, chosen by hash; the share of texts that is looked at shrinks as
+    the distinct texts of a language grow, so that no task gathers more than a few
+    times that many, and all of them are looked at where they are few.
     """
     known = docs.filter("lang IS NOT NULL AND length(text) > 0").select("lang", "text")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    order = F.xxhash64("text")
+    # Copies of a text are combined before the shuffle.
+    texts = known.groupBy("lang", order.alias("order")).count()
+    tallies = texts.groupBy("lang").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()
+    counts = {r["lang"]: r["n"] for r in tallies}
     if not counts:
         return {}
-    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 6 * dict_docs / n))))
-    order = F.xxhash64("text")
+    shares = {r["lang"]: min(1.0, 6 * dict_docs / r["distinct"]) for r in tallies}
+    share = F.create_map(*(F.lit(x) for lang in sorted(shares) for x in (lang, shares[lang])))
     drawn = (
         known.withColumn("order", order)
         .filter(F.pmod("order", F.lit(1_000_003)) <= F.element_at(share, F.col("lang")) * 1_000_003)

@@ -83,6 +83,16 @@ def test_language_on_held_out_documents(spark):
         assert r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
+def test_copies_do_not_thin_out_a_dictionary(spark):
+    rows = [(k, f"{w} " * 9 + f"{w}{chr(97 + k % 26)}{chr(97 + k // 26)}", w) for w, n in (("viele", 40), ("many", 500)) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    copied = docs.filter("lang = 'viele'").crossJoin(spark.range(2000)).drop("id").unionByName(docs.filter("lang = 'many'"))
+    # The same texts teach the same, whatever their copies; the language with most rows comes first.
+    learned, plain = (zstd_language.train(d, dict_docs=10) for d in (copied, docs))
+    assert learned == plain and list(learned) == ["viele", "many"] and list(plain) == ["many", "viele"]
+    assert all(text.count(b"\n") == 10 for text in learned.values())
+
+
 def test_language_awkward_rows(spark):
     learned = {"xx": b"one two three four five " * 40, "yy": b"eins zwei drei vier " * 40}
     docs = awkward(spark)
