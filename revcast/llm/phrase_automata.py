@@ -15,9 +15,11 @@ document with a smaller id, or further left in the same one.  The steps are
    through the automaton of their shard, which finds every occurrence of every
    recurring window by its words, not its hash.
 
-An automaton holds a bounded number of windows; a shard whose passages are many
-(a passage that a third of all documents hold) is dealt over several tasks with
-the same automaton.  Whole copies of a text take part once: their smallest id
+An automaton holds a bounded number of windows: those of an anchor that has more
+(a line that a third of all documents hold in ever new contexts) are dealt over
+shards of its own by the words of the window, and a passage goes to the shards of
+the windows that it holds.  A shard whose passages are many is dealt over several
+tasks with the same automaton.  Whole copies of a text take part once: their smallest id
 stands for them, the others lose every window.
 """
 
@@ -171,6 +173,19 @@ def _excerpts(held: DataFrame, window: int, chosen: str) -> DataFrame:
     return held.select("doc_id", "text", chosen).mapInPandas(run, "key long, doc_id long, first int, offsets array<int>, words string")
 
 
+def _in_shards(excerpts: DataFrame, hot: DataFrame, shards: int, window: int) -> DataFrame:
+    """``excerpts`` with their ``shard``; those of anchors in ``hot`` (``key, parts``) once
+    for each of the anchor's shards that has some of their windows, with the offsets of these."""
+    part_of = f"transform(offsets, k -> pmod(xxhash64(slice(split(words, ' '), k + 1, {window})), parts))"
+    own = excerpts.join(F.broadcast(hot), "key", "left").withColumn("part_of", F.expr(f"if(parts IS NULL, NULL, {part_of})"))
+    own = own.withColumn("part", F.explode_outer(F.array_distinct("part_of")))
+    return own.select(
+        *(c for c in excerpts.columns if c != "offsets"),
+        F.expr("if(part IS NULL, offsets, filter(offsets, (k, i) -> get(part_of, i) = part))").alias("offsets"),
+        F.expr(f"if(part IS NULL, pmod(xxhash64(key), {shards}), xxhash64(key, part))").alias("shard"),
+    )
+
+
 def locate(patterns: pd.DataFrame, passages: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
     """``doc_id, first, last``: runs of starts, in the passages, of windows that are among
     the patterns and stand earlier there."""
@@ -224,14 +239,17 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     counted = places.agg(F.min("doc_id").alias("first_doc"), F.min_by("start", "doc_id").alias("start"), F.sum("n").alias("times"))
     confirmed = written(counted.filter("times > 1").select(F.col("first_doc").alias("doc_id"), "start"), "confirmed")
     shards = max(1, confirmed.count() // SHARD_WINDOWS)
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
     starts = confirmed.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    patterns = _excerpts(held.drop("ats").join(starts, "doc_id"), window, "starts")
-    passages = written(_excerpts(held, window, "ats").drop("offsets").select("*", shard), "passages")
+    patterns = written(_excerpts(held.drop("ats").join(starts, "doc_id"), window, "starts"), "patterns")
+    hot = patterns.groupBy("key").agg(F.sum(F.size("offsets")).alias("n")).filter(f"n > {SHARD_WINDOWS}")
+    # No more rows than there are shards.
+    hot = written(hot.select("key", F.expr(f"1 + n div {SHARD_WINDOWS}").alias("parts")), "hot-anchors")
+    patterns = _in_shards(patterns, hot, shards, window)
+    passages = written(_in_shards(_excerpts(held, window, "ats"), hot, shards, window).drop("offsets"), "passages")
     tasks = passages.groupBy("shard").agg(F.expr(f"1 + count(*) div {TASK_PASSAGES}").alias("tasks"))
     tasks = written(tasks, "tasks")
     dealt = passages.join(tasks, "shard").withColumn("task", F.expr("pmod(xxhash64(doc_id, first), tasks)"))
-    copied = patterns.select("*", shard).join(tasks, "shard").withColumn("task", F.explode(F.expr("sequence(0L, tasks - 1)")))
+    copied = patterns.join(tasks, "shard").withColumn("task", F.explode(F.expr("sequence(0L, tasks - 1)")))
 
     def run(key, patterns: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
         return locate(patterns, passages, window)

@@ -155,6 +155,27 @@ def test_substring_dedup_with_many_small_tasks(spark, monkeypatch):
     assert {r.doc_id: r.n_removed for r in got} == {i: sum(g) for i, (_, g) in want.items()}
 
 
+def test_windows_of_a_hot_anchor_are_dealt(spark, monkeypatch):
+    rng = random.Random(12)
+    lines = [prose(rng, 6, 5000) for _ in range(3000)]
+    # The line with the smallest hash is the anchor of all windows around it.
+    line = min(lines, key=lambda x: phrase_automata._runs(pd.util.hash_array(np.array(x.encode().split(), dtype=object)).astype(np.uint64), 6)[0])
+    contexts = [" ".join([prose(rng, 14, 5000), line, prose(rng, 14, 5000)]) for _ in range(40)]
+    rows = [(k, f"x{k} {c} y{k}") for k, c in enumerate(contexts * 2)]
+    real = phrase_automata.locate
+
+    def bounded(patterns, passages, window):
+        assert sum(map(len, patterns.offsets)) <= 200
+        return real(patterns, passages, window)
+
+    monkeypatch.setattr(phrase_automata, "SHARD_WINDOWS", 100)
+    monkeypatch.setattr(phrase_automata, "locate", bounded)
+    want = removed_words(rows)
+    got = phrase_automata.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {i: sum(g) for i, (_, g) in want.items()}
+    assert sum(r.n_removed for r in got) == 40 * 34
+
+
 def test_remove_repeats(spark):
     rows = [(1, "a b  c"), (2, prose(random.Random(1), 40)), (3, prose(random.Random(1), 40)), (4, "x " + prose(random.Random(1), 40)), (5, None)]
     docs = spark.createDataFrame([(*r, *("y" for _ in range(len(SCHEMA.split(",")) - 2))) for r in rows], SCHEMA)
