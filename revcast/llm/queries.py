@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcast.llm import host_suffix, hyperminhash, license_scan, phrase_automata, piece_codec, quality_rules, separator_scan, two_fit_packing, zstd_language
+from revcast.llm import (
+    block_whitening,
+    host_suffix,
+    hyperminhash,
+    license_scan,
+    multi_index,
+    pair_tiles,
+    phrase_automata,
+    piece_codec,
+    quality_rules,
+    separator_scan,
+    two_fit_packing,
+    zstd_language,
+)
 from revcast.llm.common import fresh_path
 from revcast.llm.exact_dedup import new_index
 
@@ -85,6 +98,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op12_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    return block_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pair_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest collocations of each language."""
+    return pair_tiles.collocations(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -107,6 +135,9 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
+    "op11_multi_index": op11_multi_index,
+    "op12_block_whitening": op12_block_whitening,
+    "op13_pair_tiles": op13_pair_tiles,
 }
 
 ORACLE: dict[str, str] = {
