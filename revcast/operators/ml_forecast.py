@@ -1,5 +1,5 @@
-"""Regression forecasting with Spark ML: detrend, lag features, pooled model,
-holdout metrics, refit and a recursive multi-step forecast.
+"""Regression forecasting: detrend, lag features, a model, holdout metrics, refit and
+a recursive multi-step forecast.
 
 Per series the steps are those of the modelled application:
 
@@ -14,7 +14,9 @@ Per series the steps are those of the modelled application:
    in-sample residuals for the interval;
 5. forecast ``h`` steps recursively: each prediction becomes the newest lag.
 
-Scale-out design.  One model is fitted over all series at once (pooled);
+Scale-out design.  The tree models (Spark ML's forest, :mod:`boosting`) are
+fitted over all series at once (pooled), the linear regression for each series
+by itself (:mod:`least_squares`);
 with series keys the detrended target and its lags are divided by the
 series' detrended std so series of different size share one model; with no
 keys (one series) nothing is scaled, which is exactly the single-series
@@ -26,7 +28,8 @@ short derivations of that checkpoint (windows over series-sized data) and
 are recomputed where read rather than written again.  The recursive forecast keeps the last
 12 detrended values of each series in an ``array<double>``; each step is a
 narrow projection (array lookups, ``model.transform``, ``concat``) over one
-row per series, so ``h`` steps add no shuffle.
+row per series, so ``h`` steps add no shuffle; after every ``BLOCK_STEPS`` steps
+the state is written, so that the plan stays as deep for any horizon.
 
 Series that fail the history guard (fewer than 15 periods or fewer than 6
 complete feature rows) are left out of training and forecasting; the result's
@@ -35,15 +38,18 @@ complete feature rows) are left out of training and forecasting; the result's
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revcast import columns as C
 from revcast.functions.periods import normalise_freq, step_periods
+from revcast.operators import boosting, least_squares
 from revcast.operators.features import (
     ROLL_MEAN,
     ROLL_STD,
@@ -72,21 +78,46 @@ RAW_FEATURES = DETRENDED_FEATURES + [C.YEAR]
 MAX_BINS = 256
 
 
-def make_estimator(code: str, features: str = "features", label: str = "label", max_bins: int = MAX_BINS):
-    """Regularised regressors (fixed hyper-parameters of the modelled app)."""
+def make_forest(max_bins: int = MAX_BINS) -> RandomForestRegressor:
+    """The regularised forest (fixed hyper-parameters of the modelled app)."""
     # Node-id caching avoids re-walking trees per level.
+    return RandomForestRegressor(
+        featuresCol="features", labelCol="label", numTrees=100, maxDepth=8, minInstancesPerNode=2,
+        featureSubsetStrategy="all", maxBins=max_bins, cacheNodeIds=True, maxMemoryInMB=512, seed=42,
+    )
+
+
+class Forest:
+    """A forest on columns."""
+
+    def __init__(self, train: DataFrame, features: list[str]):
+        self.assembler = VectorAssembler(inputCols=features, outputCol="features")
+        self.model = make_forest().fit(self.assembler.transform(train))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.assembler.transform(df))
+
+
+class SeriesRegressions:
+    """A linear regression for each series."""
+
+    def __init__(self, train: DataFrame, features: list[str], k: list[str]):
+        self.features, self.k = features, k
+        self.models = materialize(least_squares.fit(train, features, "label", k))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return least_squares.predict(df, self.models, self.features, self.k)
+
+
+def fitted(code: str, train: DataFrame, features: list[str], k: list[str]):
+    """A model of ``label``, whose ``transform`` adds ``prediction``."""
     if code == "rf":
-        return RandomForestRegressor(
-            featuresCol=features, labelCol=label, numTrees=100, maxDepth=8, minInstancesPerNode=2,
-            featureSubsetStrategy="all", maxBins=max_bins, cacheNodeIds=True, maxMemoryInMB=512, seed=42,
-        )
+        return Forest(_laid_out(train, k), features)
     if code == "gbt":
-        return GBTRegressor(
-            featuresCol=features, labelCol=label, maxIter=100, stepSize=0.05, maxDepth=4,
-            subsamplingRate=0.8, featureSubsetStrategy="0.8", maxBins=max_bins, cacheNodeIds=True, seed=42,
-        )
+        row = boosting.row_ids(*(F.col(c).cast("string") for c in k), F.date_format(C.DS, "yyyy-MM-dd HH:mm:ss"))
+        return boosting.fit(train, features, "label", row)
     if code == "lr":
-        return LinearRegression(featuresCol=features, labelCol=label, solver="normal", regParam=0.0)
+        return SeriesRegressions(train, features, k)
     raise ValueError(f"Unknown model {code!r}; use one of {sorted(MODEL_NAMES)}")
 
 
@@ -163,14 +194,6 @@ def _complete(design: DataFrame, k: list[str]) -> DataFrame:
     ).drop("__n", "__rn")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    return materialize(df)
-
-
-def _assembler(features: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=features, outputCol="features")
-
-
 class RegressionForecast:
     """Result of ``train_regression_model``: forecast, metrics, model name, and the
     status of every series, also of those left out."""
@@ -200,7 +223,7 @@ def train_regression_model(
     freq = normalise_freq(freq)
     pooled = bool(keys)
     prepared, k = keyed(_prepared(series, keys, value), keys)
-    prepared = _checkpointed(prepared)
+    prepared = materialize(prepared)
     status = _status(prepared, k)
     prepared = prepared.join(status.filter(F.col("status") == "ok").select(*k), on=k, how="left_semi")
     status = unkeyed(status)
@@ -209,22 +232,20 @@ def train_regression_model(
         scores = error_metrics(prepared.withColumn("yhat", F.col("y")), k).withColumn("model", F.lit(MODEL_NAMES[model]))
         nothing = nothing.withColumn("is_future", F.lit(False))
         return RegressionForecast(unkeyed(nothing), unkeyed(scores), MODEL_NAMES[model], status)
-    asm = _assembler(DETRENDED_FEATURES)
 
     # 1-3: trend on the training part, model on the training rows, holdout metrics.
     clean = _complete(_design(prepared, k, train_only=True, pooled=pooled), k)
-    train = _laid_out(clean.filter(F.col("split") == "train"), k)
-    fitted = make_estimator(model).fit(asm.transform(train))
-    test = fitted.transform(asm.transform(clean.filter(F.col("split") == "test")))
+    on_train = fitted(model, clean.filter(F.col("split") == "train"), DETRENDED_FEATURES, k)
+    test = on_train.transform(clean.filter(F.col("split") == "test"))
     test = test.withColumn("yhat", F.col("prediction") * F.col("scale") + F.col("trend"))
     metrics = error_metrics(test, k, "y", "yhat").withColumn("model", F.lit(MODEL_NAMES[model]))
 
     # 4: refit on everything; residual spread in original units.
     design_full = _design(prepared, k, train_only=False, pooled=pooled)
     clean_full = _complete(design_full, k)
-    full_model = make_estimator(model).fit(asm.transform(_laid_out(clean_full, k)))
+    full_model = fitted(model, clean_full, DETRENDED_FEATURES, k)
     resid = (
-        full_model.transform(asm.transform(clean_full))
+        full_model.transform(clean_full)
         .withColumn("r", (F.col("label") - F.col("prediction")) * F.col("scale"))
         .groupBy(*k)
         .agg(F.stddev_pop("r").alias("__sd"), F.count(F.lit(1)).alias("__n"))
@@ -232,7 +253,7 @@ def train_regression_model(
     )
 
     # 5: recursive forecast from the last 12 detrended values of each series.
-    future = recursive_forecast(design_full, full_model, asm, resid, k, int(horizon), freq)
+    future = recursive_forecast(design_full, full_model, resid, k, int(horizon), freq)
     history = prepared.select(
         *k, C.DS, F.col("y").alias("yhat"), F.col("y").alias("yhat_lower"), F.col("y").alias("yhat_upper"),
         F.lit(False).alias("is_future"),
@@ -264,19 +285,35 @@ def _sample_std3(a: Column, b: Column, c: Column) -> Column:
     return F.sqrt(((a - m) * (a - m) + (b - m) * (b - m) + (c - m) * (c - m)) / 2.0)
 
 
-def recursive_forecast(
-    design_full: DataFrame,
-    model,
-    asm: VectorAssembler,
-    resid: DataFrame,
-    k: list[str],
-    horizon: int,
-    freq: str,
-) -> DataFrame:
-    """``horizon`` future rows per series, each step feeding the next."""
-    state = _last_values(design_full, k).withColumn(
-        "preds", F.array().cast("array<double>")
-    )
+#: Steps of a recursive forecast between two writes of its state.
+BLOCK_STEPS = 12
+
+
+def _in_batches(state: DataFrame, model: boosting.BoostedTrees, horizon: int, freq: str) -> DataFrame:
+    """``state`` with all predictions, made in one pass: the steps run over whole batches of series."""
+    months = F.array(*(F.month(step_periods("last_ds", step, freq)) for step in range(1, horizon + 1)))
+    schema = state.drop("hist").schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            month = np.stack(b["__months"].to_list())
+            hist = np.stack(b["hist"].to_list()).astype(np.float64)
+            preds = []
+            for step in range(horizon):
+                last = hist[:, -3:]
+                feats = {lag_name(lag): hist[:, -lag] for lag in C.DEFAULT_LAGS}
+                feats |= {ROLL_MEAN: last.mean(axis=1), ROLL_STD: last.std(axis=1, ddof=1), C.MONTH: month[:, step].astype(np.float64)}
+                preds.append(model.predict([feats[c] for c in model.features]))
+                hist = np.column_stack([hist[:, 1:], preds[-1]])
+            yield b.drop(columns=["hist", "__months"]).assign(preds=list(np.column_stack(preds)))[schema.names]
+
+    return state.withColumn("__months", months).mapInPandas(run, schema)
+
+
+def _in_projections(state: DataFrame, model, k: list[str], horizon: int, freq: str) -> DataFrame:
+    """``state`` with all predictions, one projection for each step."""
     for step in range(1, horizon + 1):
         ds = step_periods("last_ds", step, freq)
         h = F.col("hist")
@@ -285,12 +322,30 @@ def recursive_forecast(
         feats[ROLL_MEAN] = (a + b + c) / 3.0
         feats[ROLL_STD] = _sample_std3(a, b, c)
         feats[C.MONTH] = F.month(ds)
-        stepped = model.transform(asm.transform(state.withColumns(feats)))
+        stepped = model.transform(state.withColumns(feats))
         state = stepped.select(
             *k, "last_ds", "origin", "slope", "intercept", "scale",
             F.concat(F.slice(h, 2, max(C.DEFAULT_LAGS)), F.array(F.col("prediction"))).alias("hist"),
             F.concat(F.col("preds"), F.array(F.col("prediction"))).alias("preds"),
         )
+        if step % BLOCK_STEPS == 0 and step < horizon:
+            state = materialize(state)
+    return state
+
+
+def recursive_forecast(
+    design_full: DataFrame,
+    model,
+    resid: DataFrame,
+    k: list[str],
+    horizon: int,
+    freq: str,
+) -> DataFrame:
+    """``horizon`` future rows per series, each step feeding the next."""
+    state = _last_values(design_full, k).withColumn(
+        "preds", F.array().cast("array<double>")
+    )
+    state = _in_batches(state, model, horizon, freq) if isinstance(model, boosting.BoostedTrees) else _in_projections(state, model, k, horizon, freq)
     out = state.select(*k, "last_ds", "origin", "slope", "intercept", "scale", F.posexplode("preds").alias("pos", "p"))
     out = out.withColumn(C.DS, step_periods("last_ds", F.col("pos") + 1, freq))
     t = F.datediff(F.to_date(C.DS), F.to_date("origin"))
@@ -346,9 +401,7 @@ class Backtests:
         clean = self._table("raw" if model == "lr" else "detrended")
         if clean.isEmpty():
             return clean.select(*self.k, C.DS, "y", F.col("y").alias("yhat"), "split")
-        asm = _assembler(features)
-        fitted = make_estimator(model).fit(asm.transform(_laid_out(clean.filter(F.col("split") == "train"), self.k)))
-        pred = fitted.transform(asm.transform(clean))
+        pred = fitted(model, clean.filter(F.col("split") == "train"), features, self.k).transform(clean)
         yhat = F.col("prediction") * F.col("scale") + F.col("trend")
         return pred.select(*self.k, C.DS, "y", yhat.alias("yhat"), "split")
 
@@ -359,8 +412,11 @@ def _backtest_status(prepared: DataFrame, k: list[str]) -> DataFrame:
 
 
 def lag_regression_backtest(series: DataFrame, keys: Sequence[str] = (), value: str = C.REVENUE) -> DataFrame:
-    """Linear regression on raw lags, rolling stats, month and year: per split
-    predictions (no detrending), for the overfit report."""
+    """Linear regression on raw lags, rolling stats, month and year, one for each series:
+    per split predictions (no detrending), for the overfit report.
+
+    The rolling mean is the mean of lags 1 to 3, so the design is singular; the
+    last of the columns that depend on each other has the coefficient 0."""
     return unkeyed(Backtests(series, keys, value).predictions("lr"))
 
 
@@ -381,7 +437,7 @@ OVERFIT_MODEL_NAMES = {
 def ml_overfit_report(
     series: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = ("lr", "rf", "gbt"), value: str = C.REVENUE
 ) -> DataFrame:
-    """Overfit rows (train/test R^2 and MAE, gap, status) of the Spark ML models.
+    """Overfit rows (train/test R^2 and MAE, gap, status) of the regression models.
 
     Every series has a row for each model; the figures are null where ``status``
     is not ``ok``.

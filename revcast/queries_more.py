@@ -9,13 +9,16 @@ from revcast import columns as C
 from revcast.functions import text as TX
 from revcast.functions.money import money_sum
 from revcast.operators import aggregates as A
+from revcast.operators import boosting
+from revcast.operators import features as FT
 from revcast.operators import ml_forecast as ML
 from revcast.operators.allocation import region_country_allocation
 from revcast.operators.sampling import explorer_page, price_volume_sample
-from revcast.oracle import PROFIT_CTE, half_up, mdec, oracle, total, with_sales
+from revcast.oracle import PROFIT_CTE, half_up, mdec, oracle, series_ctes, total, with_sales
 from revcast.plans import forecast as FC
 from revcast.plans.report import report
 from revcast.queries import KPIS, monthly, query, rounded, sales
+from revcast.queries_series import _features_sql, _metrics_sql
 from revcast.queries_series import _forecast_sql as _series_forecast_sql
 from revcast.session import materialize, work_dir
 from revcast.sources import files
@@ -380,9 +383,156 @@ def q_forecast_rf_weekly(spark, sf_dir):
     return ML.train_regression_model(monthly(spark, sf_dir, [], freq="W"), 4, "rf", [], freq="W").forecast
 
 
+LR_DIGITS = {"train_r2": 6, "test_r2": 6, "train_mae": 2, "test_mae": 2, "overfit_gap": 6}
+
+
+def _backtest_lr(spark, sf_dir, keys):
+    return rounded(ML.ml_overfit_report(monthly(spark, sf_dir, keys), keys, models=("lr",)), LR_DIGITS)
+
+
 @query("backtest_lr")
 def q_backtest_lr(spark, sf_dir):
-    return ML.ml_overfit_report(monthly(spark, sf_dir, []), [], models=("lr",))
+    return _backtest_lr(spark, sf_dir, [])
+
+
+@query("backtest_lr_series")
+def q_backtest_lr_series(spark, sf_dir):
+    """A regression for each region and category."""
+    return _backtest_lr(spark, sf_dir, LR_KEYS)
+
+
+LR_KEYS = [C.REGION, C.CATEGORY]
+#: The columns of the regression but for the rolling mean, which depends on the lags.
+LR_COLUMNS = [*(FT.lag_name(k) for k in C.DEFAULT_LAGS), FT.ROLL_STD, "month", "year"]
+
+
+def _lr_sql(keys) -> str:
+    """Normal equations of each series on scaled columns, solved by elimination."""
+    keys = keys or ["one"]
+    kc = ", ".join(keys)
+    n = len(LR_COLUMNS)
+    names = [*LR_COLUMNS, "y"]
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in [*LR_COLUMNS, FT.ROLL_MEAN, "discount", "y"])
+    stats = ", ".join(f"AVG({c}) FILTER (split = 'train') OVER w AS m{k}, STDDEV_POP({c}) FILTER (split = 'train') OVER w AS s{k}" for k, c in enumerate(names))
+    products = ", ".join(
+        "[" + ", ".join(f"AVG(z{i} * z{j})" for j in range(n + 1)) + "]" for i in range(n)
+    )
+    steps = []
+    for k in range(1, n + 1):
+        steps.append(
+            f"""g{k} AS (SELECT {kc}, list_transform(range(1, {n + 1}), lambda i: CASE
+       WHEN i = {k} THEN list_transform(m[i], lambda v: v / m[{k}][{k}])
+       ELSE list_transform(range(1, {n + 2}), lambda j: m[i][j] - m[i][{k}] * m[{k}][j] / m[{k}][{k}]) END) AS m FROM g{k - 1})"""
+        )
+    predicted = " + ".join(f"g.m[{k + 1}][{n + 1}] * z{k}" for k in range(n))
+    return ",\n".join(
+        [
+            f"""lr0 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {kc} ORDER BY ds DESC) AS rn, COUNT(*) OVER (PARTITION BY {kc}) AS cnt
+FROM (SELECT *, sales_revenue AS y{", 1 AS one" if keys == ["one"] else ""} FROM feats) WHERE {complete})""",
+            f"""lr1 AS (SELECT *, CASE WHEN rn <= GREATEST(1, LEAST(6, CAST(FLOOR(cnt * 0.2) AS INTEGER))) THEN 'test' ELSE 'train' END AS split FROM lr0)""",
+            f"lr2 AS (SELECT *, {stats} FROM lr1 WINDOW w AS (PARTITION BY {kc}))",
+            f"lr3 AS (SELECT *, {', '.join(f'({c} - m{k}) / s{k} AS z{k}' for k, c in enumerate(names))} FROM lr2)",
+            f"g0 AS (SELECT {kc}, [{products}] AS m FROM lr3 WHERE split = 'train' GROUP BY {kc})",
+            *steps,
+            f"lrp AS (SELECT {', '.join(f'lr3.{k}' for k in keys)}, ds, y, split, m{n} + s{n} * ({predicted}) AS yhat FROM lr3 JOIN g{n} g USING ({kc}))",
+            _metrics_sql(keys, "lrp", "split"),
+            f"""wide AS (SELECT {kc},
+       MAX(CASE WHEN split = 'train' THEN r2 END) AS train_r2, MAX(CASE WHEN split = 'test' THEN r2 END) AS test_r2,
+       MAX(CASE WHEN split = 'train' THEN mae END) AS train_mae, MAX(CASE WHEN split = 'test' THEN mae END) AS test_mae
+FROM mm GROUP BY {kc})""",
+        ]
+    )
+
+
+for _name, _keys in {"backtest_lr": [], "backtest_lr_series": LR_KEYS}.items():
+    oracle(
+        _name,
+        with_sales(*series_ctes(_keys), _features_sql(_keys), _lr_sql(_keys))
+        + f"""SELECT {"".join(f"{k}, " for k in _keys)}'Linear Regression' AS model, ROUND(train_r2, 6) AS train_r2,
+       ROUND(test_r2, 6) AS test_r2, ROUND(train_mae, 2) AS train_mae, ROUND(test_mae, 2) AS test_mae,
+       ROUND(train_r2 - test_r2, 6) AS overfit_gap, 'ok' AS status FROM wide""",
+    )
+
+
+# ---------------------------------------------------------------------------
+# Boosted trees: the first ones, node by node
+# ---------------------------------------------------------------------------
+BOOSTED = boosting.Settings(rounds=2)
+BOOSTED_COLUMNS = [*(FT.lag_name(k) for k in C.DEFAULT_LAGS), "month"]
+
+
+@query("boosted_trees")
+def q_boosted_trees(spark, sf_dir):
+    """Cuts and weights of the first trees on the lags of the monthly series."""
+    feats = FT.regression_features(monthly(spark, sf_dir, [])).dropna(how="any")
+    feats = rounded(feats, {C.REVENUE: 2} | {FT.lag_name(k): 2 for k in C.DEFAULT_LAGS})
+    model = boosting.fit(feats, BOOSTED_COLUMNS, C.REVENUE, boosting.row_ids(F.date_format(C.DS, "yyyy-MM-dd")), BOOSTED)
+    nodes = spark.createDataFrame(model.nodes(), "tree int, node int, feature string, cut double, weight double")
+    return rounded(nodes, {"weight": 2})
+
+
+def _hash32_sql(x: str, salt: int) -> str:
+    x = f"xor({x}, {salt & 0xFFFFFFFF}::UBIGINT)"
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x = f"((xor({x}, {x} >> {shift}) * {factor}::UBIGINT) & 4294967295::UBIGINT)"
+    return f"xor({x}, {x} >> 16)"
+
+
+def _boosted_sql() -> list[str]:
+    s = BOOSTED
+    n = len(BOOSTED_COLUMNS)
+    soft = lambda g: f"(SIGN({g}) * GREATEST(ABS({g}) - {s.l1}, 0.0))"
+    part = lambda g, h: f"({soft(g)} * {soft(g)} / ({h} + {s.l2}))"
+    weight = lambda g, h: f"(-{soft(g)} / ({h} + {s.l2}))"
+    xs = ", ".join(f"{half_up(c) if c != 'month' else f'CAST({c} AS DOUBLE)'} AS x{k}" for k, c in enumerate(BOOSTED_COLUMNS))
+    ctes = [
+        f"""b0 AS (SELECT CAST('0x' || substr(md5(strftime(ds, '%Y-%m-%d')), 1, 8) AS UBIGINT) AS id, {half_up('sales_revenue')} AS y, {xs}
+FROM feats WHERE COLUMNS(*) IS NOT NULL)""",
+        "bu AS (SELECT pow(2, CEIL(log2(MAX(ABS(y)))) - 30) AS unit FROM b0)",
+        "bb AS (SELECT FLOOR(AVG(y) / ANY_VALUE(unit) + 0.5) * ANY_VALUE(unit) AS base FROM b0, bu)",
+        "r0_0 AS (SELECT b0.*, base AS p, unit FROM b0, bb, bu)",
+        "cuts AS (" + " UNION ALL ".join(f"(SELECT DISTINCT {k} AS f, x{k} AS cut FROM b0 WHERE x{k} > (SELECT MIN(x{k}) FROM b0))" for k in range(n)) + ")",
+    ]
+    for t in range(s.rounds):
+        drawn = ", ".join(str(int(c)) for c in boosting.drawn_columns(n, s, t))
+        ctes.append(
+            f"""t{t}_0 AS (SELECT *, 0 AS node, CAST(FLOOR((p - y) / unit + 0.5) AS BIGINT) AS g,
+       {_hash32_sql('id', boosting.salt_of(s, t))} < {s.rows} * 4294967296.0 AS taken FROM r0_{t})"""
+        )
+        for level in range(s.depth):
+            x = "CASE f " + " ".join(f"WHEN {k} THEN x{k}" for k in range(n)) + " END"
+            ctes.append(
+                f"""c{t}_{level} AS (SELECT node, f, cut, SUM(CASE WHEN {x} < cut THEN g ELSE 0 END) * ANY_VALUE(unit) AS gl,
+       SUM(CASE WHEN {x} < cut THEN 1 ELSE 0 END) AS hl, SUM(g) * ANY_VALUE(unit) AS gt, COUNT(*) AS ht
+FROM t{t}_{level} JOIN cuts ON f IN ({drawn}) WHERE taken AND node >= {2**level - 1} GROUP BY node, f, cut),
+s{t}_{level} AS (SELECT *, {part('gl', 'hl')} + {part('(gt - gl)', '(ht - hl)')} - {part('gt', 'ht')} AS gain FROM c{t}_{level}
+       WHERE hl >= {s.least_rows} AND ht - hl >= {s.least_rows}),
+k{t}_{level} AS (SELECT * FROM s{t}_{level} WHERE gain > 1e-6 QUALIFY ROW_NUMBER() OVER (PARTITION BY node ORDER BY gain DESC, f, cut) = 1),
+t{t}_{level + 1} AS (SELECT t.* REPLACE (CASE WHEN k.f IS NULL THEN t.node ELSE 2 * t.node + 1 + CAST({x.replace('CASE f', 'CASE k.f')} >= k.cut AS INTEGER) END AS node)
+FROM t{t}_{level} t LEFT JOIN k{t}_{level} k ON t.node = k.node)"""
+            )
+        splits = " UNION ALL ".join(f"SELECT * FROM k{t}_{level}" for level in range(s.depth))
+        ctes.append(
+            f"""w{t} AS (SELECT 0 AS node, {weight('gt', 'ht')} AS weight FROM
+       (SELECT SUM(g) * ANY_VALUE(unit) AS gt, COUNT(*) AS ht FROM t{t}_0 WHERE taken)
+UNION ALL SELECT 2 * node + 1, {weight('gl', 'hl')} FROM ({splits})
+UNION ALL SELECT 2 * node + 2, {weight('(gt - gl)', '(ht - hl)')} FROM ({splits})),
+n{t} AS (SELECT {t} AS tree, w.node, k.f, k.cut, w.weight FROM w{t} w LEFT JOIN ({splits}) k ON w.node = k.node),
+r0_{t + 1} AS (SELECT t.id, t.y, {", ".join(f"t.x{k}" for k in range(n))}, t.p + {s.rate} * w.weight AS p, t.unit
+FROM t{t}_{s.depth} t JOIN w{t} w ON t.node = w.node)"""
+        )
+    return ctes
+
+
+oracle(
+    "boosted_trees",
+    with_sales(*series_ctes([]), _features_sql([]), *_boosted_sql())
+    + "SELECT CAST(tree AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, CASE f "
+    + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(BOOSTED_COLUMNS))
+    + " END AS feature, cut, ROUND(weight, 2) AS weight FROM ("
+    + " UNION ALL ".join(f"SELECT * FROM n{t}" for t in range(BOOSTED.rounds))
+    + ")",
+)
 
 
 @query("overfit_report")
