@@ -115,12 +115,33 @@ def is_text(df: DataFrame, name: str) -> bool:
     return isinstance(field_type(df, name), T.StringType)
 
 
-def day_first_evidence(df: DataFrame, name: str) -> Column:
-    """Aggregate: 1 if a date in numbers starts with a number above 12, so that the
-    column writes the day first; 0 if some are in numbers but none does; null if none is."""
+def order_written(df: DataFrame, name: str) -> tuple[Column, Column, Column]:
+    """Of a text date in three numbers, whether it can only be read day first, only month
+    first, or in both orders.  Whatever reads as ISO is in no order."""
     text = F.trim(qcol(name).cast("string"))
-    first = F.when(text.rlike(_NUMBERS), F.regexp_extract(text, _NUMBERS, 1).try_cast("int"))
-    return F.max((first > 12).cast("int"))
+    numbers = ~text.rlike(r"^\d{4}(-|$)") & text.rlike(_NUMBERS)
+    first, second = text.rlike(_DAY_THEN), text.rlike(_THEN_DAY)
+    return tuple(F.coalesce(numbers & c, F.lit(False)) for c in (first & ~second, second & ~first, ~first & ~second))
+
+
+def day_first_of(n_day_first: int | None, n_month_first: int | None) -> bool:
+    """Whether a column writes the day first: some of its dates can only be read so, and none
+    only the other way.  Where both occur, dates that can be read either way are month first."""
+    return bool(n_day_first) and not n_month_first
+
+
+def date_order(df: DataFrame, name: str) -> DataFrame:
+    """``n_day_first, n_month_first, n_either``: dates in three numbers by the orders they can be
+    read in, so that a caller sees what a column mixes."""
+    names = ("n_day_first", "n_month_first", "n_either")
+    return df.agg(*(F.count_if(c).alias(n) for n, c in zip(names, order_written(df, name), strict=True)))
+
+
+def day_and_month_swapped(moment: Column) -> Column:
+    """A timestamp whose day, at most 12, is the month and the other way round."""
+    return F.make_timestamp_ntz(
+        F.year(moment), F.dayofmonth(moment), F.month(moment), F.hour(moment), F.minute(moment), F.date_part(F.lit("SECOND"), moment)
+    )
 
 
 def to_timestamp_utc(df: DataFrame, name: str, day_first: bool = False) -> Column:

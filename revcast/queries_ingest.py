@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revcast import columns as C
-from revcast.functions.coerce import to_timestamp_utc
+from revcast.functions.coerce import date_order, to_timestamp_utc
 from revcast.functions.money import money_sum
 from revcast.operators import aggregates as A
 from revcast.operators import filters as FL
@@ -403,6 +403,47 @@ FROM orders""",
 )
 
 
+def dates_in_numbers(spark: SparkSession, sf_dir: str, both: bool) -> DataFrame:
+    """Order dates in three numbers with the day first, or with the month first in every other row."""
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    day = F.date_format("o_orderdate", "d/M/yyyy")
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "M/d/yyyy")).otherwise(day) if both else day
+    return orders.select(text.alias("ordered"), F.lit(1.0).alias("sales"), F.col("o_orderkey"))
+
+
+@query("parse_dates_mixed")
+def q_parse_dates_mixed(spark, sf_dir):
+    """A column of one order is read in it; where both occur, what can be read either way is month first."""
+    parts = [
+        map_and_clean(dates_in_numbers(spark, sf_dir, both), "ordered", "sales").select(
+            F.lit(both).alias("both_orders"), "o_orderkey", F.col(C.DATE).alias("parsed")
+        )
+        for both in (False, True)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+oracle(
+    "parse_dates_mixed",
+    """SELECT FALSE AS both_orders, o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS parsed FROM orders
+UNION ALL SELECT TRUE, o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 1 AND day(o_orderdate) <= 12
+  THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) ELSE CAST(o_orderdate AS DATE) END AS TIMESTAMP) FROM orders""",
+)
+
+
+@query("date_order")
+def q_date_order(spark, sf_dir):
+    return date_order(dates_in_numbers(spark, sf_dir, True), "ordered")
+
+
+oracle(
+    "date_order",
+    """SELECT COUNT(*) FILTER (day(o_orderdate) > 12 AND o_orderkey % 2 = 1) AS n_day_first,
+       COUNT(*) FILTER (day(o_orderdate) > 12 AND o_orderkey % 2 = 0) AS n_month_first,
+       COUNT(*) FILTER (day(o_orderdate) <= 12) AS n_either FROM orders""",
+)
+
+
 @query("undated_rows")
 def q_undated_rows(spark, sf_dir):
     return undated_rows(written_dates(spark, sf_dir), "ordered")

@@ -86,3 +86,12 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if path.startswith("file:"):
         os.makedirs(path[len("file:"):], exist_ok=True)
     return path
+
+
+def write_table(df, name: str):
+    """``df`` as Parquet under the checkpoint directory: computed once, pruned and filtered by
+    whoever reads it.  Columns are stored by place, so any name will do."""
+    path = work_dir(df.sparkSession, name) + "/table"
+    stored = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    stored.write.parquet(path)
+    return df.sparkSession.read.schema(stored.schema).parquet(path).toDF(*df.columns)

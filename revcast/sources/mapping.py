@@ -11,32 +11,36 @@ Two entry points, as in the modelled application:
 
 Columns are chosen from ``df.schema`` on the driver; the resulting projection
 is one narrow ``select``.  Two facts need the data: whether dates in numbers
-write the day first, and whether discounts are percents.  They are taken in one
-aggregate when the mapping is made, over just these columns, and only for a
-text date or a discount column; callers that know them pass ``day_first`` and
-``percent`` and no job runs.
+write the day first, and whether discounts are percents.  Where they matter (a
+text date, a discount column) the mapped rows are written once, in one pass over
+the source that observes both facts as it goes, and what is returned reads that
+table; so nothing reads the source, or parses it, again.  Callers that know the
+facts pass ``day_first`` and ``percent``: then no job runs and nothing is written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revcast import columns as C
 from revcast.functions.coerce import (
-    day_first_evidence,
+    day_and_month_swapped,
+    day_first_of,
     is_numeric_type,
     is_temporal_type,
     is_text,
+    order_written,
     qcol,
     to_double,
     to_label,
     to_timestamp_utc,
 )
 from revcast.operators.profit import calculate_profit
+from revcast.session import write_table
 
 CANONICAL_ORDER = C.SALES_COLUMNS
 #: Names that the mapped frame makes itself; an original of the same name gives way.
@@ -47,8 +51,33 @@ def normalise_name(name: str) -> str:
     return name.lower().replace(" ", "_")
 
 
-def _day_first(df: DataFrame, date_col: str) -> bool:
-    return is_text(df, date_col) and bool(df.agg(day_first_evidence(df, date_col)).first()[0])
+def _settled(
+    raw: DataFrame, date_col: str, columns: list[Column], discount: str | None, day_first: bool | None, percent: bool | None
+) -> DataFrame:
+    """``columns`` (the date first) of the dated rows of ``raw``, with the order of dates and
+    the scale of discounts settled; ``discount`` names the column to scale, if there is one.
+
+    Facts that are not given are observed while the rows are written.
+    """
+    ask_order = day_first is None and is_text(raw, date_col)
+    ask_percent = percent is None and discount is not None
+    if not (ask_order or ask_percent):
+        out = raw.select(*columns).filter(F.col(C.DATE).isNotNull())
+        return out.withColumn(discount, F.col(discount) / 100.0) if percent and discount else out
+    marks = dict(zip(("__day", "__month", "__either"), order_written(raw, date_col), strict=True)) if ask_order else {}
+    rows = raw.select(*columns, *(m.alias(name) for name, m in marks.items())).filter(F.col(C.DATE).isNotNull())
+    facts = Observation()
+    asked = [F.count_if(c).alias(c) for c in ("__day", "__month") if ask_order] + ([F.max(discount).alias("peak")] if ask_percent else [])
+    rows = write_table(rows.observe(facts, *asked).drop("__day", "__month"), "mapped")
+    seen = facts.get
+    if ask_order:
+        if day_first_of(seen["__day"], seen["__month"]):
+            date = F.when(F.col("__either"), day_and_month_swapped(F.col(C.DATE))).otherwise(F.col(C.DATE))
+            rows = rows.withColumn(C.DATE, date)
+        rows = rows.drop("__either")
+    if percent if not ask_percent else (seen["peak"] or 0.0) > 1.0:
+        rows = rows.withColumn(discount, F.col(discount) / 100.0)
+    return rows
 
 
 def undated_rows(df: DataFrame, date_col: str, day_first: bool = False) -> DataFrame:
@@ -72,16 +101,15 @@ def clean_data(df: DataFrame, margins=None, day_first: bool | None = None) -> Da
     lacking = [c for c in C.SALES_COLUMNS if c not in source and c not in derivable]
     if lacking:
         raise ValueError(f"Missing required column(s): {', '.join(c.title() for c in lacking)}")
-    if day_first is None:
-        day_first = _day_first(df, source[C.DATE])
 
     number = {c: to_double(df, source[c]) for c in C.NUMERIC_COLUMNS if c in source}
     number.setdefault(C.DISCOUNT, F.lit(0.0))
     number.setdefault(C.REVENUE, number.get(C.UNITS, F.lit(0.0)) * number.get(C.PRICE, F.lit(0.0)) * (1.0 - number[C.DISCOUNT]))
-    made = {C.DATE: to_timestamp_utc(df, source[C.DATE], day_first)} | number
+    made = {C.DATE: to_timestamp_utc(df, source[C.DATE], bool(day_first))} | number
     canonical = [made.get(c, qcol(source.get(c, c))).alias(c) for c in CANONICAL_ORDER]
     extras = [qcol(c) for c in df.columns if normalise_name(c) not in _OWN_NAMES]
-    out = df.select(*canonical, *extras).filter(F.col(C.DATE).isNotNull())
+    # The strict names promise fractions, so discounts are not scaled.
+    out = _settled(df, source[C.DATE], [*canonical, *extras], None, day_first, False)
     return calculate_profit(out, margins=margins)
 
 
@@ -199,19 +227,6 @@ def map_and_clean(
     }
 
     discount = to_double(raw, discount_src) if discount_src else F.lit(0.0)
-    facts = {}
-    if day_first is None and is_text(raw, inner[date_col]):
-        facts["day_first"] = day_first_evidence(raw, inner[date_col])
-    if percent is None and discount_src:
-        # Over dated rows, as undated ones are dropped; whether a date is readable does not hang on its order.
-        facts["peak"] = F.max(F.when(to_timestamp_utc(raw, inner[date_col]).isNotNull(), discount))
-    if facts:
-        row = raw.agg(*(c.alias(name) for name, c in facts.items())).first()
-        day_first = bool(row["day_first"]) if "day_first" in facts else day_first
-        percent = (row["peak"] or 0.0) > 1.0 if "peak" in facts else percent
-    if percent:
-        discount = discount / 100.0
-
     revenue = to_double(raw, inner[sales_col])
     seen = set(_OWN_NAMES)
     extras = []
@@ -219,7 +234,7 @@ def map_and_clean(
         if name not in used and name.lower() not in seen:
             seen.add(name.lower())
             extras.append(qcol(inner[name]).alias(name))
-    mapped = raw.select(
+    columns = [
         to_timestamp_utc(raw, inner[date_col], bool(day_first)).alias(C.DATE),
         *(
             (to_label(raw, labels[c][0], labels[c][1]) if labels[c][0] else F.lit(labels[c][1])).alias(c)
@@ -230,5 +245,6 @@ def map_and_clean(
         discount.alias(C.DISCOUNT),
         revenue.alias(C.REVENUE),
         *extras,
-    ).filter(F.col(C.DATE).isNotNull())
+    ]
+    mapped = _settled(raw, inner[date_col], columns, C.DISCOUNT if discount_src else None, day_first, percent)
     return calculate_profit(mapped, margins=margins)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revcast import columns as C
-from revcast.functions.coerce import day_first_evidence, to_double, to_timestamp_utc
+from revcast.functions.coerce import date_order, to_double, to_timestamp_utc
 from revcast.operators import aggregates as A
 from revcast.operators import filters as FL
 from revcast.operators import ml_forecast as ML
@@ -45,7 +45,7 @@ def test_dates_as_people_write_them(spark):
 def test_the_column_decides_the_order(spark):
     texts = ["01-02-2024", "03/04/2024", "25.12.2024"]
     df = spark.createDataFrame([(t, 1.0) for t in texts], "date string, sales double")
-    assert df.agg(day_first_evidence(df, "date")).first()[0] == 1
+    assert date_order(df, "date").first().asDict() == {"n_day_first": 1, "n_month_first": 0, "n_either": 2}
     days = sorted(r[C.DATE] for r in map_and_clean(df, "date", "sales").collect())
     assert days == [dt.datetime(2024, 2, 1), dt.datetime(2024, 4, 3), dt.datetime(2024, 12, 25)]
     month_first = df.limit(2)
@@ -55,6 +55,32 @@ def test_the_column_decides_the_order(spark):
     assert undated_rows(spark.createDataFrame([("x",), ("1/2/24",), (None,)], "d string"), "d").first().asDict() == {"n_rows": 3, "n_undated": 2}
 
 
+def test_one_row_does_not_date_the_table_anew(spark):
+    rows = [("01/02/2024", 1.0)] * 9 + [("01/25/2024", 1.0), ("25/01/2024", 1.0), ("2024-03-04", 1.0), (None, 1.0)]
+    df = spark.createDataFrame(rows, "date string, sales double")
+    assert date_order(df, "date").first().asDict() == {"n_day_first": 1, "n_month_first": 1, "n_either": 9}
+    days = sorted(r[C.DATE] for r in map_and_clean(df, "date", "sales").collect())
+    assert days == [dt.datetime(2024, 1, 2)] * 9 + [dt.datetime(2024, 1, 25)] * 2 + [dt.datetime(2024, 3, 4)]
+    only_day = df.filter("date <> '01/25/2024'")
+    days = sorted(r[C.DATE] for r in map_and_clean(only_day, "date", "sales").collect())
+    assert days == [dt.datetime(2024, 1, 25)] + [dt.datetime(2024, 2, 1)] * 9 + [dt.datetime(2024, 3, 4)]
+    timed = spark.createDataFrame([("3/4/2024 10:30:15.5", 1.0, 40.0), ("13/4/2024", 1.0, 20.0)], "date string, sales double, discount double")
+    got = {r[C.DATE]: r[C.DISCOUNT] for r in map_and_clean(timed, "date", "sales").collect()}
+    assert got == {dt.datetime(2024, 4, 3, 10, 30, 15, 500000): 0.4, dt.datetime(2024, 4, 13): 0.2}
+
+
+def test_the_source_is_read_once(spark):
+    from pyspark.sql import Observation
+
+    reads = Observation()
+    df = spark.createDataFrame([("13/4/2024", 1.0, 40.0, "a b"), ("x", 1.0, 900.0, "c")], "date string, sales double, discount double, `odd (kg), x` string")
+    out = map_and_clean(df.observe(reads, F.count(F.lit(1)).alias("n")), "date", "sales")
+    assert reads.get["n"] == 2
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CollectMetrics" not in plan and "parquet" in plan.lower()
+    assert out.first()["odd (kg), x"] == "a b" and out.first()[C.DISCOUNT] == 0.4
+
+
 def test_numbers(spark):
     texts = ["1.5", " 2 ", "1e3", ".5", "-3.", "5d", "1f", "Infinity", "-inf", "NaN", "0x10", "", None, "1,000"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, n string")
