@@ -2,7 +2,8 @@
 
 The vocabulary's pattern never joins a character to a single space behind it,
 so a text can be cut in front of such spaces and each part encoded alone.  Most
-parts are words met before; only new ones go through the library.
+parts are words met before; only new ones go through the library.  A text that
+holds the sign of an added token goes through it whole.
 """
 
 from __future__ import annotations
@@ -82,13 +83,16 @@ class WordwiseTokenizer:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         if self.tokenizer.normalizer is not None:
             raise ValueError("only tokenizers that do not normalise are supported")
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.first, self.rest = _Memory(self, ""), _Memory(self, " ")
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers; null counts as empty."""
         if not text:
             return b""
+        if any(map(text.__contains__, self.added)):
+            # Added tokens are found before the pattern cuts, so such a text goes through the library whole.
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         may_run = any(map(text.__contains__, _RUN_STARTS)) if text.isascii() else True
         parts = _BETWEEN_WORDS.split(text) if may_run and _INSIDE_RUN.search(text) else text.split(" ")
         return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))

@@ -60,12 +60,23 @@ def test_piece_digests_and_round_trip(spark):
 
 def test_bytes_equal_the_library():
     own, lib = WordwiseTokenizer(BYTES), Tokenizer.from_file(BYTES)
-    lib.encode_special_tokens = True
     for text in [*texts(8000, 2), *(r[1] or "" for r in awkward_rows())]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text[:80]
     assert own.encode(None) == b""
 
 
+def test_added_tokens_equal_the_library():
+    own, lib = WordwiseTokenizer(BYTES), Tokenizer.from_file(BYTES)
+    signs = [t.content for t in lib.get_added_tokens_decoder().values()]
+    assert signs
+    rng = random.Random(6)
+    for text in [*texts(400, 5), "", "a", " a  b\n"]:
+        for _ in range(3):
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + rng.choice(["", " ", "\n"]) + rng.choice(signs) + rng.choice(["", " ", "  ", "x"]) + text[at:]
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text[:80]
+
+
 @pytest.mark.parametrize("n, want", [(1, [(0, 1)]), (8, [(0, 8)]), (9, [(0, 1), (1, 8)]), (16, [(0, 8), (8, 8)]), (17, [(0, 1), (1, 8), (9, 8)])])
 def test_cut(n, want):
     assert two_fit_packing.cut(n, 8) == want
@@ -91,7 +102,6 @@ def test_plan_covers_every_piece_and_is_tight():
 
 def check_packing(rows, docs_rows, capacity):
     lib = Tokenizer.from_file(BYTES)
-    lib.encode_special_tokens = True
     want = Counter()
     for doc_id, text, *_ in docs_rows:
         ids = np.array([*lib.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
