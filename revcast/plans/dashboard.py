@@ -2,15 +2,15 @@
 
 ``prepare`` maps a raw table to the canonical schema and adds calendar
 features; ``apply_filters`` applies the date range and membership filters
-on source columns (so they reach the scan); ``dashboard`` returns every
-widget's frame.  The filtered rows are aggregated once, to one row per month,
+on source columns (so they reach the scan); ``dashboard`` gives every
+widget's frame when it is asked for.  The filtered rows are aggregated once, to one row per month,
 region, category and product; that frame is checkpointed and every widget but
 the two that show single rows is derived from it.  No transactions are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,23 +65,48 @@ def facts(df: DataFrame) -> DataFrame:
     )
 
 
-def dashboard(df: DataFrame, drilldown: str | None = None) -> dict[str, DataFrame]:
-    """Every widget's data for an already filtered sales frame."""
-    pre = facts(df)
-    out = {
-        "kpis": A.kpi_summary_from(pre),
-        "yoy": A.yoy_growth_from(pre),
-        "trend": sales_trend(pre),
-        "region_map": region_country_allocation(pre),
-        "revenue_by_category": A.revenue_by_category(pre),
-        "category_share": A.category_share(pre),
-        "category_summary": A.category_summary_from(pre),
-        "price_volume": price_volume_sample(df),
-        "explorer": explorer_page(df),
-    }
-    if drilldown is not None:
-        out["drilldown"] = A.product_drilldown(pre, drilldown)
-    return out
+class Widgets(Mapping):
+    """The widgets' frames by name.  A frame is built when it is first asked for, and the
+    pre-aggregate behind most of them when the first of these is; the rest costs nothing."""
+
+    def __init__(self, df: DataFrame, drilldown: str | None = None, pre: DataFrame | None = None):
+        self._df, self._pre, self._built = df, pre, {}
+        self._builders: dict[str, Callable[[], DataFrame]] = {
+            "kpis": lambda: A.kpi_summary_from(self.facts),
+            "yoy": lambda: A.yoy_growth_from(self.facts),
+            "trend": lambda: sales_trend(self.facts),
+            "region_map": lambda: region_country_allocation(self.facts),
+            "revenue_by_category": lambda: A.revenue_by_category(self.facts),
+            "category_share": lambda: A.category_share(self.facts),
+            "category_summary": lambda: A.category_summary_from(self.facts),
+            "price_volume": lambda: price_volume_sample(self._df),
+            "explorer": lambda: explorer_page(self._df),
+        }
+        if drilldown is not None:
+            self._builders["drilldown"] = lambda: A.product_drilldown(self.facts, drilldown)
+
+    @property
+    def facts(self) -> DataFrame:
+        if self._pre is None:
+            self._pre = facts(self._df)
+        return self._pre
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def dashboard(df: DataFrame, drilldown: str | None = None, pre: DataFrame | None = None) -> Widgets:
+    """Every widget's data for an already filtered sales frame, each built on demand; ``pre``
+    are facts that are there already (``facts``, or those of a ``FactStore``)."""
+    return Widgets(df, drilldown, pre)
 
 
 __all__ = ["prepare", "apply_filters", "choose_column", "facts", "dashboard"]

@@ -21,10 +21,12 @@ from revcast.operators.periods import resample
 from revcast.operators.profit import calculate_profit
 from revcast.oracle import MARGIN_CASE, PROFIT_CTE, half_up, msum, oracle, series_ctes, total, with_sales
 from revcast.plans import dashboard as D
+from revcast.plans.fact_store import FactStore
 from revcast.queries import KPIS, query, rounded, sales
 from revcast.session import work_dir
 from revcast.sources import files
 from revcast.sources.mapping import clean_data, map_and_clean, suggest_mappings, undated_rows
+from revcast.sources.sales_layout import bucket_sources, read_layout, sales_view_bucketed, stored_sales
 from revcast.sources.tables import read_table, sales_view
 
 DISPLAY_NAMES = {
@@ -523,3 +525,51 @@ oracle(
        ROUND(AVG(discount) * 100, 6) AS avg_discount_pct, ROUND({total('sales_revenue')} / COUNT(*), 2) AS avg_order_value,
        COUNT(*) AS row_count FROM f""",
 )
+
+
+# ---------------------------------------------------------------------------
+# Stored sales: layout, buckets, facts
+# ---------------------------------------------------------------------------
+@query("sales_view_bucketed")
+def q_sales_view_bucketed(spark, sf_dir):
+    """The sales view from sources that are bucketed by the order key."""
+    return sales_view_bucketed(spark, sf_dir, bucket_sources(spark, sf_dir))
+
+
+oracle("sales_view_bucketed", with_sales() + "SELECT * FROM sales")
+
+
+@query("layout_kpis")
+def q_layout_kpis(spark, sf_dir):
+    """KPIs of a date range from the written layout: no join, and only the months asked for are read."""
+    return rounded(A.kpi_summary(read_layout(spark, stored_sales(spark, sf_dir), RANGE_START, RANGE_END)), KPIS)
+
+
+oracle(
+    "layout_kpis",
+    with_sales(f"f AS (SELECT * FROM sales WHERE date >= TIMESTAMP '{RANGE_START}' AND date < TIMESTAMP '{RANGE_END}' + INTERVAL 1 DAY)")
+    + f"""SELECT {half_up(total('sales_revenue'))} AS total_revenue, SUM(units_sold) AS total_units,
+       ROUND(AVG(discount) * 100, 6) AS avg_discount_pct, ROUND({total('sales_revenue')} / COUNT(*), 2) AS avg_order_value,
+       COUNT(*) AS row_count FROM f""",
+)
+
+
+@query("facts_kpis")
+def q_facts_kpis(spark, sf_dir):
+    """KPIs by category from facts that were loaded in two steps, the second reading only what came since."""
+    folder, path = work_dir(spark, "facts-source") + "/sales", work_dir(spark, "facts-store")
+    store = FactStore(spark, path, folder, lambda files: spark.read.parquet(*files))
+    rows = sales_view(spark, sf_dir)
+    for step in (F.month(C.DATE) <= 6, F.month(C.DATE) > 6):
+        rows.filter(step).write.mode("append").parquet(folder)
+        store.refresh()
+    return rounded(A.category_summary_from(store.facts()), {"total_revenue": 2, "avg_price": 6, "avg_discount_pct": 6})
+
+
+oracle(
+    "facts_kpis",
+    with_sales()
+    + f"""SELECT product_category, {half_up(total('sales_revenue'))} AS total_revenue, SUM(units_sold) AS total_units,
+       ROUND(AVG(price_per_unit), 6) AS avg_price, ROUND(AVG(discount) * 100, 6) AS avg_discount_pct
+FROM sales WHERE product_category IS NOT NULL GROUP BY product_category""",
+)

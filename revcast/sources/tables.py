@@ -84,21 +84,25 @@ def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical sales rows built from lineitem/orders/part/customer/nation/region."""
-    lineitem = read_table(
-        spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"
-    )
-    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    return sales_view_of(spark, sf_dir, read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders"))
+
+
+def sales_view_of(spark: SparkSession, sf_dir: str, lineitem: DataFrame, orders: DataFrame, in_place: bool = False) -> DataFrame:
+    """``sales_view`` from given lineitem and orders; ``in_place`` if both are bucketed by the
+    order key, so that they meet first, where they lie."""
+    lineitem = lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    orders = orders.select("o_orderkey", "o_custkey", "o_orderdate")
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
     cust = customer_regions(spark, sf_dir)
-
-    order_region = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
-        "o_orderkey", "o_orderdate", "r_name"
-    )
-    order_region = broadcast_if_small(order_region, spark, sf_dir, "orders")
     part = broadcast_if_small(part, spark, sf_dir, "part")
-    joined = lineitem.join(order_region, lineitem.l_orderkey == order_region.o_orderkey).join(
-        part, lineitem.l_partkey == part.p_partkey
-    )
+    if in_place:
+        met = lineitem.join(orders.hint("merge"), lineitem.l_orderkey == orders.o_orderkey)
+        met = met.join(cust, met.o_custkey == cust.c_custkey)
+    else:
+        order_region = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "o_orderdate", "r_name")
+        order_region = broadcast_if_small(order_region, spark, sf_dir, "orders")
+        met = lineitem.join(order_region, lineitem.l_orderkey == order_region.o_orderkey)
+    joined = met.join(part, met.l_partkey == part.p_partkey)
     return joined.select(
         F.col("o_orderdate").cast("timestamp_ntz").alias(C.DATE),
         F.col("p_type").alias(C.CATEGORY),
