@@ -3,25 +3,28 @@
 Each distinct word shingle is hashed once.  Its first bits choose one of 512
 registers; a register keeps the smallest rest, compressed to its number of
 leading zeros (6 bits) and the bits behind them (10 bits).  Empty registers
-borrow from others in an order fixed by their number.  Bands of eight registers
-put documents that may be alike into buckets: two sets at a similarity of 0.8
-share one of the 64 bands with a probability above 0.99999, while two at 0.05
-do with 3e-9, so that chance meetings stay rare beside the documents however
-many there are.
+borrow from others in an order fixed by their number.  Bands of registers
+put documents that may be alike into buckets.  A band has as many registers as
+the threshold allows while two sets that just reach it share one with a
+probability above 1 - ``MISS``; at 80 percent these are 73 bands of seven, and
+two sets at a similarity of 0.05 share one with 6e-8, so that chance meetings
+stay rare beside the documents however many there are.
 
-Candidates are settled in steps, without ever making all pairs of a bucket.
-Members that are in one component need no comparison, so each step compares
-fewer of them with few others:
+Candidates are settled in two steps, without ever making all pairs of a bucket:
 
 1. each bucket names a leader, and each member is compared with the leader that
-   it meets in most of its buckets;
-2. members outside the component that is the largest of their bucket meet one
-   of its delegates, another one in each of their buckets;
-3. those that are still outside are compared with all members of other
-   components, which leaves no candidate undecided.
-
-A pair is first estimated from the registers (with the expected share of chance
-matches taken out) and then decided on the full shingle sets.
+   it meets in most of its buckets.  Most of a family is one component then;
+2. buckets that still hold several components are gathered into groups (buckets
+   that share members mostly share a group, so that a member goes to few), and
+   members outside the largest component of a group meet all others of it inside
+   a task: an index from shingle to members gives the size of every intersection
+   at once, on the full sets.  A task hands on at most one link for each two
+   components that it joins, never pairs.  Large groups are cut into blocks,
+   and each block of members outside meets each block of the group in a task of
+   bounded size.
+
+A pair of step 1 is first estimated from the registers (with the expected share of
+chance matches taken out) and then decided on the full shingle sets.
 
 Documents with equal shingle sets form one class and take part once; classes
 are formed by an aggregation that combines before the shuffle.
@@ -42,15 +45,13 @@ from revcast.llm.components import components
 
 BUCKET_BITS, MANTISSA_BITS = 9, 10
 REGISTERS, REST_BITS = 1 << BUCKET_BITS, 64 - BUCKET_BITS
-BAND_ROWS = 8
-BANDS = REGISTERS // BAND_ROWS
-#: Sets up to this size can only reach a similarity of 0.8 by being equal.
-ALONE = 3
+#: Two sets at the threshold share no band with this probability at most.
+MISS = 1e-7
 #: Pairs of at least this many shingles whose estimate lies this many standard
 #: errors below the threshold are not looked at again.
 ESTIMATED_FROM, SLACK = 100, 7.0
-#: Delegates of a bucket's largest component.
-DELEGATES = 16
+#: Members, and shingles, in a block of a group.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2_000, 1 << 20
 
 _U = np.uint64
 
@@ -108,11 +109,26 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return value
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    """64-bit keys of the bands, for rows of registers."""
-    rows = values[:, : BANDS * BAND_ROWS].astype(_U).reshape(len(values), BANDS, BAND_ROWS)
-    key = np.arange(1, BANDS + 1, dtype=_U) * np.ones((len(values), 1), dtype=_U)
-    for k in range(BAND_ROWS):
+def band_rows(percent: int) -> int:
+    """Registers in a band: the most with which two sets at the threshold are missed rarely enough."""
+    j = percent / 100
+    return max((r for r in range(1, 65) if (1 - j**r) ** (REGISTERS // r) <= MISS), default=1)
+
+
+def alone(percent: int) -> int:
+    """Sets of up to this size reach the threshold only by being equal: the nearest other set has one shingle more."""
+    n = 0
+    while percent < 100 and 100 * (n + 1) < percent * (n + 2):
+        n += 1
+    return n
+
+
+def band_keys(values: np.ndarray, width: int) -> np.ndarray:
+    """64-bit keys of the bands of ``width`` registers, for rows of registers."""
+    bands = REGISTERS // width
+    rows = values[:, : bands * width].astype(_U).reshape(len(values), bands, width)
+    key = np.arange(1, bands + 1, dtype=_U) * np.ones((len(values), 1), dtype=_U)
+    for k in range(width):
         key = _mix(key * _U(0x9E3779B97F4A7C15) + rows[:, :, k])
     return key.astype(np.int64)
 
@@ -161,23 +177,25 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return found.select("doc_id", "__s.*")
 
 
-def _band_rows(classes: DataFrame) -> DataFrame:
+def _band_rows(classes: DataFrame, percent: int) -> DataFrame:
     """``key, rep, n``: one row for each band of each class."""
+    width = band_rows(percent)
+    bands = REGISTERS // width
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k in range(0, len(b), 2000):
                 part = b.iloc[k : k + 2000]
-                keys = band_keys(np.frombuffer(b"".join(part.registers), dtype=np.uint16).reshape(-1, REGISTERS))
+                keys = band_keys(np.frombuffer(b"".join(part.registers), dtype=np.uint16).reshape(-1, REGISTERS), width)
                 yield pd.DataFrame(
                     {
                         "key": keys.ravel(),
-                        "rep": np.repeat(part.rep.to_numpy(), BANDS),
-                        "n": np.repeat(part.n.to_numpy(), BANDS),
+                        "rep": np.repeat(part.rep.to_numpy(), bands),
+                        "n": np.repeat(part.n.to_numpy(), bands),
                     }
                 )
 
-    big = classes.filter(F.col("n") > ALONE).select("rep", "n", "registers")
+    big = classes.filter(F.col("n") > (alone(percent) if percent < 100 else 1 << 60)).select("rep", "n", "registers")
     return big.mapInPandas(explode, "key long, rep long, n long")
 
 
@@ -185,7 +203,7 @@ def _stacked(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint16).reshape(-1, REGISTERS)
 
 
-def _likely(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) that their registers do not rule out."""
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,35 +213,118 @@ def _likely(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 yield b.loc[likely, ["a", "b"]]
 
     def side(x: str) -> DataFrame:
-        return texts.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "registers")))
+        return sets.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "registers")))
 
     # Sort-merge joins: a member with very many candidates is split by adaptive execution.
     joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     return joined.mapInPandas(decide, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose full shingle sets are alike enough."""
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, known = None, None
         for b in batches:
             alike = []
-            for a, other in zip(b.text_a, b.text_b, strict=True):
-                if a != last:
-                    last, known = a, shingle_set(a, width)
-                found = shingle_set(other, width)
-                both = len(np.intersect1d(known, found, assume_unique=True))
-                alike.append(100 * both >= percent * (len(known) + len(found) - both))
+            for one, other in zip(b.set_a, b.set_b, strict=True):
+                one, other = np.frombuffer(one, dtype=_U), np.frombuffer(other, dtype=_U)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                alike.append(100 * both >= percent * (len(one) + len(other) - both))
             yield b.loc[np.array(alike, dtype=bool), ["a", "b"]]
 
     def side(x: str) -> DataFrame:
-        return texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
+        return sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}"))
 
     joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     return joined.mapInPandas(decide, "a long, b long")
 
 
+def _with_sets(reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``reps`` with the shingle ``set`` (sorted hashes as bytes) of their text."""
+
+    @F.pandas_udf("binary")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, width).tobytes() for t in texts])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    return reps.join(texts, "rep").select(*reps.columns, hashed("text").alias("set"))
+
+
+def settle(reps: np.ndarray, component: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of members that are alike enough, where one of them ``asks``.
+
+    One for each two components that are joined.  ``component`` is changed.
+    """
+    n = np.array([len(s) for s in sets])
+    ends = np.cumsum(n)
+    known, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), n)[order]
+    starts = np.searchsorted(shingle[order], np.arange(len(known) + 1))
+    links = []
+    for i in np.flatnonzero(asks):
+        if (component == component[i]).all():
+            break
+        own = shingle[ends[i] - n[i] : ends[i]]
+        first, size = starts[own], starts[own + 1] - starts[own]
+        places = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        both = np.bincount(owner[places], minlength=len(sets))
+        near = np.flatnonzero((100 * both >= percent * (n[i] + n - both)) & (component != component[i]))
+        joined, at = np.unique(component[near], return_index=True)
+        links += [(int(reps[i]), int(reps[j])) for j in near[at]]
+        component[np.isin(component, joined)] = component[i]
+    return links
+
+
+def _groups(named: DataFrame) -> DataFrame:
+    """``label, rep, component, n``: members of the buckets that hold several components, by group.
+
+    Two members of a bucket have a group in common.  A bucket's group is the least id that
+    is two meetings away, so the buckets of a family mostly agree on it.
+    """
+    several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("least"))
+    several = several.filter("low <> high").select("key", "least")
+    mixed = written(named.join(several, "key"), "mixed")
+    nearest = mixed.groupBy("rep").agg(F.min("least").alias("met"))
+    label = mixed.select("key", "rep").join(nearest, "rep").groupBy("key").agg(F.min("met").alias("label"))
+    return written(mixed.join(label, "key").select("label", "rep", "component", "n").distinct(), "groups")
+
+
+def _settled(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) between the components of each group."""
+    sizes = groups.groupBy("label", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    facts = sizes.groupBy("label").agg(
+        F.max_by("component", F.struct("size", "component")).alias("home"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles")
+    )
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    own = written(groups.join(facts.withColumn("parts", parts).drop("size", "shingles"), "label"), "group-members")
+    small, large = own.filter("parts = 1"), own.filter("parts > 1")
+    # Small groups share tasks; of a large one each block of members outside meets each block.
+    bins = 1 + (small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK_SHINGLES)
+    columns = ["label", "rep", "component"]
+    outside = F.col("component") != F.col("home")
+    in_bins = small.select(*columns, outside.alias("asks"), F.pmod(F.xxhash64("label"), F.lit(bins)).alias("bin"))
+    place = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asking = large.filter(outside).select(*columns, F.lit(True).alias("asks"), place.alias("one"), each.alias("other"))
+    asked = large.select(*columns, F.lit(False).alias("asks"), place.alias("other"), "parts").select(*columns, "asks", each.alias("one"), "other")
+    asked = asked.join(asking.select("label", "one").distinct(), ["label", "one"], "left_semi")
+    # Above all numbers of bins, so that no two tasks are one.
+    blocks = asking.unionByName(asked.select(*columns, "asks", "one", "other")).withColumn("bin", F.xxhash64("label", "one", "other").bitwiseOR(F.lit(1 << 62))).drop("one", "other")
+    rows = in_bins.unionByName(blocks).join(sets.select("rep", "set").hint("merge"), "rep")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        links = []
+        for _, g in rows.groupby("label", sort=False):
+            # A member that asks and is asked in the same task takes part once, with each of its texts.
+            g = g.sort_values("asks", ascending=False).drop_duplicates(["rep", "set"])
+            sets = [np.frombuffer(x, dtype=_U) for x in g["set"]]
+            links += settle(g.rep.to_numpy(), g.component.to_numpy().copy(), sets, g.asks.to_numpy(), percent)
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return rows.groupBy("bin").applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (``doc_id``, ``text``).
 
@@ -233,8 +334,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     empty set and is linked with nothing.  Rows that share an id are one
     document with the links of all of them.  A row without id links with
     nothing: it has no component and is kept.  An empty table gives no rows;
-    other columns are not read.  Two sets at a similarity of 0.8 miss all bands
-    with a probability below 1e-5.
+    other columns are not read.  Two sets at the threshold miss all bands with a
+    probability of ``MISS`` at most.
     """
     signed = written(signatures(docs, width), "signatures")
     classes = written(
@@ -243,64 +344,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("registers").alias("registers")),
         "classes",
     )
-    bands = _band_rows(classes)
+    bands = _band_rows(classes, percent)
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     members = written(bands.join(shared, "key"), "members")
     met_somewhere = members.select("rep").distinct()
-    texts = written(
-        classes.select("rep", "n", "registers")
-        .join(met_somewhere, "rep")
-        .join(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep"),
-        "texts",
-    )
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return written(_confirmed(_likely(pairs, texts, percent), texts, width, percent), "confirmed")
-
-    def alike_size(one: str, other: str) -> str:
-        return f"100 * least({one}, {other}) >= {percent} * greatest({one}, {other})"
+    sets = written(_with_sets(classes.select("rep", "n", "registers").join(met_somewhere, "rep"), docs, width), "sets")
 
     # 1. A leader for each bucket, by the same order in all of them.
     order = F.xxhash64("rep")
     leaders = members.groupBy("key").agg(F.min_by("rep", order).alias("a"), F.min_by("n", order).alias("leader_n"))
-    led = members.join(written(leaders, "leaders").hint("merge"), "key").filter("rep <> a").filter(alike_size("n", "leader_n"))
+    led = members.join(written(leaders, "leaders").hint("merge"), "key").filter("rep <> a")
+    led = led.filter(f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
     together = led.groupBy(F.col("rep").alias("b"), "a").agg(F.count(F.lit(1)).alias("times"))
-    links = confirmed(together.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"))
+    pairs = together.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
+    links = written(_confirmed(_likely(pairs, sets, percent), sets, percent), "led")
 
-    # 2. Delegates of the largest component for the members outside it.
+    # 2. What is still apart in a bucket, by groups.
     labels = components(links)
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = written(named.withColumn("component", F.coalesce("component", "rep")), "named")
-    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("l"), F.count(F.lit(1)).alias("parts"))
-    largest = largest.filter("parts > 1").select("key", F.col("l.component").alias("largest"))
-    mixed = written(named.join(largest, "key"), "mixed")
-    if not mixed.isEmpty():
-        slot = F.pmod(F.xxhash64("rep", "key"), F.lit(DELEGATES)).alias("slot")
-        delegates = (
-            mixed.filter("component = largest")
-            .groupBy("key", slot)
-            .agg(F.min(F.struct(F.xxhash64("rep", F.lit(2)).alias("h"), "rep", "n")).alias("d"))
-            .select("key", "slot", F.col("d.rep").alias("a"), F.col("d.n").alias("delegate_n"))
-        )
-        outside = mixed.filter("component <> largest").select("key", slot, "rep", "n")
-        meeting = outside.join(delegates, ["key", "slot"]).filter(alike_size("n", "delegate_n"))
-        links = links.unionByName(confirmed(meeting.select("a", F.col("rep").alias("b")).distinct()))
-        labels = components(links)
-
-        # 3. Members still outside against all others of their buckets, by components as known now.
-        homes = mixed.select("key", "largest").distinct().join(labels, F.col("largest") == F.col("node"), "left")
-        homes = homes.select("key", F.coalesce("component", "largest").alias("home"))
-        left = mixed.select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        left = written(left.withColumn("component", F.coalesce("component", "rep")).join(homes, "key"), "left")
-        still_outside = left.filter("component <> home")
-        if not still_outside.isEmpty():
-            other = left.select("key", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "component", "home")))
-            pairs = still_outside.join(other, "key").filter(
-                f"component <> component_2 AND (component_2 = home_2 OR rep < rep_2) AND {alike_size('n', 'n_2')}"
-            )
-            pairs = pairs.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
-            labels = components(links.unionByName(confirmed(pairs)))
+    groups = _groups(named)
+    if not groups.isEmpty():
+        labels = components(links.unionByName(written(_settled(groups, sets, percent), "settled")))
     named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     by_set = written(named.select("set_key", F.coalesce("component", "rep").alias("component_id")), "component-of-set")
     return (

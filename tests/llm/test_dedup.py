@@ -94,6 +94,61 @@ def test_near_duplicates_equal_brute_force(spark):
         assert all(r.kept and r.component_id is None for r in got if r.doc_id is None)
 
 
+def test_near_duplicates_at_other_thresholds(spark):
+    rows = family_rows(7) + [(9001, "a b c d"), (9002, "a b c e"), (9003, "a b c"), (9004, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (50, 80, 95, 100):
+        got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(docs, width=2, percent=percent).collect()}
+        assert got == near_components(rows, 2, percent), percent
+
+
+def test_a_family_that_is_almost_alike(spark, monkeypatch):
+    """Texts that meet in buckets without being linked make no pairs; the few links among them are found, in blocks too."""
+    rng = random.Random(5)
+    base = prose(rng, 150, 5000).split()
+    rows = []
+    for k in range(240):
+        own = list(base)
+        for at in rng.sample(range(len(own)), 12):
+            own[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(own)))
+    rows += [(500 + k, rows[k][1].rsplit(" ", 1)[0] + " end") for k in range(0, 240, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = near_components(rows, 2)
+    assert len(set(want.values())) > 200
+    made = []
+    real = hyperminhash._confirmed
+    monkeypatch.setattr(hyperminhash, "_confirmed", lambda pairs, sets, percent: made.append(pairs.count()) or real(pairs, sets, percent))
+    for members in (2000, 30):
+        monkeypatch.setattr(hyperminhash, "BLOCK_MEMBERS", members)
+        got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(docs, width=2).collect()}
+        assert got == want
+    # One leader for a member, not a pair for each meeting.
+    assert max(made) <= len(rows)
+
+
+def test_bands_follow_the_threshold():
+    for percent in (50, 60, 80, 95):
+        width = hyperminhash.band_rows(percent)
+        assert (1 - (percent / 100) ** width) ** (hyperminhash.REGISTERS // width) <= hyperminhash.MISS
+    assert [hyperminhash.alone(p) for p in (50, 75, 80, 90)] == [0, 2, 3, 8]
+
+
+def test_recall_of_the_bands():
+    """Sets at the threshold share a band: measured on drawn pairs."""
+    rng = np.random.default_rng(12)
+    width = hyperminhash.band_rows(80)
+    missed = 0
+    for _ in range(1500):
+        n = int(rng.choice([20, 60, 200, 800]))
+        both = rng.integers(0, 2**63, 8 * n, dtype=np.uint64) * np.uint64(2)
+        one = np.unique(np.concatenate([both, rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)]))
+        two = np.unique(np.concatenate([both, rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)]))
+        keys = hyperminhash.band_keys(np.stack([hyperminhash.registers(one), hyperminhash.registers(two)]), width)
+        missed += not (keys[0] == keys[1]).any()
+    assert missed == 0
+
+
 def test_keep_one(spark):
     docs = awkward(spark)
     out = hyperminhash.keep_one(docs)
