@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revcast.llm.common import written
+from revcast.llm.common import forget, written
 from revcast.llm.components import components
 
 BUCKET_BITS, MANTISSA_BITS = 9, 10
@@ -287,7 +287,9 @@ def _groups(named: DataFrame) -> DataFrame:
     mixed = written(named.join(several, "key"), "mixed")
     nearest = mixed.groupBy("rep").agg(F.min("least").alias("met"))
     label = mixed.select("key", "rep").join(nearest, "rep").groupBy("key").agg(F.min("met").alias("label"))
-    return written(mixed.join(label, "key").select("label", "rep", "component", "n").distinct(), "groups")
+    groups = written(mixed.join(label, "key").select("label", "rep", "component", "n").distinct(), "groups")
+    forget(mixed)
+    return groups
 
 
 def _settled(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -363,7 +365,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labels = components(links)
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = written(named.withColumn("component", F.coalesce("component", "rep")), "named")
+    forget(members)
     groups = _groups(named)
+    forget(named)
     if not groups.isEmpty():
         labels = components(links.unionByName(written(_settled(groups, sets, percent), "settled")))
     named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revcast.llm.common import whole_text, written
+from revcast.llm.common import forget, whole_text, written
 
 WINDOW, ANCHOR = 20, 6
 #: About this many windows in an automaton, and passages that one task streams through it.
@@ -222,7 +222,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     """What to remove: ``doc_id, spans`` (runs of window starts), and ``doc_id, key`` of later copies."""
     texts = written(_ids(docs).filter("doc_id IS NOT NULL").select("doc_id", text_key().alias("key")).distinct(), "text-keys")
     groups = texts.groupBy("key").agg(F.min("doc_id").alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = written(texts.join(written(groups, "copied").hint("merge"), "key").filter("doc_id > earliest").select("doc_id", "key"), "copies")
+    groups = written(groups, "copied")
+    copies = written(texts.join(groups.hint("merge"), "key").filter("doc_id > earliest").select("doc_id", "key"), "copies")
+    forget(texts, groups)
 
     recurring = written(
         _anchor_rows(docs, window, False).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "anchors"
@@ -233,6 +235,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     own = _ids(docs).withColumn("key", text_key())
     held = own.join(hits, F.col("doc_id") == F.col("id")).join(copies.hint("merge"), ["doc_id", "key"], "left_anti")
     held = written(held.select("doc_id", "text", "ats"), "held")
+    forget(recurring)
 
     # A document has one row for a window, so the smallest id decides its start.
     places = _candidate_windows(held, window).groupBy("hash")
@@ -240,12 +243,14 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     confirmed = written(counted.filter("times > 1").select(F.col("first_doc").alias("doc_id"), "start"), "confirmed")
     shards = max(1, confirmed.count() // SHARD_WINDOWS)
     starts = confirmed.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    patterns = written(_excerpts(held.drop("ats").join(starts, "doc_id"), window, "starts"), "patterns")
-    hot = patterns.groupBy("key").agg(F.sum(F.size("offsets")).alias("n")).filter(f"n > {SHARD_WINDOWS}")
+    table = written(_excerpts(held.drop("ats").join(starts, "doc_id"), window, "starts"), "patterns")
+    forget(confirmed)
+    hot = table.groupBy("key").agg(F.sum(F.size("offsets")).alias("n")).filter(f"n > {SHARD_WINDOWS}")
     # No more rows than there are shards.
     hot = written(hot.select("key", F.expr(f"1 + n div {SHARD_WINDOWS}").alias("parts")), "hot-anchors")
-    patterns = _in_shards(patterns, hot, shards, window)
+    patterns = _in_shards(table, hot, shards, window)
     passages = written(_in_shards(_excerpts(held, window, "ats"), hot, shards, window).drop("offsets"), "passages")
+    forget(held)
     tasks = passages.groupBy("shard").agg(F.expr(f"1 + count(*) div {TASK_PASSAGES}").alias("tasks"))
     tasks = written(tasks, "tasks")
     dealt = passages.join(tasks, "shard").withColumn("task", F.expr("pmod(xxhash64(doc_id, first), tasks)"))
@@ -260,7 +265,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
         .applyInPandas(run, "doc_id long, first int, last int")
     )
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return written(spans, "spans"), copies
+    spans = written(spans, "spans")
+    forget(table, hot, passages, tasks)
+    return spans, copies
 
 
 def covered(n_words: int, spans, window: int = WINDOW) -> np.ndarray:
