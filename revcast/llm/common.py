@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +67,9 @@ def forget(*tables: DataFrame) -> None:
 def whole_text(col: str | Column = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def under_plain_names(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``keep(docs)``, whose other columns than ``doc_id`` and ``text`` bear names that no operator uses meanwhile."""
+    own = docs.toDF(*(name if name in ("doc_id", "text") else f"c{k}" for k, name in enumerate(docs.columns)))
+    return keep(own).toDF(*docs.columns)

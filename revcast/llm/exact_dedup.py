@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcast.llm.common import whole_text, written
+from revcast.llm.common import under_plain_names, whole_text, written
 
 #: About this many digests per bucket of a new index.
 DIGESTS_PER_BUCKET = 2_000_000
@@ -146,8 +146,13 @@ def keep_unique(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` that ``index.load`` keeps, with all their columns.
 
     Only ids and digests of dropped rows are joined back.  Where the input
-    repeats a whole (id, text) pair, one row of it stays.
+    repeats a whole (id, text) pair, one row of it stays.  A null text is an empty
+    one; rows without id count as the smallest id; an empty table gives no rows.
     """
+    return under_plain_names(docs, lambda own: _keep_unique(own, index))
+
+
+def _keep_unique(docs: DataFrame, index: DigestIndex) -> DataFrame:
     verdicts = index.load(docs)
     lost = written(
         verdicts.groupBy("doc_id", "digest")

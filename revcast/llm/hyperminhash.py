@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revcast.llm.common import forget, written
+from revcast.llm.common import forget, under_plain_names, written
 from revcast.llm.components import components
 
 BUCKET_BITS, MANTISSA_BITS = 9, 10
@@ -387,8 +387,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row for each component, the one with the smallest id, and all its columns.
 
-    Rows without an id stay.  Where rows share a kept id, one of them stays.
+    Rows without an id stay.  Where rows share a kept id, one of them stays.  A
+    null or empty text is like no other, so its row stays; an empty table gives no rows.
     """
+    return under_plain_names(docs, lambda own: _keep_one(own, width, percent))
+
+
+def _keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
     verdicts = near_duplicates(docs, width, percent)
     ids = written(
         verdicts.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.first("kept").alias("__kept"), F.count(F.lit(1)).alias("__n")),

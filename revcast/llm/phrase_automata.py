@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revcast.llm.common import forget, whole_text, written
+from revcast.llm.common import forget, under_plain_names, whole_text, written
 
 WINDOW, ANCHOR = 20, 6
 #: About this many windows in an automaton, and passages that one task streams through it.
@@ -323,7 +323,15 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without repeated windows: rows that lose words get the others joined by
-    one space, rows that lose all of them go, the rest stay as they are."""
+    one space, rows that lose all of them go, the rest stay as they are.
+
+    Null and empty texts and rows without id stay; repeated rows are judged like
+    in :func:`digests`; an empty table gives no rows.
+    """
+    return under_plain_names(docs, lambda own: _remove_repeats(own, window))
+
+
+def _remove_repeats(docs: DataFrame, window: int) -> DataFrame:
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, spans: pd.Series, copy: pd.Series) -> pd.Series:

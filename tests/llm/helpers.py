@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-CLASHING = "digest row key n rank bucket before component component_id kept starts ats spans hashes words __x lang source n_chars".split()
+CLASHING = "digest row key n rank bucket before component component_id kept starts ats spans hashes words __x __id __own __digest __lost __repeat __kept __n __spans __copy __rest __key __cid c3 lang source n_chars".split()
 SCHEMA = "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
