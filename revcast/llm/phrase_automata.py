@@ -3,30 +3,33 @@
 A window of 20 words is removed where its words also start earlier: in a
 document with a smaller id, or further left in the same one.  The steps are
 
-1. candidates: every window is known by its anchor, the six-word run in it
+1. copies: whole copies of a text take part once.  Their smallest id stands for
+   them, the others lose every window;
+2. candidates: every window is known by its anchor, the six-word run in it
    with the smallest hash.  Equal windows have equal anchors, and about one
    position in eight is an anchor, so counting anchors moves far less than
    counting windows.  Only windows whose anchor occurs twice go on;
-2. confirmation: these windows are counted by hash, and the first place of each
+3. confirmation: these windows are counted by hash, and the first place of each
    that recurs is noted;
-3. automata: the recurring windows, read from their first place, are compiled
+4. automata: the recurring windows, read from their first place, are compiled
    into Aho-Corasick automata, one per shard of anchors;
-4. location: the passages around the recurring anchors of all documents stream
+5. location: the passages around the recurring anchors of all documents stream
    through the automaton of their shard, which finds every occurrence of every
-   recurring window by its words, not its hash.
+   recurring window by its words, not its hash.  Passages of the same words in
+   a task are searched once.
 
 An automaton holds a bounded number of windows: those of an anchor that has more
 (a line that a third of all documents hold in ever new contexts) are dealt over
 shards of its own by the words of the window, and a passage goes to the shards of
 the windows that it holds.  A shard whose passages are many is dealt over several
-tasks with the same automaton.  Whole copies of a text take part once: their smallest id
-stands for them, the others lose every window.
+tasks with the same automaton.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -38,7 +41,7 @@ from revcast.llm.common import forget, under_plain_names, whole_text, written
 
 WINDOW, ANCHOR = 20, 6
 #: About this many windows in an automaton, and passages that one task streams through it.
-SHARD_WINDOWS, TASK_PASSAGES = 30_000, 30_000
+SHARD_WINDOWS, TASK_PASSAGES = 30_000, 100_000
 #: Rows that a task gathers before it hands them on.
 FLUSH_ROWS = 200_000
 
@@ -56,12 +59,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of ``width`` words."""
+    """A hash of each run of ``width`` words, put together from runs of 1, 2, 4, ... words."""
     n = len(hashes) - width + 1
-    found = np.zeros(n, dtype=_U)
-    for k in range(width):
-        found = _mix(found * _U(0x9E3779B97F4A7C15) + hashes[k : k + n])
-    return found
+    found, done, part, size = np.zeros(n, dtype=_U), 0, hashes, 1
+    while True:
+        if width & size:
+            found = _mix(found * _U(0x9E3779B97F4A7C15) + part[done : done + n])
+            done += size
+        if done == width:
+            return found
+        part = _mix(part[:-size] * _U(0x9E3779B97F4A7C15) + part[size:])
+        size *= 2
+
+
+def _first_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest of each ``width`` values in a row, the leftmost of equal ones."""
+    at, size = np.arange(len(values)), 1
+    while size < width:
+        step = min(size, width - size)
+        right = values[step:] < values[:-step]
+        at = np.where(right, at[step:], at[:-step])
+        values = np.where(right, values[step:], values[:-step])
+        size += step
+    return at
 
 
 class Anchored:
@@ -76,9 +96,9 @@ class Anchored:
             width = min(ANCHOR, window)
             grams = _runs(self.hashes, width)
             # The leftmost of equal ones: the same choice wherever the window stands.
-            inside = np.lib.stride_tricks.sliding_window_view(grams, window - width + 1).argmin(axis=1)
-            self.anchor_of = np.arange(self.n_windows) + inside
-            self.anchors = np.unique(self.anchor_of)
+            self.anchor_of = _first_least(grams, window - width + 1)
+            # They only move to the right.
+            self.anchors = self.anchor_of[np.append(True, np.diff(self.anchor_of) > 0)]
             self.keys = grams[self.anchors].astype(np.int64)
 
     def window_hashes(self) -> np.ndarray:
@@ -100,12 +120,12 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def text_key(text: str | Column = "text") -> Column:
-    return F.unhex(F.md5(whole_text(text).cast("binary")))
+def text_key() -> Column:
+    return F.unhex(F.md5(whole_text("text").cast("binary")))
 
 
-def _anchor_rows(docs: DataFrame, window: int, places: bool) -> DataFrame:
-    """``key`` of every anchor, with its document and position if ``places``."""
+def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
+    """``key, doc_id, at`` of every anchor."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -114,16 +134,12 @@ def _anchor_rows(docs: DataFrame, window: int, places: bool) -> DataFrame:
                 a = Anchored(text, window)
                 if a.n_windows:
                     keys.append(a.keys)
-                    ids.append(np.full(len(a.keys), doc_id))
-                    at.append(a.anchors)
+                    ids.append(np.full(len(a.keys), doc_id, np.int64))
+                    at.append(a.anchors.astype(np.int32))
             if keys:
-                out = {"key": np.concatenate(keys)}
-                if places:
-                    out |= {"doc_id": np.concatenate(ids).astype(np.int64), "at": np.concatenate(at).astype(np.int32)}
-                yield pd.DataFrame(out)
+                yield pd.DataFrame({"key": np.concatenate(keys), "doc_id": np.concatenate(ids), "at": np.concatenate(at)})
 
-    rows = _ids(docs).filter("doc_id IS NOT NULL")
-    return rows.mapInPandas(run, "key long, doc_id long, at int" if places else "key long")
+    return texts.mapInPandas(run, "key long, doc_id long, at int")
 
 
 def _stacked(found: list[tuple]) -> pd.DataFrame:
@@ -153,24 +169,30 @@ def _candidate_windows(held: DataFrame, window: int) -> DataFrame:
     return held.mapInPandas(run, "hash long, doc_id long, start int, n int")
 
 
-def _excerpts(held: DataFrame, window: int, chosen: str) -> DataFrame:
-    """``key, doc_id, first, offsets, words``: by anchor, the windows of ``held`` that
-    start at one of ``chosen`` = "starts", or whose anchor is in ``chosen`` = "ats"."""
+def _excerpts(held: DataFrame, window: int) -> DataFrame:
+    """``key, doc_id, first, offsets, chosen, words``: by anchor, the windows of ``held``
+    (``doc_id, text, ats, starts``) whose anchor is in ``ats``, and those of them that start
+    at one of ``starts``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc_id, text, which in zip(b.doc_id, b.text, b[chosen], strict=True):
+            for doc_id, text, ats, starts in zip(b.doc_id, b.text, b.ats, b.starts, strict=True):
                 a = Anchored(text, window)
                 if not a.n_windows:
                     continue
-                starts = np.flatnonzero(np.isin(a.anchor_of, which)) if chosen == "ats" else np.sort(which)
-                starts = starts[starts < a.n_windows]
-                if len(starts):
-                    rows += [(key, doc_id, first, offsets, a.excerpt(first, first + int(offsets[-1]))) for key, first, offsets in a.spans(starts)]
-            yield pd.DataFrame(rows, columns=["key", "doc_id", "first", "offsets", "words"])
+                chosen = np.zeros(a.n_windows, dtype=bool)
+                if starts is not None:
+                    chosen[starts[starts < a.n_windows]] = True
+                within = np.flatnonzero(np.isin(a.anchor_of, ats))
+                if len(within):
+                    for key, first, offsets in a.spans(within):
+                        last = first + int(offsets[-1])
+                        rows.append((key, doc_id, first, offsets, offsets[chosen[first + offsets]], a.excerpt(first, last)))
+            yield pd.DataFrame(rows, columns=["key", "doc_id", "first", "offsets", "chosen", "words"])
 
-    return held.select("doc_id", "text", chosen).mapInPandas(run, "key long, doc_id long, first int, offsets array<int>, words string")
+    schema = "key long, doc_id long, first int, offsets array<int>, chosen array<int>, words string"
+    return held.select("doc_id", "text", "ats", "starts").mapInPandas(run, schema)
 
 
 def _in_shards(excerpts: DataFrame, hot: DataFrame, shards: int, window: int) -> DataFrame:
@@ -186,6 +208,17 @@ def _in_shards(excerpts: DataFrame, hot: DataFrame, shards: int, window: int) ->
     )
 
 
+def _in_runs(places: Iterator[int]) -> list[tuple[int, int]]:
+    """The first and last of each run of rising places without a gap."""
+    runs: list[tuple[int, int]] = []
+    for k in places:
+        if runs and runs[-1][1] + 1 == k:
+            runs[-1] = (runs[-1][0], k)
+        else:
+            runs.append((k, k))
+    return runs
+
+
 def locate(patterns: pd.DataFrame, passages: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
     """``doc_id, first, last``: runs of starts, in the passages, of windows that are among
     the patterns and stand earlier there."""
@@ -206,36 +239,53 @@ def locate(patterns: pd.DataFrame, passages: pd.DataFrame, window: int = WINDOW)
     found: list[tuple[int, int, int]] = []
     if earliest:
         automaton.make_automaton()
-        for doc_id, first, words in zip(passages.doc_id, passages["first"], passages.words, strict=True):
-            ids = tuple(number.get(w, 0) for w in words.split(" "))
-            for end, pattern in automaton.iter(ids):
-                start = int(first) + end - window + 1
-                if earliest[pattern] < (doc_id, start):
-                    if found and found[-1][0] == doc_id and found[-1][2] + 1 == start:
-                        found[-1] = (doc_id, found[-1][1], start)
-                    else:
-                        found.append((int(doc_id), start, start))
+        # For the words of a passage: the windows in them, their runs, and the largest document that any of them stands in first.
+        searched: dict[str, tuple[list, list, int]] = {}
+        for doc_id, first, words in zip(passages.doc_id.tolist(), passages["first"].tolist(), passages.words, strict=True):
+            held = searched.get(words)
+            if held is None:
+                ids = tuple(map(number.get, words.split(" "), repeat(0)))
+                windows = [(end - window + 1, earliest[pattern]) for end, pattern in automaton.iter(ids)]
+                held = searched[words] = (windows, _in_runs(k for k, _ in windows), max((place[0] for _, place in windows), default=0))
+            windows, runs, latest = held
+            if windows and latest >= doc_id:
+                runs = _in_runs(k for k, place in windows if place < (doc_id, first + k))
+            found += [(doc_id, first + k, first + last) for k, last in runs]
     return pd.DataFrame(found, columns=["doc_id", "first", "last"])
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """What to remove: ``doc_id, spans`` (runs of window starts), and ``doc_id, key`` of later copies."""
+def _later_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, copies``: by document, the keys of its texts that one with a smaller id has too."""
     texts = written(_ids(docs).filter("doc_id IS NOT NULL").select("doc_id", text_key().alias("key")).distinct(), "text-keys")
     groups = texts.groupBy("key").agg(F.min("doc_id").alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = written(groups, "copied")
-    copies = written(texts.join(groups.hint("merge"), "key").filter("doc_id > earliest").select("doc_id", "key"), "copies")
+    later = texts.join(groups.hint("merge"), "key").filter("doc_id > earliest")
+    copies = written(later.groupBy("doc_id").agg(F.collect_set("key").alias("copies")), "copies")
     forget(texts, groups)
+    return copies
 
-    recurring = written(
-        _anchor_rows(docs, window, False).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "anchors"
-    )
-    hits = _anchor_rows(docs, window, True).join(recurring.hint("merge"), "key").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
+
+def _is_copy(copies: str = "copies") -> Column:
+    return F.when(F.col(copies).isNotNull(), F.array_contains(copies, text_key())).otherwise(F.lit(False))
+
+
+def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """What to remove, by document: ``doc_id, spans`` (runs of window starts) and ``copies``
+    (keys of texts that are later copies as a whole); either may be null."""
+    copies = _later_copies(docs)
+    texts = _ids(docs).filter("doc_id IS NOT NULL")
+    apart = texts
+    if not copies.isEmpty():
+        apart = texts.join(copies.hint("merge"), "doc_id", "left").filter(~_is_copy()).select("doc_id", "text")
+
+    anchors = written(_anchor_rows(apart, window), "anchors")
+    recurring = written(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "recurring")
     # The positions of one document are no more than its words.
-    hits = hits.withColumnRenamed("doc_id", "id")
-    own = _ids(docs).withColumn("key", text_key())
-    held = own.join(hits, F.col("doc_id") == F.col("id")).join(copies.hint("merge"), ["doc_id", "key"], "left_anti")
-    held = written(held.select("doc_id", "text", "ats"), "held")
-    forget(recurring)
+    hits = anchors.join(recurring.hint("merge"), "key").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
+    hits = written(hits.join(copies.hint("merge"), "doc_id", "left"), "hits")
+    forget(anchors, recurring)
+    held = written(texts.join(hits.hint("merge"), "doc_id").filter(~_is_copy()).select("doc_id", "text", "ats"), "held")
+    forget(hits)
 
     # A document has one row for a window, so the smallest id decides its start.
     places = _candidate_windows(held, window).groupBy("hash")
@@ -243,14 +293,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     confirmed = written(counted.filter("times > 1").select(F.col("first_doc").alias("doc_id"), "start"), "confirmed")
     shards = max(1, confirmed.count() // SHARD_WINDOWS)
     starts = confirmed.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    table = written(_excerpts(held.drop("ats").join(starts, "doc_id"), window, "starts"), "patterns")
-    forget(confirmed)
-    hot = table.groupBy("key").agg(F.sum(F.size("offsets")).alias("n")).filter(f"n > {SHARD_WINDOWS}")
+    table = written(_excerpts(held.join(starts.hint("merge"), "doc_id", "left"), window), "passages")
+    forget(confirmed, held)
+    # Under columns of its own, as both sides of the search come from one table.
+    first = table.filter("size(chosen) > 0").select("key", "doc_id", "first", F.col("chosen").alias("offsets"), "words")
+    first = first.toDF(*first.columns)
+    hot = first.groupBy("key").agg(F.sum(F.size("offsets")).alias("n")).filter(f"n > {SHARD_WINDOWS}")
     # No more rows than there are shards.
     hot = written(hot.select("key", F.expr(f"1 + n div {SHARD_WINDOWS}").alias("parts")), "hot-anchors")
-    patterns = _in_shards(table, hot, shards, window)
-    passages = written(_in_shards(_excerpts(held, window, "ats"), hot, shards, window).drop("offsets"), "passages")
-    forget(held)
+    patterns = _in_shards(first, hot, shards, window)
+    passages = _in_shards(table.drop("chosen"), hot, shards, window).drop("offsets")
     tasks = passages.groupBy("shard").agg(F.expr(f"1 + count(*) div {TASK_PASSAGES}").alias("tasks"))
     tasks = written(tasks, "tasks")
     dealt = passages.join(tasks, "shard").withColumn("task", F.expr("pmod(xxhash64(doc_id, first), tasks)"))
@@ -264,10 +316,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
         .cogroup(dealt.select("doc_id", "first", "words", "shard", "task").groupBy("shard", "task"))
         .applyInPandas(run, "doc_id long, first int, last int")
     )
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    spans = written(spans, "spans")
-    forget(table, hot, passages, tasks)
-    return spans, copies
+    spans = written(found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    forget(table, hot, tasks)
+    return spans.join(copies, "doc_id", "full_outer")
 
 
 def covered(n_words: int, spans, window: int = WINDOW) -> np.ndarray:
@@ -290,13 +341,10 @@ def _kept(text: str | None, spans, copy: bool, window: int) -> tuple[int, int, s
 
 def marked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with ``__spans`` and ``__copy``: what :func:`repeats` found for each row."""
-    spans, copies = repeats(docs, window)
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    copies = copies.select(F.col("doc_id").alias("__cid"), F.col("key").alias("__key"), F.lit(True).alias("__copied"))
+    found = repeats(docs, window).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"), F.col("copies").alias("__copies"))
     rows = docs.withColumn("__own", F.col("doc_id").cast("long"))
-    joined = rows.join(spans.hint("merge"), F.col("__own") == F.col("__id"), "left")
-    joined = joined.join(copies.hint("merge"), (F.col("__own") == F.col("__cid")) & (text_key() == F.col("__key")), "left")
-    return joined.select(*docs.columns, "__spans", F.coalesce("__copied", F.lit(False)).alias("__copy"))
+    joined = rows.join(found.hint("merge"), F.col("__own") == F.col("__id"), "left")
+    return joined.select(*docs.columns, "__spans", _is_copy("__copies").alias("__copy"))
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
