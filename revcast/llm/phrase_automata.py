@@ -34,6 +34,7 @@ from itertools import repeat
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ from revcast.llm.common import forget, under_plain_names, whole_text, written
 
 WINDOW, ANCHOR = 20, 6
 #: About this many windows in an automaton, and passages that one task streams through it.
-SHARD_WINDOWS, TASK_PASSAGES = 30_000, 100_000
+#: The automaton tries a node's branches one by one, so that a small one is faster for each word.
+SHARD_WINDOWS, TASK_PASSAGES = 4_000, 100_000
 #: Rows that a task gathers before it hands them on.
 FLUSH_ROWS = 200_000
 
@@ -104,16 +106,10 @@ class Anchored:
     def window_hashes(self) -> np.ndarray:
         return _runs(self.hashes, self.window)
 
-    def spans(self, starts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """The given windows by anchor: key, first start, and the starts after it (from 0)."""
-        anchor = self.anchor_of[starts]
-        for own in np.split(starts, np.flatnonzero(anchor[1:] != anchor[:-1]) + 1):
-            at = np.searchsorted(self.anchors, self.anchor_of[own[0]])
-            yield int(self.keys[at]), int(own[0]), own - own[0]
-
-    def excerpt(self, first: int, last: int) -> str:
-        """The words of the windows that start at ``first`` to ``last``."""
-        return b" ".join(self.words[first : last + self.window]).decode("utf-8", "surrogatepass")
+    def excerpts(self, firsts: np.ndarray, lasts: np.ndarray) -> list[str]:
+        """The words of the windows that start at each of ``firsts`` to ``lasts``."""
+        cuts = zip(firsts.tolist(), (lasts + self.window).tolist(), strict=True)
+        return [b" ".join(self.words[f:e]).decode("utf-8", "surrogatepass") for f, e in cuts]
 
 
 def _ids(docs: DataFrame) -> DataFrame:
@@ -169,37 +165,64 @@ def _candidate_windows(held: DataFrame, window: int) -> DataFrame:
     return held.mapInPandas(run, "hash long, doc_id long, start int, n int")
 
 
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """Each row's values, none for null."""
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return (values[b:e] for b, e in zip(ends[:-1], ends[1:], strict=True))
+
+
+def _list_column(sizes: list[np.ndarray], values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate(values).astype(np.int32))
+
+
 def _excerpts(held: DataFrame, window: int) -> DataFrame:
     """``key, doc_id, first, offsets, chosen, words``: by anchor, the windows of ``held``
     (``doc_id, text, ats, starts``) whose anchor is in ``ats``, and those of them that start
     at one of ``starts``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stacked(keys, ids, firsts, sizes, offsets, chosen_sizes, chosen, words) -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(firsts).astype(np.int32))]
+        columns += [_list_column(sizes, offsets), _list_column(chosen_sizes, chosen), pa.array([w for own in words for w in own], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "first", "offsets", "chosen", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc_id, text, ats, starts in zip(b.doc_id, b.text, b.ats, b.starts, strict=True):
-                a = Anchored(text, window)
-                if not a.n_windows:
+            found, size = [], 0
+            rows = zip(b.column("doc_id").to_pylist(), b.column("text"), _lists(b.column("ats")), _lists(b.column("starts")), strict=True)
+            for doc_id, text, ats, starts in rows:
+                a = Anchored(text.as_py(), window)
+                within = np.flatnonzero(np.isin(a.anchor_of, ats)) if a.n_windows else ()
+                if not len(within):
                     continue
-                chosen = np.zeros(a.n_windows, dtype=bool)
-                if starts is not None:
-                    chosen[starts[starts < a.n_windows]] = True
-                within = np.flatnonzero(np.isin(a.anchor_of, ats))
-                if len(within):
-                    for key, first, offsets in a.spans(within):
-                        last = first + int(offsets[-1])
-                        rows.append((key, doc_id, first, offsets, offsets[chosen[first + offsets]], a.excerpt(first, last)))
-            yield pd.DataFrame(rows, columns=["key", "doc_id", "first", "offsets", "chosen", "words"])
+                is_start = np.zeros(a.n_windows, dtype=bool)
+                is_start[starts[starts < a.n_windows]] = True
+                anchor, mark = a.anchor_of[within], is_start[within]
+                begins = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+                sizes = np.diff(np.append(begins, len(within)))
+                firsts = within[begins]
+                offsets = within - np.repeat(firsts, sizes)
+                keys = a.keys[np.searchsorted(a.anchors, anchor[begins])]
+                words = a.excerpts(firsts, within[begins + sizes - 1])
+                ids = np.full(len(begins), doc_id, np.int64)
+                found.append((keys, ids, firsts, sizes, offsets, np.add.reduceat(mark.astype(np.int64), begins), offsets[mark], words))
+                size += len(begins)
+                if size >= FLUSH_ROWS // 4:
+                    yield stacked(*zip(*found, strict=True))
+                    found, size = [], 0
+            if found:
+                yield stacked(*zip(*found, strict=True))
 
     schema = "key long, doc_id long, first int, offsets array<int>, chosen array<int>, words string"
-    return held.select("doc_id", "text", "ats", "starts").mapInPandas(run, schema)
+    return held.select("doc_id", "text", "ats", "starts").mapInArrow(run, schema)
 
 
 def _in_shards(excerpts: DataFrame, hot: DataFrame, shards: int, window: int) -> DataFrame:
     """``excerpts`` with their ``shard``; those of anchors in ``hot`` (``key, parts``) once
     for each of the anchor's shards that has some of their windows, with the offsets of these."""
     part_of = f"transform(offsets, k -> pmod(xxhash64(slice(split(words, ' '), k + 1, {window})), parts))"
-    own = excerpts.join(F.broadcast(hot), "key", "left").withColumn("part_of", F.expr(f"if(parts IS NULL, NULL, {part_of})"))
+    # A file of known size: Spark broadcasts it only while it is small.
+    own = excerpts.join(hot, "key", "left").withColumn("part_of", F.expr(f"if(parts IS NULL, NULL, {part_of})"))
     own = own.withColumn("part", F.explode_outer(F.array_distinct("part_of")))
     return own.select(
         *(c for c in excerpts.columns if c != "offsets"),
@@ -223,19 +246,19 @@ def locate(patterns: pd.DataFrame, passages: pd.DataFrame, window: int = WINDOW)
     """``doc_id, first, last``: runs of starts, in the passages, of windows that are among
     the patterns and stand earlier there."""
     number: dict[str, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    known: dict[tuple, int] = {}
     earliest: list[tuple[int, int]] = []
-    for doc_id, first, offsets, words in zip(patterns.doc_id, patterns["first"], patterns.offsets, patterns.words, strict=True):
-        ids = tuple(number.setdefault(w, len(number) + 1) for w in words.split(" "))
-        for k in offsets:
-            own = ids[k : k + window]
-            place = (int(doc_id), int(first) + int(k))
-            known = automaton.get(own, -1)
-            if known < 0:
-                automaton.add_word(own, len(earliest))
-                earliest.append(place)
-            elif place < earliest[known]:
-                earliest[known] = place
+    for doc_id, first, offsets, words in zip(patterns.doc_id.tolist(), patterns["first"].tolist(), patterns.offsets, patterns.words, strict=True):
+        ids = tuple([number.setdefault(w, len(number) + 1) for w in words.split(" ")])
+        for k in map(int, offsets):
+            at = known.setdefault(ids[k : k + window], len(earliest))
+            if at == len(earliest):
+                earliest.append((doc_id, first + k))
+            else:
+                earliest[at] = min(earliest[at], (doc_id, first + k))
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for own, at in known.items():
+        automaton.add_word(own, at)
     found: list[tuple[int, int, int]] = []
     if earliest:
         automaton.make_automaton()
@@ -299,7 +322,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     first = table.filter("size(chosen) > 0").select("key", "doc_id", "first", F.col("chosen").alias("offsets"), "words")
     first = first.toDF(*first.columns)
     hot = first.groupBy("key").agg(F.sum(F.size("offsets")).alias("n")).filter(f"n > {SHARD_WINDOWS}")
-    # No more rows than there are shards.
+    # Fewer rows than there are shards.
     hot = written(hot.select("key", F.expr(f"1 + n div {SHARD_WINDOWS}").alias("parts")), "hot-anchors")
     patterns = _in_shards(first, hot, shards, window)
     passages = _in_shards(table.drop("chosen"), hot, shards, window).drop("offsets")
