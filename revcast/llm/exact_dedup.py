@@ -7,11 +7,12 @@ load, group_size)`` bucketed and sorted by ``digest``.  A load
 1. writes the digests of its rows (not their texts) to the shared folder,
 2. groups them by digest, combining before the shuffle, so that a text with
    any number of copies costs one row per task,
-3. finds the digests the index lacks by a sort-merge anti-join, in which the
-   bucketed index is not shuffled, and appends them,
-4. joins the verdict of each group back to the rows.  Both sides of that join
-   are shuffled for it alone, so that adaptive execution can split a digest
-   that holds a third of all rows.
+3. finds the digests that other loads did not bring by a sort-merge anti-join,
+   in which the bucketed index is not shuffled (the first load meets an empty
+   index), and appends those that the index lacks,
+4. joins the verdict of each group back to the rows.  Digests of more than one
+   row in ``HEAVY_SHARE`` (so at most that many digests) are joined by a
+   broadcast, so that no task gets all copies of a text; the others by merge.
 
 Everything runs on Spark's own expressions.
 """
@@ -24,10 +25,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revcast.llm.common import under_plain_names, whole_text, written
+from revcast.llm.common import fresh_path, under_plain_names, whole_text, written
 
 #: About this many digests per bucket of a new index.
 DIGESTS_PER_BUCKET = 2_000_000
+#: A digest is heavy if more than one row in this many has it; no more digests than this can be.
+HEAVY_SHARE = 2_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -46,13 +49,15 @@ def text_digest(text: str | Column = "text") -> Column:
 class DigestIndex:
     """A table of the digests seen so far.
 
-    ``table`` names a catalog table.  It is made on the first load with
+    ``table`` names a catalog table.  It is made, empty, by the first load with
     ``buckets`` buckets (by default one per two million digests of that load)
-    and keeps its bucketing afterwards.
+    and keeps its bucketing afterwards.  Its files lie in ``location``, by
+    default in the warehouse, which on a cluster must be a folder that all
+    executors share.
     """
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
-        self.spark, self.table, self.buckets = spark, table, buckets
+    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None, location: str | None = None):
+        self.spark, self.table, self.buckets, self.location = spark, table, buckets, location
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
@@ -60,45 +65,56 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def _bucket_count(self, rows: DataFrame) -> int:
-        if self.buckets is None:
-            if self.exists():
-                found = self.spark.sql(f"DESCRIBE EXTENDED {self.table}").filter("col_name = 'Num Buckets'")
-                self.buckets = int(found.first()["data_type"])
-            else:
-                self.buckets = max(8, -(-rows.count() // DIGESTS_PER_BUCKET))
-        return self.buckets
-
-    def unseen(self, groups: DataFrame) -> DataFrame:
-        """The rows of ``groups`` whose digest the index lacks."""
-        if not self.exists():
-            return groups
-        return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+    def create(self, n_digests: int) -> None:
+        """The empty table, if there is none; ``n_digests`` are expected in the first load."""
+        if self.exists():
+            found = self.spark.sql(f"DESCRIBE EXTENDED {self.table}").filter("col_name = 'Num Buckets'")
+            self.buckets = int(found.first()["data_type"])
+            return
+        self.buckets = self.buckets or max(8, -(-n_digests // DIGESTS_PER_BUCKET))
+        where = f"LOCATION '{self.location}'" if self.location else ""
+        self.spark.sql(
+            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, keep_row BIGINT, load STRING, group_size BIGINT)"
+            f" USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS {where}"
+        )
+
+    def drop(self) -> None:
+        """Forget the index.  Verdicts of earlier loads do not read it and stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def unseen(self, groups: DataFrame, load: str | None = None) -> DataFrame:
+        """The rows of ``groups`` whose digest no load but ``load`` brought."""
+        others = self.read().filter(F.col("load") != load) if load else self.read()
+        return groups.join(others.select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, rows: DataFrame) -> None:
-        n = self._bucket_count(rows)
         (
-            rows.repartition(n, "digest")
+            rows.repartition(self.buckets, "digest")
             .write.format("parquet")
-            .bucketBy(n, "digest")
+            .bucketBy(self.buckets, "digest")
             .sortBy("digest")
             .mode("append")
             .saveAsTable(self.table)
         )
 
-    def load(self, docs: DataFrame) -> DataFrame:
+    def load(self, docs: DataFrame, load: str | None = None) -> DataFrame:
         """Deduplicate ``docs`` (columns ``doc_id``, ``text``) within itself and
         against the index, append the new digests and return a verdict per row.
 
+        ``load`` is the caller's name of the load.  A load that is run again
+        under its name, say after the job that used its verdicts was lost, gives
+        the same verdicts and appends only what is not there yet; without a name
+        every load is a new one.
+
         Result: ``doc_id, keep_id, group_size, kept, digest``, one row for each
         row of ``docs``.  Of equal texts the row with the largest ``doc_id``
         stays; a null id is smaller than any other; of rows that are equal in
-        both, exactly one stays.  A text that an earlier load brought is not
+        both, exactly one stays.  A text that another load brought is not
         kept and names that load's row.  ``group_size`` counts the equal rows of
         the load that brought the text.  A null text is the empty text.  An
         empty table gives no rows.  Other columns are not read.
         """
-        load = uuid.uuid4().hex
+        load = load or uuid.uuid4().hex
         rows = written(
             docs.select(
                 F.monotonically_increasing_id().alias("row"),
@@ -120,15 +136,19 @@ class DigestIndex:
             ),
             "digest-groups",
         )
-        verdicts = groups
-        if self.exists():
-            fresh = written(self.unseen(groups), "digest-fresh")
-            known = groups.select("digest").join(self.read().hint("merge"), "digest")
-            verdicts = written(fresh.unionByName(known), "digest-verdicts")
-            self.append(fresh)
-        else:
-            self.append(groups)
-        return rows.join(verdicts.hint("merge"), "digest").select(
+        size = groups.agg(F.count(F.lit(1)).alias("digests"), F.coalesce(F.sum("group_size"), F.lit(0)).alias("rows")).first()
+        self.create(size["digests"])
+        fresh = written(self.unseen(groups, load), "digest-fresh")
+        known = self.read().filter(F.col("load") != load).hint("merge").join(groups.select("digest"), "digest", "left_semi")
+        verdicts = written(fresh.unionByName(known), "digest-verdicts")
+        self.append(self.unseen(fresh))
+        verdict = "digest", "keep_id", "keep_row", "load", "group_size"
+        heavy = groups.filter(F.col("group_size") > size["rows"] / HEAVY_SHARE).select("digest")
+        heavy_verdicts = verdicts.join(F.broadcast(heavy), "digest").select(*verdict)
+        told = rows.join(F.broadcast(heavy_verdicts), "digest").unionByName(
+            rows.join(F.broadcast(heavy), "digest", "left_anti").join(verdicts.hint("merge"), "digest")
+        )
+        return told.select(
             "doc_id",
             "keep_id",
             "group_size",
@@ -138,22 +158,22 @@ class DigestIndex:
 
 
 def new_index(spark: SparkSession) -> DigestIndex:
-    """An empty index under an unused table name."""
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    """An index for the loads of one session: under an unused name, with its files in the shared folder."""
+    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", location=fresh_path(spark, "digest-index"))
 
 
-def keep_unique(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def keep_unique(docs: DataFrame, index: DigestIndex, load: str | None = None) -> DataFrame:
     """The rows of ``docs`` that ``index.load`` keeps, with all their columns.
 
     Only ids and digests of dropped rows are joined back.  Where the input
     repeats a whole (id, text) pair, one row of it stays.  A null text is an empty
     one; rows without id count as the smallest id; an empty table gives no rows.
     """
-    return under_plain_names(docs, lambda own: _keep_unique(own, index))
+    return under_plain_names(docs, lambda own: _keep_unique(own, index, load))
 
 
-def _keep_unique(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    verdicts = index.load(docs)
+def _keep_unique(docs: DataFrame, index: DigestIndex, load: str | None) -> DataFrame:
+    verdicts = index.load(docs, load)
     lost = written(
         verdicts.groupBy("doc_id", "digest")
         .agg(F.count_if(~F.col("kept")).alias("n_lost"), F.count_if("kept").alias("n_kept"))

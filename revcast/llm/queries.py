@@ -74,11 +74,10 @@ def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict per document of a load into a new digest index."""
-    return (
-        new_index(spark)
-        .load(table(spark, sf_dir, "documents"))
-        .select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
-    )
+    index = new_index(spark)
+    verdicts = index.load(table(spark, sf_dir, "documents"))
+    index.drop()
+    return verdicts.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

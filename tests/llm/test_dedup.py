@@ -49,6 +49,34 @@ def test_a_second_load_meets_the_index(spark):
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
 
 
+def test_a_load_run_again_gives_the_same(spark):
+    index = exact_dedup.new_index(spark)
+    docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b"), (None, "b")], "doc_id long, text string")
+    told = lambda rows: sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in rows.collect())
+    first = told(index.load(docs, "monday"))
+    assert first == [(0, 3, 2, False), (1, 2, 2, False), (2, 2, 2, True), (3, 3, 2, True)]
+    # The job that used the verdicts was lost after the append.
+    assert told(index.load(docs, "monday")) == first and index.read().count() == 2
+    assert sorted(r.doc_id for r in exact_dedup.keep_unique(docs, index, "monday").collect()) == [2, 3]
+    later = docs.unionByName(spark.createDataFrame([(9, "c")], docs.schema))
+    assert [r[0] for r in told(index.load(later, "tuesday")) if r[3]] == [9] and index.read().count() == 3
+    kept = index.load(later, "tuesday")
+    index.drop()
+    assert not index.exists() and [r[0] for r in told(kept) if r[3]] == [9]
+
+
+def test_heavy_digests_are_broadcast(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'hot', if(id % 3 = 1, 'Warm', cast(id AS string))) AS text")
+    plans = []
+    for share in (2, 50, 10**9):  # no digest, two, all
+        monkeypatch.setattr(exact_dedup, "HEAVY_SHARE", share)
+        out = exact_dedup.new_index(spark).load(docs)
+        rows = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in out.collect()}
+        assert rows == {i: ((3999, 1334, i == 3999), (3997, 1333, i == 3997), (i, 1, True))[i % 3] for i in range(4000)}
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert all("BroadcastHashJoin" in p and "SortMergeJoin" in p for p in plans)
+
+
 def test_keep_unique(spark):
     docs = awkward(spark)
     out = exact_dedup.keep_unique(docs, exact_dedup.new_index(spark))
