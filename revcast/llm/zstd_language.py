@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,21 +32,34 @@ LEVEL, SEARCH = 6, {"min_match": 4, "strategy": zstandard.STRATEGY_BTLAZY2}
 NARROW_BYTES, NARROW_SHARE = 3, 0.02
 UNDETERMINED = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _marks() -> str:
+    """Ranges of the combining marks, which carry the vowels of many scripts, for a character class."""
+    marks = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Mn", "Mc")]
+    first = [c for c, before in zip(marks, [-2, *marks], strict=False) if c != before + 1]
+    last = [c for c, behind in zip(marks, [*marks[1:], -2], strict=True) if c != behind - 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last, strict=True))
+
+
+_LETTERS = re.compile(rf"[^\W\d_]+(?:[{_marks()}]+[^\W\d_]*)*")
 
 
 def letter_runs(text: str) -> bytes:
-    """The lower-cased letter runs of a text, joined by one space."""
+    """The lower-cased letter runs of a text, with the marks on their letters, joined by one space."""
     return " ".join(_LETTERS.findall(text.lower())).encode("utf-8", "surrogatepass")
 
 
 def train(docs: DataFrame, dict_bytes: int = DICT_BYTES, dict_docs: int = DICT_DOCS) -> dict[str, bytes]:
     """Dictionary by language, the one with most rows first, from ``text`` and ``lang`` of ``docs``; null or empty ones teach nothing.
 
-    Equal texts count once.  At most ``dict_docs`` texts of each language reach
-    the driver, chosen by hash; the share of texts that is looked at shrinks as
+    Equal texts count once.  At most ``dict_docs`` texts of each language are
+    drawn, by hash; the share of texts that is looked at shrinks as
     the distinct texts of a language grow, so that no task gathers more than a few
-    times that many, and all of them are looked at where they are few.
+    times that many, and all of them are looked at where they are few.  Tasks cut
+    each to the letter runs that a dictionary holds, and those that come
+    after a full dictionary stay there, so that less than two dictionaries of
+    a language reach the driver.
     """
     known = docs.filter("lang IS NOT NULL AND length(text) > 0").select("lang", "text")
     order = F.xxhash64("text")
@@ -61,13 +76,21 @@ def train(docs: DataFrame, dict_bytes: int = DICT_BYTES, dict_docs: int = DICT_D
         .filter(F.pmod("order", F.lit(1_000_003)) <= F.element_at(share, F.col("lang")) * 1_000_003)
         .dropDuplicates(["lang", "order"])
     )
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    rows = drawn.withColumn("place", place).filter(F.col("place") <= dict_docs).collect()
+
+    @F.pandas_udf("binary")
+    def runs(texts: pd.Series) -> pd.Series:
+        return pd.Series([letter_runs(x)[:dict_bytes] for x in texts])
+
+    by_order = Window.partitionBy("lang").orderBy("order")
+    first = drawn.withColumn("place", F.row_number().over(by_order)).filter(F.col("place") <= dict_docs)
+    cut = first.select("lang", "order", runs("text").alias("runs"))
+    # Each takes the byte of a line's end, too.
+    filled = F.sum(F.octet_length("runs") + 1).over(by_order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = cut.withColumn("filled", F.coalesce(filled, F.lit(0))).filter(F.col("filled") < dict_bytes).collect()
     found: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["order"])):
         own = found.get(r["lang"], b"")
-        if len(own) < dict_bytes:
-            found[r["lang"]] = own + letter_runs(r["text"])[: dict_bytes - len(own)] + b"\n"
+        found[r["lang"]] = own + bytes(r["runs"])[: dict_bytes - len(own)] + b"\n"
     return {lang: found[lang] for lang in sorted(found, key=lambda x: (-counts[x], x))}
 
 

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import regex
+import zstandard
 
 from revcast.llm import quality_rules, zstd_language
 from tests.llm.helpers import awkward, awkward_rows, empty, prose
@@ -60,6 +62,33 @@ def test_labels_that_say_nothing(spark):
     assert quality_rules.keep_good(docs, quality_rules.fit(docs, one)).filter("doc_id = 7").count() == 1
 
 
+def test_many_label_rows_of_few_documents(spark):
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat(concat('word', id, ' here '), 30) AS text")
+    labels = spark.range(200).crossJoin(spark.range(5000).toDF("k")).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert len(quality_rules.labelled_sample(docs, labels)) == 200
+    assert len(quality_rules.labelled_sample(docs, labels, limit=60)) == 60
+
+
+def plain_path(forest, k: int, row) -> float:
+    """Path length of one row in one tree, node by node."""
+    at = 0
+    while forest.feature[k][at] >= 0:
+        at = forest.child[k][at] + int(row[forest.feature[k][at]] >= forest.cut[k][at])
+    return forest.path[k][at]
+
+
+def test_verdicts_equal_walks_through_the_trees(spark):
+    """The score of a document is 2 ** -(mean path / expected path); it is kept if that is within the threshold."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    forest = quality_rules.fit(docs, labels)
+    rows = quality_rules.verdicts(docs, forest).toPandas().sample(150, random_state=3)
+    for s, x in zip(rows.itertuples(), quality_rules.rates(rows), strict=True):
+        mean = sum(plain_path(forest, k, x) for k in range(len(forest.feature))) / len(forest.feature)
+        harmonic = sum(1 / k for k in range(1, forest.rows))
+        want = 2 ** (-mean / (2 * harmonic - 2 * (forest.rows - 1) / forest.rows))
+        assert abs(s.anomaly - want) < 2e-3 and s.kept == (not s.base_failed and s.anomaly <= forest.threshold)
+
+
 def test_expected_path_and_scores():
     assert quality_rules.expected_path(np.array([0, 1, 2])).tolist() == [0, 0, 1]
     rng = np.random.default_rng(1)
@@ -93,6 +122,39 @@ def test_copies_do_not_thin_out_a_dictionary(spark):
     assert all(text.count(b"\n") == 10 for text in learned.values())
 
 
+def test_choice_equals_compression_by_hand(spark):
+    """The language whose dictionary gives the smallest frame; equal sizes go to the language with most rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = zstd_language.train(docs.filter(~zstd_language.held_out()))
+    assert all(len(d) <= zstd_language.DICT_BYTES + zstd_language.DICT_DOCS for d in learned.values())
+    texts = {r.doc_id: r.text for r in docs.filter(zstd_language.held_out()).collect()}
+    how = {"min_match": 4, "strategy": zstandard.STRATEGY_BTLAZY2, "write_content_size": 0, "write_checksum": 0}
+    for r in zstd_language.predict(docs.filter(zstd_language.held_out()), learned).collect():
+        raw = " ".join(regex.findall(r"\p{L}[\p{L}\p{Mn}\p{Mc}]*", (texts[r.doc_id] or "").lower())).encode()
+        sizes = []
+        for own in learned.values():
+            content = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            level = zstandard.ZstdCompressionParameters.from_level(6, dict_size=len(own), **how)
+            content.precompute_compress(compression_params=level)
+            sizes.append(len(zstandard.ZstdCompressor(dict_data=content, compression_params=level).compress(raw)))
+        if raw:
+            assert r.lang_pred == list(learned)[sizes.index(min(sizes))], r.doc_id
+            assert abs(r.score - 1 / sum(2.0 ** (min(sizes) - s) for s in sizes)) < 1e-9
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0)
+
+
+def test_marks_stay_with_their_letters():
+    assert zstd_language.letter_runs("हिन्दी भाषा 12 Cafe\u0301s!").decode() == "हिन्दी भाषा cafe\u0301s"
+    assert zstd_language.letter_runs("\u0301 a_b 7x") == b"a b x"
+
+
+def test_dictionaries_are_cut_in_the_tasks(spark):
+    rows = [(k, f"{'abcdefghij'[k]} " * 50_000, "xx") for k in range(8)] + [(20, "kurz", "yy"), (21, "123", "zz")]
+    learned = zstd_language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dict_bytes=1000)
+    assert len(learned["xx"]) == 1001 and learned["yy"] == b"kurz\n" and learned["zz"] == b"\n"
+
+
 def test_language_awkward_rows(spark):
     learned = {"xx": b"one two three four five " * 40, "yy": b"eins zwei drei vier " * 40}
     docs = awkward(spark)
