@@ -4,10 +4,10 @@ A merge-type encoding is the only split of a text into pieces in which every
 two neighbours are compatible: merging the characters of the two from scratch
 gives just these two back.  So the encoder needs no merge queue over the text.
 It takes the longest piece at each position (an Aho-Corasick automaton finds
-the pieces), keeps it if it is compatible with the piece before, tries shorter
-ones if not, and steps back when none fits.  A bitfield marks positions from
-which no split of the rest exists, so that none is tried twice and the work
-stays in proportion to the text.
+them), keeps it if it is compatible with the piece before, tries the shorter
+pieces that it starts with if not, and steps back when none fits.  A bitfield
+marks positions from which no split of the rest exists, so that none is tried
+twice and the work stays in proportion to the text.
 
 Where no piece holds a space after another character, no merge crosses from a
 word to the space behind it.  Texts are then cut there first, and each task
@@ -31,8 +31,8 @@ SPACE = "▁"
 WORDS_KEPT, PAIRS_KEPT = 300_000, 400_000
 #: Longer words are not remembered.
 LONGEST_KEPT = 64
-#: Characters for which candidates are looked up at a time.
-BLOCK = 4096
+#: Characters of a long run that the automaton gets at a time.
+WINDOW = 256
 
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -47,8 +47,7 @@ class _Memory(dict):
     def __missing__(self, word: str) -> tuple[str, str]:
         found = self.old.get(word)
         if found is None:
-            ids = self.codec.encode_run(SPACE + word)
-            found = ",".join(map(str, ids)), self.codec.text_of(ids)
+            found = self.codec.coded_run(SPACE + word)
         if len(word) <= LONGEST_KEPT:
             if len(self) >= WORDS_KEPT:
                 self.old = dict(self)
@@ -78,10 +77,16 @@ class PieceCodec:
         special = self.silent | self.byte_value.keys() | {self.unknown}
         self.id_of = {p: i for i, p in enumerate(self.piece) if i not in special}
         self.id_of_set = set(self.id_of.values())
+        #: What each id alone decodes to; bytes do not alone.
+        self.shown = [None if i in self.byte_value else " ⁇ " if i == self.unknown else "" if i in self.silent else p.replace(SPACE, " ") for i, p in enumerate(self.piece)]
         self.score = {p: sp.get_score(i) for p, i in self.id_of.items()}
         # A space inside a piece follows spaces only: no merge joins a word to the next space.
         self.splits_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.id_of)
         self.longest = max(map(len, self.id_of))
+        #: The shorter pieces that a piece starts with, the longest first; its first character always.
+        self.shorter = {p: (*(p[:k] for k in range(len(p) - 1, 1, -1) if p[:k] in self.id_of), p[0]) for p in self.id_of if len(p) > 1}
+        self.shorter |= {p: () for p in self.id_of if len(p) == 1}
+        self.digits = list(map(str, range(size)))
         self.automaton = ahocorasick.Automaton()
         for p in self.id_of:
             self.automaton.add_word(p, p)
@@ -117,51 +122,64 @@ class PieceCodec:
             self.pairs[before, piece] = known
         return known
 
-    def _candidates(self, run: str, block: int) -> list[list[str]]:
-        """For each start in the block, the pieces there, the longest last."""
-        low, high = block * BLOCK, min(len(run), (block + 1) * BLOCK)
-        # Every character can stand alone, with a piece of its own or without.
-        found = [[c] for c in run[low:high]]
-        reach = min(len(run), high + self.longest)
-        for end, p in self.automaton.iter(run, low, reach):
-            start = end - len(p) + 1
-            if start < high and len(p) > 1:
-                found[start - low].append(p)
-        return found
-
     def split_run(self, run: str) -> list[str]:
         """The pieces of a run, by backtracking."""
-        n = len(run)
-        failed = bytearray(n // 8 + 1)
-        blocks: dict[int, list[list[str]]] = {}
+        n, known = len(run), self.pairs.get
+        failed = None  # a bit for each position, made when the first one fails
         taken: list[str] = []
-        at = 0
-        size_limit = n + 1  # pieces at ``at`` must be shorter than this
+        before, at = "", 0
         while at < n:
-            block = at // BLOCK
-            if block not in blocks:
-                if len(blocks) > 3:
-                    blocks.clear()
-                blocks[block] = self._candidates(run, block)
-            before = taken[-1] if taken else ""
-            for p in reversed(blocks[block][at % BLOCK]):
-                end = at + len(p)
-                if len(p) < size_limit and not failed[end >> 3] & (1 << (end & 7)) and self.compatible(before, p):
-                    taken.append(p)
-                    at, size_limit = end, n + 1
+            # The longest pieces, as long as they are compatible.
+            low, part = (at, run[at : at + WINDOW]) if n > WINDOW else (0, run)
+            sure = n if low + len(part) == n else low + len(part) - self.longest  # from there on, longer ones may reach out of the part
+            p = None
+            for end, p in self.automaton.iter_long(part, at - low):
+                end += low + 1
+                if end - len(p) != at or at > sure:
+                    p = None
                     break
-            else:
-                failed[at >> 3] |= 1 << (at & 7)
-                if not taken:
-                    raise ValueError("no split found")  # cannot happen: the merges give one
-                last = taken.pop()
-                at -= len(last)
-                size_limit = len(last)
+                if failed is not None and failed[end >> 3] & (1 << (end & 7)):
+                    break
+                fits = known((before, p))
+                if not (self.compatible(before, p) if fits is None else fits):
+                    break
+                taken.append(p)
+                before, at, p = p, end, None
+            if at >= n:
+                break
+            if p is None and at > sure:
+                continue
+            # Shorter ones; a character can stand alone without a piece of its own.
+            shorter = (run[at],) if p is None else self.shorter[p]
+            while True:
+                for p in shorter:
+                    end = at + len(p)
+                    if (failed is None or not failed[end >> 3] & (1 << (end & 7))) and self.compatible(before, p):
+                        break
+                else:
+                    if not taken:
+                        raise ValueError("no split found")  # cannot happen: the merges give one
+                    if failed is None:
+                        failed = bytearray(n // 8 + 1)
+                    failed[at >> 3] |= 1 << (at & 7)
+                    last = taken.pop()
+                    at -= len(last)
+                    before = taken[-1] if taken else ""
+                    shorter = self.shorter.get(last, ())
+                    continue
+                taken.append(p)
+                before, at = p, end
+                break
         return taken
 
     def encode_run(self, run: str) -> list[int]:
+        pieces = self.split_run(run)
+        try:
+            return [self.id_of[p] for p in pieces]
+        except KeyError:  # a character without a piece of its own
+            pass
         ids: list[int] = []
-        for p in self.split_run(run):
+        for p in pieces:
             known = self.id_of.get(p)
             if known is not None:
                 ids.append(known)
@@ -171,6 +189,11 @@ class PieceCodec:
                 ids.append(self.unknown)
         return ids
 
+    def coded_run(self, run: str) -> tuple[str, str]:
+        """The ids of a run joined by commas, and what they decode to."""
+        ids = self.encode_run(run)
+        return ",".join([self.digits[i] for i in ids]), self.text_of(ids)
+
     def _coded(self, text: str) -> list[tuple[str, str]]:
         if not text:
             return []
@@ -183,8 +206,7 @@ class PieceCodec:
             if run[0] == SPACE and run[1:2] != SPACE:
                 coded.append(self.words[run[1:]])
             else:
-                ids = self.encode_run(run)
-                coded.append((",".join(map(str, ids)), self.text_of(ids)))
+                coded.append(self.coded_run(run))
         return coded
 
     def encode(self, text: str | None) -> list[int]:
@@ -194,6 +216,10 @@ class PieceCodec:
     # ---- decoding -----------------------------------------------------
     def text_of(self, ids: list[int]) -> str:
         """The text of ids inside a sequence, spaces kept."""
+        try:
+            return "".join([self.shown[i] for i in ids])
+        except TypeError:  # bytes join to characters
+            pass
         out: list[str] = []
         waiting = bytearray()
         for i in ids:
@@ -204,10 +230,7 @@ class PieceCodec:
             if waiting:
                 out.append(_utf8(bytes(waiting)))
                 waiting.clear()
-            if i == self.unknown:
-                out.append(" ⁇ ")
-            elif i not in self.silent:
-                out.append(self.piece[i].replace(SPACE, " "))
+            out.append(self.shown[i])
         if waiting:
             out.append(_utf8(bytes(waiting)))
         return "".join(out)

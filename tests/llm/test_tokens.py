@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -45,6 +46,28 @@ def test_decoding_any_ids_equals_the_library():
         assert codec.decode(ids) == sp.decode(ids), ids
 
 
+def test_new_words_cost_few_steps_and_long_runs_are_cut_in_windows():
+    codec, sp = piece_codec.PieceCodec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    draw = random.Random(4)
+    words = ["".join(draw.choice(["th", "er", "in", "on", "wh", "ou", "an", "e", "s", "x", "é"]) for _ in range(5)) for _ in range(2000)]
+    for run in ("".join(words), "中".join(words[:300]), "=" * 700, "the" * 500, "0" * 999):
+        assert codec.encode(run) == sp.encode(run)
+    codec, steps = piece_codec.PieceCodec(PIECES), 0
+
+    def step(frame, event, arg):
+        nonlocal steps
+        steps += event in ("call", "c_call")
+
+    codec.encode_and_decode(" ".join(words))  # what pairs of pieces merge to is known then
+    codec.words.clear()
+    sys.setprofile(step)
+    try:
+        codec.encode_and_decode(" ".join(words))
+    finally:
+        sys.setprofile(None)
+    assert steps < 55 * len(set(words)), steps / len(set(words))
+
+
 def test_piece_digests_and_round_trip(spark):
     docs = awkward(spark)
     rows = piece_codec.digests(docs, PIECES).collect()
