@@ -24,8 +24,8 @@ from revcast.sources.tables import read_table, sales_view, sales_view_of, table_
 
 MONTH_FOLDER = "sale_month"
 UNDATED = "none"
-#: About so many bytes of lineitem in a bucket.
-BUCKET_BYTES = 256 << 20
+#: About so many bytes of lineitem in a bucket.  One task sorts and joins a bucket, so this bounds its memory.
+BUCKET_BYTES = 16 << 20
 
 
 def write_layout(sales: DataFrame, path: str) -> None:

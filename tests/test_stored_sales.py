@@ -36,6 +36,15 @@ def test_bucketed_join_shuffles_neither_side(spark, monkeypatch):
     assert not spark.catalog.tableExists(sources.lineitem)
 
 
+def test_buckets_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(L, "table_bytes", lambda *_: 640 << 20)
+    sources = L.bucket_sources(spark, SMOKE_DIR)
+    facts = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {sources.lineitem}").collect()}
+    assert int(facts["Num Buckets"]) == 40
+    assert sorted(map(str, L.sales_view_bucketed(spark, SMOKE_DIR, sources).collect())) == sorted(map(str, sales_view(spark, SMOKE_DIR).collect()))
+    sources.drop(spark)
+
+
 def test_layout_reads_only_the_months_asked_for(spark):
     path = L.stored_sales(spark, SMOKE_DIR)
     whole = sales_view(spark, SMOKE_DIR)
