@@ -8,12 +8,14 @@ document.
 
 The forest isolates with random splits: a node picks a rate and a cut at random
 inside its box, and a document's path ends early where few of the trees' rows
-lie.  Trees grow on documents labelled good; their root box spans all labelled
+lie.  Trees count documents labelled good; their root box spans all labelled
 rows, so that regions where only bad documents lie are cut off near the root.
 
-Only the labelled rows used for fitting are a sample (at most
-``MAX_LABELLED``, chosen by a hash of their id); statistics and verdicts cover
-every document and whole texts.
+Every labelled document takes part: splits depend on the box alone, so tasks send
+all good rows down all trees and the counts of their leaves add up.  Instead of
+drawing rows for each tree, all of them weigh together what ``TREE_ROWS`` do.  The
+threshold is an exact order statistic of the scores of all good rows.  Only the box,
+leaf counts and thresholds reach the driver.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Most labelled rows that fitting reads.
-MAX_LABELLED = 20_000
-#: Trees and rows per tree.
+from revcast.llm.common import forget, written
+
+#: Trees, and the rows that all good ones weigh in each.
 TREES, TREE_ROWS = 120, 256
+#: Most rows that ``labelled_sample`` hands out.
+MAX_LABELLED = 20_000
 #: Share of documents labelled good that calibration may reject.
 MAX_GOOD_LOSS = 0.0005
 
@@ -145,50 +149,91 @@ class Forest:
         return 2.0 ** (-(depth / max(1, len(self.feature))) / max(1e-9, float(expected_path(np.array(self.rows)))))
 
 
-def _grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, rng) -> tuple:
-    limit = int(np.ceil(np.log2(max(2, len(rows))))) + 2
-    feature, cut, child, path = [-1], [0.0], [0], [0.0]
-    todo = [(0, rows, low, high, 0)]
-    while todo:
-        node, own, lo, hi, depth = todo.pop()
-        wide = np.flatnonzero(hi > lo)
-        if len(own) <= 1 or depth >= limit or not len(wide):
-            path[node] = depth + float(expected_path(np.array(len(own))))
-            continue
-        f = int(rng.choice(wide))
-        at = float(rng.uniform(lo[f], hi[f]))
-        feature[node], cut[node], child[node] = f, at, len(feature)
-        left = own[:, f] < at
-        for side, part in ((0, own[left]), (1, own[~left])):
-            l2, h2 = lo.copy(), hi.copy()
-            (h2 if side == 0 else l2)[f] = at
-            for columns in (feature, cut, child, path):
-                columns.append(-1 if columns is feature else 0.0 if columns is not child else 0)
-            todo.append((len(feature) - 1, part, l2, h2, depth + 1))
-    return np.array(feature), np.array(cut), np.array(child), np.array(path)
+@dataclass
+class Splits:
+    """Complete trees of random splits: ``feature`` (-1 where the box is a point) and
+    ``cut`` of the inner nodes, a row for each tree; node k leads to 2k + 1 and 2k + 2."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+
+    def counts(self, x: np.ndarray) -> np.ndarray:
+        """How many of the rows end at each node, by tree."""
+        trees, inner = self.feature.shape
+        found = np.zeros((trees, 2 * inner + 1), dtype=np.int64)
+        rows = np.arange(len(x))
+        for own, feature, cut in zip(found, self.feature, self.cut, strict=True):
+            at = np.zeros(len(x), dtype=np.int64)
+            for _ in range((inner + 1).bit_length() - 1):
+                f = np.where(at < inner, feature[np.minimum(at, inner - 1)], -1)
+                right = x[rows, np.maximum(f, 0)] >= cut[np.minimum(at, inner - 1)]
+                at = np.where(f >= 0, 2 * at + 1 + right, at)
+            own += np.bincount(at, minlength=len(own))
+        return found
 
 
-def grow_forest(good: np.ndarray, box: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 11) -> Forest:
+def random_splits(low: np.ndarray, high: np.ndarray, trees: int, levels: int, seed: int) -> Splits:
+    """Splits at a random cut of a random side of each node's box, level by level."""
     rng = np.random.default_rng(seed)
-    low, high = box.min(axis=0), box.max(axis=0)
-    size = min(tree_rows, len(good))
-    grown = [_grow(good[rng.choice(len(good), size, replace=False)], low, high, rng) for _ in range(trees)]
-    return Forest(*map(list, zip(*grown, strict=True)), rows=size)
+    lo, hi = (np.broadcast_to(x, (trees, 1, len(low))) for x in (low, high))
+    features, cuts = [], []
+    for _ in range(levels):
+        # Of the sides that are not a point, the one with the largest draw.
+        draw = np.where(hi > lo, rng.random(lo.shape), -1.0)
+        f = draw.argmax(axis=2)[..., None]
+        left, right = np.take_along_axis(lo, f, 2), np.take_along_axis(hi, f, 2)
+        cut = left + (right - left) * rng.random(left.shape)
+        features.append(np.where(draw.max(axis=2) < 0, -1, f[..., 0]))
+        cuts.append(cut[..., 0])
+        chosen = np.arange(len(low)) == f
+        lo = np.stack([lo, np.where(chosen, cut, lo)], axis=2).reshape(trees, -1, len(low))
+        hi = np.stack([np.where(chosen, cut, hi), hi], axis=2).reshape(trees, -1, len(low))
+    return Splits(np.concatenate(features, axis=1), np.concatenate(cuts, axis=1))
+
+
+def weighed(splits: Splits, counts: np.ndarray, rows: int) -> Forest:
+    """The forest of the splits, cut back to nodes that hold more than one of ``rows`` rows, as
+    many as all counted ones weigh together."""
+    trees, inner = splits.feature.shape
+    mass = counts.astype(float)
+    for k in range(inner - 1, -1, -1):
+        mass[:, k] += mass[:, 2 * k + 1] + mass[:, 2 * k + 2]
+    mass *= rows / max(1, int(counts[0].sum()))
+    depth = np.frexp(np.arange(1, 2 * inner + 2))[1] - 1
+    feature, cut = np.full((trees, 2 * inner + 1), -1), np.zeros((trees, 2 * inner + 1))
+    feature[:, :inner] = np.where(mass[:, :inner] > 1, splits.feature, -1)
+    cut[:, :inner] = splits.cut
+    reached = np.zeros((trees, 2 * inner + 1), dtype=bool)
+    reached[:, 0] = True
+    for k in range(inner):
+        reached[:, 2 * k + 1] = reached[:, 2 * k + 2] = reached[:, k] & (feature[:, k] >= 0)
+    path = depth + expected_path(mass)
+    grown = []
+    for t in range(trees):
+        kept = np.flatnonzero(reached[t])
+        place = np.cumsum(reached[t]) - 1
+        leaf = feature[t, kept] < 0
+        child = np.where(leaf, 0, place[np.minimum(2 * kept + 1, 2 * inner)])
+        grown.append((feature[t, kept], cut[t, kept], child, np.where(leaf, path[t, kept], 0.0)))
+    return Forest(*map(list, zip(*grown, strict=True)), rows=rows)
+
+
+def _levels(rows: int) -> int:
+    return int(np.ceil(np.log2(max(2, rows)))) + 2
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, max_good_loss: float = MAX_GOOD_LOSS) -> float:
-    """The lowest score that loses at most ``max_good_loss`` of the good rows, moved
-    up to the middle of the gap before the next bad row."""
-    least = float(np.quantile(scores[good], 1 - max_good_loss, method="higher"))
-    above = scores[~good & (scores > least)]
-    return (least + float(above.min())) / 2 if len(above) else least
+def grow_forest(good: np.ndarray, box: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 11) -> Forest:
+    """A forest of rows in memory; ``fit`` does the same over a table."""
+    size = min(tree_rows, len(good))
+    splits = random_splits(box.min(axis=0), box.max(axis=0), trees, _levels(size), seed)
+    return weighed(splits, splits.counts(good), size)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> pd.DataFrame:
-    """Statistics of at most ``limit`` labelled documents and whether they are good.
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, good`` and the statistics of every labelled document, one row for each id.
 
-    Ids labelled both good and bad, null ids and null labels are left out.  The
-    sampled ids are at most ``limit``, which bounds what is broadcast.
+    Ids labelled both good and bad, null ids and null labels are left out.  Statistics
+    are taken where the texts lie, so that the join moves numbers only.
     """
     one = (
         labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -197,34 +242,84 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLE
         .filter("low = high")
         .select("doc_id", (F.col("low") > 0).alias("good"))
     )
-    n = one.count()
-    order = F.xxhash64("doc_id", F.lit(5))
-    if n > 2 * limit:  # narrow by hash first, so that the sort sees few ids whatever the size
-        one = one.filter(F.pmod(order, F.lit(1_000_000)) < int(1_000_000 * 1.5 * limit / n) + 1)
-    ids = one.orderBy(order, "doc_id").limit(limit)
-    schema = T.StructType([T.StructField("good", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in STATS)])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.concat([b.good.reset_index(drop=True), stats_frame(b.text)], axis=1)
+            yield pd.concat([b[["doc_id", "place"]].reset_index(drop=True), stats_frame(b.text)], axis=1)
+
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("place"))
+    measured = texts.mapInPandas(measure, ", ".join(f"{c} long" for c in ("doc_id", "place", *STATS)))
+    # An id may have several rows; the first text by hash stands for them.
+    each = measured.groupBy("doc_id").agg(F.min(F.struct("place", *STATS)).alias("r"))
+    return each.join(one, "doc_id").select("doc_id", "good", *(f"r.{c}" for c in STATS))
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    # A sampled id may have several rows; the first texts by hash stand for them.
-    one_each = found.groupBy("doc_id").agg(F.min_by(F.struct("good", "text"), F.xxhash64("text")).alias("r"))
-    out = one_each.select("r.good", "r.text").mapInPandas(measure, schema)
-    return pd.DataFrame([tuple(r) for r in out.collect()], columns=["good", *STATS])
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> pd.DataFrame:
+    """At most ``limit`` rows of :func:`labelled`, by a hash of their id, to look at; ``fit`` reads all."""
+    rows = labelled(docs, labels).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(limit)
+    return pd.DataFrame([tuple(r) for r in rows.select("good", *STATS).collect()], columns=["good", *STATS])
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, max_good_loss: float = MAX_GOOD_LOSS) -> Forest | None:
-    """A calibrated forest; None where no document labelled good passes the base rules."""
-    sample = labelled_sample(docs, labels, limit)
-    sample = sample[~base_failed(sample)].sort_values(STATS).reset_index(drop=True)
-    good = sample.good.to_numpy(dtype=bool)
-    if not good.any():
+
+def _box(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """The least and the largest of each rate; None without rows."""
+    names = [f"{side}_{c}" for side in ("low", "high") for c in RATES]
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = rates(b)
+                yield pd.DataFrame([[*x.min(axis=0), *x.max(axis=0)]], columns=names)
+
+    found = rows.select(*STATS).mapInPandas(ends, ", ".join(f"{c} double" for c in names))
+    r = found.agg(*((F.min if c.startswith("low_") else F.max)(c).alias(c) for c in names)).first()
+    return None if r[0] is None else (np.array(r[: len(RATES)]), np.array(r[len(RATES) :]))
+
+
+def _counted(good: DataFrame, splits: Splits) -> np.ndarray:
+    """``splits.counts`` of all rows of a table."""
+    shape = splits.feature.shape[0], 2 * splits.feature.shape[1] + 1
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros(shape, dtype=np.int64)
+        for b in batches:
+            found += splits.counts(rates(b))
+        place = np.flatnonzero(found)
+        yield pd.DataFrame({"place": place, "n": found.ravel()[place]})
+
+    found = np.zeros(shape, dtype=np.int64)
+    for r in good.select(*STATS).mapInPandas(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        found.flat[r.place] = r.n
+    return found
+
+
+def calibrate(scores: DataFrame, n_good: int, max_good_loss: float = MAX_GOOD_LOSS) -> float:
+    """The lowest score (``good``, ``score``) that loses at most ``max_good_loss`` of the ``n_good``
+    good rows, moved up to the middle of the gap before the next bad row."""
+    # The score of that rank from above; the lost share is sorted, not all rows.
+    lost = n_good - int(np.ceil((n_good - 1) * (1 - max_good_loss)))
+    least = scores.filter("good").orderBy(F.desc("score")).limit(lost).agg(F.min("score")).first()[0]
+    above = scores.filter(~F.col("good") & (F.col("score") > least)).agg(F.min("score")).first()[0]
+    return least if above is None else (least + above) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_good_loss: float = MAX_GOOD_LOSS) -> Forest | None:
+    """A calibrated forest of all labelled documents; None where none labelled good passes the base rules."""
+    rows = written(labelled(docs, labels).filter("NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"), "labelled")
+    good = rows.filter("good")
+    n_good = good.count()
+    if not n_good:
         return None
-    x = rates(sample)
-    forest = grow_forest(x[good], x)
-    forest.threshold = calibrate(forest.score(x), good, max_good_loss)
+    size = min(TREE_ROWS, n_good)
+    splits = random_splits(*_box(rows), TREES, _levels(size), seed=11)
+    forest = weighed(splits, _counted(good, splits), size)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"good": b.good, "score": forest.score(rates(b))})
+
+    scores = written(rows.select("good", *STATS).mapInPandas(score, "good boolean, score double"), "scores")
+    forest.threshold = calibrate(scores, n_good, max_good_loss)
+    forget(rows, scores)
     return forest
 
 

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import regex
 import zstandard
+from pyspark.sql import functions as F
 
 from revcast.llm import quality_rules, zstd_language
 from tests.llm.helpers import awkward, awkward_rows, empty, prose
@@ -69,6 +70,22 @@ def test_many_label_rows_of_few_documents(spark):
     assert len(quality_rules.labelled_sample(docs, labels, limit=60)) == 60
 
 
+def test_every_labelled_document_counts(spark, monkeypatch):
+    """Box, leaf counts and threshold change with one document, wherever it stands among those read."""
+    monkeypatch.setattr(quality_rules, "MAX_LABELLED", 50)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 60 + id % 40), k -> concat('w', (id + 1) * k))) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    rows = quality_rules.labelled(docs, labels).toPandas()
+    assert len(rows) == 400
+    forest, local = quality_rules.fit(docs, labels), quality_rules.grow_forest(quality_rules.rates(rows), quality_rules.rates(rows))
+    for a, b in zip(forest.path + forest.cut, local.path + local.cut, strict=True):
+        assert np.allclose(a, b)
+    assert forest.threshold == max(forest.score(quality_rules.rates(rows)))
+    for odd in (3, 77, 200, 399):  # whichever it is, the longest document widens the box
+        wide = docs.withColumn("text", F.when(F.col("doc_id") == odd, F.expr("concat_ws(' ', transform(sequence(1, 3000), k -> concat('v', k)))")).otherwise(F.col("text")))
+        assert any(len(a) != len(b) or not np.allclose(a, b) for a, b in zip(quality_rules.fit(wide, labels).cut, forest.cut, strict=True))
+
+
 def plain_path(forest, k: int, row) -> float:
     """Path length of one row in one tree, node by node."""
     at = 0
