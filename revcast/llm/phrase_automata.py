@@ -412,6 +412,8 @@ def _remove_repeats(docs: DataFrame, window: int) -> DataFrame:
             out.append(t if not gone else kept if gone < n else None)
         return pd.Series(out, dtype=object)
 
+    # Else Spark repeats the call below the filter, and each task holds two Python workers, which stay.
+    rest = rest.asNondeterministic()
     touched = F.col("__spans").isNotNull() | F.col("__copy")
     own = marked(docs, window).withColumn("__rest", F.when(touched, rest("text", "__spans", "__copy")))
     columns = [F.when(touched, F.col("__rest")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]

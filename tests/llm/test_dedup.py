@@ -274,3 +274,11 @@ def test_locate_compares_words_not_hashes():
     passages = pd.DataFrame({"doc_id": [1, 2, 3], "first": [3, 0, 0], "words": [words, "q " + words, words.replace("p7", "r")]})
     found = phrase_automata.locate(patterns, passages)
     assert found.values.tolist() == [[2, 1, 1], [2, 3, 3]]
+
+
+def test_rest_of_a_text_is_cut_once(spark):
+    """A filter on what a Python function gives must not call it a second time, in a worker of its own."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k % 2, 40))) for k in range(6)], "doc_id long, text string")
+    out = phrase_automata.remove_repeats(docs)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, out.collect())) == [(0, " ".join(f"w{j}" for j in range(40)))]
