@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revcast.llm.common import written
+from revcast.llm.common import forget, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,5 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(of, F.col("other") == F.col("of")).select("node", none, "low")
         further = own.drop("low").join(of, F.col("old") == F.col("of")).select("node", none, "low")
         lowered = own.unionByName(near).unionByName(further).groupBy("node").agg(F.max("old").alias("old"), F.min("low").alias("component"))
-        labels = written(lowered.select("node", "component", (F.col("component") < F.col("old")).alias("changed")), "labels")
+        before, labels = labels, written(lowered.select("node", "component", (F.col("component") < F.col("old")).alias("changed")), "labels")
+        forget(before)
+    forget(both)
     return labels.select("node", "component")

@@ -165,8 +165,8 @@ def new_index(spark: SparkSession) -> DigestIndex:
 def keep_unique(docs: DataFrame, index: DigestIndex, load: str | None = None) -> DataFrame:
     """The rows of ``docs`` that ``index.load`` keeps, with all their columns.
 
-    Only ids and digests of dropped rows are joined back.  Where the input
-    repeats a whole (id, text) pair, one row of it stays.  A null text is an empty
+    Only the ids of dropped rows are joined back, with digests where other rows
+    of the id stay.  Where the input repeats a whole (id, text) pair, one row of it stays.  A null text is an empty
     one; rows without id count as the smallest id; an empty table gives no rows.
     """
     return under_plain_names(docs, lambda own: _keep_unique(own, index, load))
@@ -174,17 +174,31 @@ def keep_unique(docs: DataFrame, index: DigestIndex, load: str | None = None) ->
 
 def _keep_unique(docs: DataFrame, index: DigestIndex, load: str | None) -> DataFrame:
     verdicts = index.load(docs, load)
+    own = docs.withColumn("__own", F.col("doc_id").cast("long"))
+    # In a file of known size: while the ids are few Spark broadcasts them and shuffles no text.
+    fates = written(
+        verdicts.groupBy("doc_id")
+        .agg(F.count_if(~F.col("kept")).alias("n_lost"), F.max("kept").alias("__some"))
+        .filter("n_lost > 0")
+        .select(F.col("doc_id").alias("__id"), "__some"),
+        "ids-lost",
+    )
+    rest = own.join(fates.filter("NOT __some"), F.col("__own").eqNullSafe(F.col("__id")), "left_anti")
+    part = fates.filter("__some").select("__id")
+    if part.isEmpty():
+        return rest.drop("__own")
     lost = written(
-        verdicts.groupBy("doc_id", "digest")
+        verdicts.join(part, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+        .groupBy("doc_id", "digest")
         .agg(F.count_if(~F.col("kept")).alias("n_lost"), F.count_if("kept").alias("n_kept"))
         .filter("n_lost > 0")
         .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__lost"), (F.col("n_kept") > 0).alias("__repeat")),
         "digest-lost",
     )
-    marked = docs.withColumn("__digest", text_digest("text"))
-    same = F.col("__digest").eqNullSafe(F.col("__lost")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__id"))
+    marked = rest.withColumn("__digest", text_digest("text"))
+    same = F.col("__digest").eqNullSafe(F.col("__lost")) & F.col("__own").eqNullSafe(F.col("__id"))
     if lost.filter("__repeat").isEmpty():
-        return marked.join(lost, same, "left_anti").drop("__digest")
+        return marked.join(lost, same, "left_anti").drop("__digest", "__own")
     joined = marked.join(lost, same, "left")
     single = joined.filter("__repeat").dropDuplicates(["__id", "__lost"])
     return joined.filter("__lost IS NULL").unionByName(single).select(*docs.columns)

@@ -239,14 +239,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInPandas(decide, "a long, b long")
 
 
-def _with_sets(reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``reps`` with the shingle ``set`` (sorted hashes as bytes) of their text."""
+def _with_sets(reps: DataFrame, ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``reps`` with the shingle ``set`` (sorted hashes as bytes) of their text; ``ids`` are theirs alone."""
 
     @F.pandas_udf("binary")
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, width).tobytes() for t in texts])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    # While the ids are few they are broadcast, and no other text is shuffled; else both joins use one shuffle of the texts.
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep", "left_semi")
     return reps.join(texts, "rep").select(*reps.columns, hashed("text").alias("set"))
 
 
@@ -346,20 +347,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("registers").alias("registers")),
         "classes",
     )
+    # Registers are most of the disk here: each step leaves only what later ones read.
+    marks = written(signed.select("doc_id", "n_shingles", "set_key"), "marks")
+    forget(signed)
     bands = _band_rows(classes, percent)
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key"), "shared-bands")
     members = written(bands.join(shared, "key"), "members")
-    met_somewhere = members.select("rep").distinct()
-    sets = written(_with_sets(classes.select("rep", "n", "registers").join(met_somewhere, "rep"), docs, width), "sets")
+    forget(shared)
+    met = written(members.select("rep").distinct(), "met")
+    known = written(classes.select("rep", "n", "registers").join(met, "rep"), "met-classes")
+    names = written(classes.select("set_key", "rep"), "class-names")
+    forget(classes)
+    sets = written(_with_sets(known, met, docs, width), "sets")
+    forget(known, met)
 
     # 1. A leader for each bucket, by the same order in all of them.
     order = F.xxhash64("rep")
     leaders = members.groupBy("key").agg(F.min_by("rep", order).alias("a"), F.min_by("n", order).alias("leader_n"))
-    led = members.join(written(leaders, "leaders").hint("merge"), "key").filter("rep <> a")
+    leaders = written(leaders, "leaders")
+    led = members.join(leaders.hint("merge"), "key").filter("rep <> a")
     led = led.filter(f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
     together = led.groupBy(F.col("rep").alias("b"), "a").agg(F.count(F.lit(1)).alias("times"))
     pairs = together.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
     links = written(_confirmed(_likely(pairs, sets, percent), sets, percent), "led")
+    forget(leaders)
 
     # 2. What is still apart in a bucket, by groups.
     labels = components(links)
@@ -370,11 +381,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     forget(named)
     if not groups.isEmpty():
         labels = components(links.unionByName(written(_settled(groups, sets, percent), "settled")))
-    named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = names.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     by_set = written(named.select("set_key", F.coalesce("component", "rep").alias("component_id")), "component-of-set")
+    forget(sets, links, groups, names)
     return (
-        signed.select("doc_id", "n_shingles", "set_key")
-        .join(by_set.hint("merge"), "set_key", "left")
+        marks.join(by_set.hint("merge"), "set_key", "left")
         .select(
             "doc_id",
             "n_shingles",
@@ -395,12 +406,11 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def _keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
     verdicts = near_duplicates(docs, width, percent)
-    ids = written(
-        verdicts.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.first("kept").alias("__kept"), F.count(F.lit(1)).alias("__n")),
-        "verdicts",
-    )
+    ids = verdicts.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.first("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
+    # Only the ids that lose rows, in a file of known size: while they are few Spark broadcasts them and shuffles no text.
+    ids = written(ids.filter("NOT __kept OR __n > 1"), "verdicts")
     own = docs.withColumn("__own", F.col("doc_id").cast("long"))
-    rest = own.join(ids.filter("NOT __kept OR __n > 1"), F.col("__own") == F.col("__id"), "left_anti")
+    rest = own.join(ids, F.col("__own") == F.col("__id"), "left_anti")
     repeated = ids.filter("__kept AND __n > 1").select("__id")
     if not repeated.isEmpty():
         once = own.join(repeated, F.col("__own") == F.col("__id"), "left_semi").dropDuplicates(["__own"])

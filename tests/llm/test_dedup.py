@@ -188,6 +188,49 @@ def test_keep_one(spark):
     assert hyperminhash.keep_one(empty(spark)).count() == 0
 
 
+def test_near_dedup_drops_tables_after_their_last_reader(spark, monkeypatch):
+    """Registers and sets are the bulk of the disk: two such tables at a time, and none when the verdicts are there."""
+    real, made, most = hyperminhash.written, [], []
+
+    def held():
+        paths = [(t, spark._jvm.org.apache.hadoop.fs.Path(t.written_to)) for t in made if {"registers", "set"} & set(t.columns)]
+        return [t for t, p in paths if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)]
+
+    def noted(df, name):
+        made.append(real(df, name))
+        most.append(len(held()))
+        return made[-1]
+
+    monkeypatch.setattr(hyperminhash, "written", noted)
+    rows = family_rows(3)
+    got = hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2)
+    assert max(most) == 2 and not held()
+    assert {r.doc_id: r.component_id for r in got.collect()} == near_components(rows, 2)
+
+
+def test_texts_are_not_shuffled_to_drop_a_few(spark):
+    """A step that drops few rows joins their ids alone, so that Spark broadcasts these."""
+    words = "concat_ws(' ', transform(sequence(1, 9), k -> sha2(concat(if(id < 6000, id, id - 6000), '-', k), 256)))"
+    docs = spark.range(6300).selectExpr("id AS doc_id", f"{words} AS text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        for out, kept in ((hyperminhash.keep_one(docs), range(6000)), (exact_dedup.keep_unique(docs, exact_dedup.new_index(spark)), range(300, 6300))):
+            assert {r.doc_id for r in out.select("doc_id").collect()} == set(kept)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_keep_unique_where_rows_share_ids(spark):
+    """An id loses the rows that do not stay, and one of two that are equal in id and text stays."""
+    rows = [(1, "a"), (1, "b"), (2, "B"), (3, "c"), (3, "c"), (3, "d"), (None, "e"), (None, "e"), (None, "a"), (4, "D"), (5, None), (6, ""), (7, "f"), (7, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, exact_dedup.keep_unique(docs, exact_dedup.new_index(spark)).collect()))
+    assert got == Counter([(1, "a"), (2, "B"), (3, "c"), (None, "e"), (4, "D"), (6, ""), (7, "f")])
+
+
 def test_registers():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**63, 9000, dtype=np.uint64) * np.uint64(2))
